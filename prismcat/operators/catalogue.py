@@ -102,7 +102,7 @@ def embeddings_with_meta(
     paths = images.select("image_id", "file_path", F.col("language").alias("image_language"))
     with_path = lookup_join(rows, paths, ["image_id"], F.col("emb_id"), **skew)
     meta = cards.withColumnRenamed("logical_id", "card_logical_id")
-    return lookup_join(with_path, meta, ["print_id"], F.col("emb_id"), **skew)
+    return lookup_join(with_path, meta, ["print_id"], F.col("emb_id"), count_on=rows, **skew)
 
 
 def fill_missing_images(cards: DataFrame, images: DataFrame, path: str, language: str) -> DataFrame:

@@ -88,7 +88,7 @@ def resolve_paths(rows: DataFrame, listing: DataFrame, row_id: str, path: str, r
         "_base", F.when(~absolute, base_name(F.col(path)))
     )
     found = lookup_join(keyed, by_path, ["_candidate"], F.col(row_id))
-    found = lookup_join(found, by_base, ["_base"], F.col(row_id))
+    found = lookup_join(found, by_base, ["_base"], F.col(row_id), count_on=keyed)
     return found.withColumn(
         "resolved", F.when(absolute, F.col(path)).otherwise(F.coalesce("_full", "_by_base"))
     ).drop("_candidate", "_full", "_base", "_by_base")

@@ -29,7 +29,7 @@ def load_by_logical(
     own = cards.select("print_id", F.col("logical_id").alias("_own_logical"), *fields)
     joined = lookup_join(rows, own, ["print_id"], F.col(row_id), **skew)
     paths = images.select("image_id", F.col("file_path").alias("image_path"))
-    joined = lookup_join(joined, paths, ["image_id"], F.col(row_id), **skew)
+    joined = lookup_join(joined, paths, ["image_id"], F.col(row_id), count_on=rows, **skew)
     return joined.withColumn(
         "logical_id", F.coalesce(F.col("logical_id"), F.col("_own_logical"))
     ).withColumn(

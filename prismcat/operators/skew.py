@@ -11,30 +11,30 @@ MAX_HOT = 1000
 MIN_HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than 1/MAX_HOT of the table.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``min_rows`` rows and more than 1/MAX_HOT of the table; None if there are none.
 
     ``_salts`` says into how many pieces the key should be split (each about 1/MAX_HOT of the table).
-    Only key columns are read and the count is combined before the shuffle.
+    Only key columns are read, the count is combined before the shuffle, and at most MAX_HOT rows
+    reach the driver.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     share = F.col("_n") * F.lit(MAX_HOT)
-    return counts.where((F.col("_n") > min_rows) & (share > total)).select(
+    hot = counts.where((F.col("_n") > min_rows) & (share > total)).select(
         *keys, F.ceil(share / total).cast("int").alias("_salts")
     )
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     side = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
-    same = [df[k].eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
     joined = df.join(F.broadcast(side), cond, "left")
-    return joined.drop(*[f"_hot_{k}" for k in keys]).withColumn(
-        "_salts", F.coalesce("_salts", F.lit(1))
-    )
+    return joined.drop(*[f"_hot_{k}" for k in keys]).withColumn("_salts", F.coalesce("_salts", F.lit(1)))
 
 
 def lookup_join(
@@ -44,14 +44,18 @@ def lookup_join(
     spread_by: Column,
     how: str = "left",
     min_rows: int = MIN_HOT_ROWS,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a large table with a table that has one row per key.
 
     Hot keys of ``facts`` (NULL included) are cut into pieces by the hash of ``spread_by``; the
-    matching lookup rows are repeated once per piece. All other keys join as usual, and Catalyst
-    still turns the join into a broadcast join when the lookup side is small.
+    matching lookup rows are repeated once per piece. Without hot keys it is a plain join, which
+    Catalyst turns into a broadcast join when the lookup side is small. ``count_on`` names a cheaper
+    table with the same key distribution to look for hot keys in (say, the scan below a join).
     """
-    hot = hot_keys(facts, keys, min_rows)
+    hot = hot_keys(facts if count_on is None else count_on, keys, min_rows)
+    if hot is None:
+        return facts.join(lookup, keys, how)
     left = _with_salts(facts, hot, keys)
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).drop("_salts")
     right = _with_salts(lookup, hot, keys)
