@@ -1,8 +1,8 @@
 """Block products: many vectors per row, so that one numpy product replaces many vector joins.
 
 Rows are packed into blocks of bounded size, pairs of blocks (tiles) are spread by an ordinary
-equi-join on the tile number, and each task multiplies one tile at a time. A tile only ever emits
-summaries (top-k, sums, histograms); the pairs themselves are never written out.
+equi-join on the tile number, and each task multiplies one tile at a time, strip by strip. A tile
+only ever emits summaries (top-k, sums, histograms); the pairs themselves are never written out.
 """
 
 from __future__ import annotations
@@ -11,31 +11,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismcat.functions.vectors import unit
 from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
-BLOCK_ROWS = 2048
+# Rows per block: 16384 float vectors of 1024 dimensions are 64 MB. Bigger blocks mean fewer copies
+# in the tile shuffle (each block is sent once per block of the other side).
+BLOCK_ROWS = 16384
+# Stored blocks handled together with one query block, so that their hits are merged in the task.
+BLOCKS_PER_TASK = 8
+# Elements of a similarity strip held at once (8 bytes each).
+STRIP_ELEMENTS = 4_000_000
+
+
+def row_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Positions at which a new combination of key values starts."""
+    change = np.zeros(table.num_rows, dtype=bool)
+    change[:1] = True
+    for k in keys:
+        values = table.column(k).to_numpy(zero_copy_only=False) if table.num_rows else np.empty(0)
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change)
+
+
+def vector_array(column: pa.ChunkedArray) -> np.ndarray:
+    """List column to a rows x dimension matrix without copying more than once."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _blocks_of(table: pa.Table, keys: list[str], starts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    vectors = np.ascontiguousarray(vector_array(table.column("vec")))
+    ends = np.append(starts[1:], table.num_rows)
+    ids = table.column("id").combine_chunks()
+    columns = [table.column(k).combine_chunks().take(pa.array(starts)) for k in keys]
+    columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, table.num_rows), pa.int32()), ids))
+    columns.append(pa.array([vectors[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()))
+    columns.append(pa.array(np.full(len(starts), vectors.shape[1]), pa.int32()))
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: ids and vectors of a bounded number of rows, sorted by id."""
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("_rows"))
-    return packed.select(
-        *keys,
-        F.transform("_rows", lambda r: r["id"]).alias("ids"),
-        F.flatten(F.transform("_rows", lambda r: r["vec"])).alias("mat"),
-    )
+    """One row per key combination: (keys, ids, mat, dim), ``mat`` being the raw vector bytes.
+
+    Rows are shuffled and sorted by key and id once; the blocks are then cut from the sorted stream.
+    """
+    types = ", ".join(f"{k} {spark_type(rows, k)}" for k in keys)
+    out_schema = f"{types}, ids array<{spark_type(rows, 'id')}>, mat binary, dim int"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            if schema is None:
+                fields = [table.schema.field(k) for k in keys]
+                id_type = pa.list_(table.schema.field("id").type)
+                schema = pa.schema([*fields, pa.field("ids", id_type), pa.field("mat", pa.binary()), pa.field("dim", pa.int32())])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = row_starts(table, keys)
+            if len(starts) > 1:
+                yield _blocks_of(table.slice(0, starts[-1]), keys, starts[:-1], schema)
+            held = table.slice(starts[-1])
+        if held is not None:
+            yield _blocks_of(held, keys, np.array([0]), schema)
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, "id", "vec")
+    return ordered.mapInArrow(pack, out_schema)
 
 
 def pack_blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Whole table to blocks: (b, nb, ids, mat). Ids are unique, so hashing them balances the blocks."""
-    df = df.where(F.col(vec_col).isNotNull())
-    rows = df.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("vec"))
-    blocks = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1))).scalar()
+    """Whole table to blocks: (b, nb, ids, mat, dim). Ids are unique, so hashing them balances the blocks."""
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    blocks = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1))).scalar()
     numbered = rows.withColumn("nb", blocks.cast("int")).withColumn(
         "b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     )
@@ -45,27 +97,28 @@ def pack_blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = BLOC
 def pack_group_blocks(
     df: DataFrame, group_col: str, id_col: str, vec_col: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Blocks per group: (g, b, nb, ids, mat). A small group is one block, a hot group is many."""
+    """Blocks per group: (g, b, nb, ids, mat, dim). A small group is one block, a hot group is many."""
     rows = df.where(F.col(group_col).isNotNull() & F.col(vec_col).isNotNull()).select(
         F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")
     )
     sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
     spread = lookup_join(rows, sizes, ["g"], F.col("id"), "inner")
     spread = spread.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    return _pack(spread.withColumn("vec", unit(F.col("vec"))), ["g", "b", "nb"])
+    return _pack(spread, ["g", "b", "nb"])
 
 
 def self_tiles(blocks: DataFrame) -> DataFrame:
-    """All tiles of unordered pairs within a group: (g, a_ids, a_mat, b_ids, b_mat).
+    """All tiles of unordered pairs within a group: (g, a_ids, a_mat, b_ids, b_mat, dim).
 
-    ``b_*`` is NULL for a block paired with itself; those tiles need no join, so only groups of more
-    than one block are shuffled again, keyed by tile and therefore spread evenly.
+    ``b_mat`` is empty for a block paired with itself; those tiles need no join, so only groups of
+    more than one block are shuffled again, keyed by tile and therefore spread evenly.
     """
     blocks = materialise(blocks, "blocks")  # read once per branch below and once per pass of the caller
     if "g" not in blocks.columns:
         blocks = blocks.withColumn("g", F.lit(0))
-    diag = blocks.select("g", F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat")).withColumns(
-        {"b_ids": F.expr("slice(a_ids, 1, 0)"), "b_mat": F.expr("slice(a_mat, 1, 0)")}
+    diag = blocks.select(
+        "g", F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat"), F.slice("ids", 1, 0).alias("b_ids"),
+        F.lit(b"").alias("b_mat"), "dim",
     )
     split = blocks.where("nb > 1")
     lower = split.where("b < nb - 1").select(
@@ -74,26 +127,31 @@ def self_tiles(blocks: DataFrame) -> DataFrame:
     )
     upper = split.where("b > 0").select(
         "g", F.explode(F.expr("sequence(0, b - 1)")).alias("ta"), F.col("b").alias("tb"),
-        F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"),
+        F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim",
     )
-    off = lower.join(upper, ["g", "ta", "tb"]).select("g", "a_ids", "a_mat", "b_ids", "b_mat")
+    off = lower.join(upper, ["g", "ta", "tb"]).select("g", "a_ids", "a_mat", "b_ids", "b_mat", "dim")
     return diag.unionByName(off)
 
 
 def cross_tiles(queries: DataFrame, stored: DataFrame) -> DataFrame:
-    """Every query block against every stored block: (qb, q_ids, q_mat, d_ids, d_mat)."""
+    """Every query block against every stored block: (qb, q_ids, q_mat, d_ids, d_mat, dim).
+
+    A query block meets BLOCKS_PER_TASK stored blocks under one join key, so it is copied less often
+    and the rows of one key come out together.
+    """
     queries, stored = materialise(queries, "query-blocks"), materialise(stored, "stored-blocks")
-    n_q = queries.agg(F.max("nb")).scalar()
-    n_d = stored.agg(F.max("nb")).scalar()
+    groups = stored.agg(F.ceil(F.coalesce(F.max("nb"), F.lit(1)) / BLOCKS_PER_TASK).cast("int")).scalar()
+    n_q = queries.agg(F.coalesce(F.max("nb"), F.lit(1))).scalar()
     left = queries.select(
-        F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.coalesce(n_d, F.lit(1)) - 1)).alias("db"),
+        F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("dg"),
         F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
     )
     right = stored.select(
-        F.explode(F.sequence(F.lit(0), F.coalesce(n_q, F.lit(1)) - 1)).alias("qb"), F.col("b").alias("db"),
-        F.col("ids").alias("d_ids"), F.col("mat").alias("d_mat"),
+        F.explode(F.sequence(F.lit(0), n_q - 1)).alias("qb"),
+        F.floor(F.col("b") / BLOCKS_PER_TASK).cast("int").alias("dg"),
+        F.col("ids").alias("d_ids"), F.col("mat").alias("d_mat"), "dim",
     )
-    return left.join(right, ["qb", "db"]).drop("db").sortWithinPartitions("qb")
+    return left.join(right, ["qb", "dg"]).drop("dg")
 
 
 def id_array(values) -> np.ndarray:
@@ -102,18 +160,36 @@ def id_array(values) -> np.ndarray:
     return arr.astype(str) if arr.dtype == object else arr
 
 
-def matrix(flat, rows: int) -> np.ndarray:
-    return np.asarray(flat, dtype=np.float64).reshape(rows, -1)
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; zero rows stay zero."""
+    wide = vectors.astype(np.float64)
+    return wide / np.maximum(np.sqrt(np.einsum("ij,ij->i", wide, wide)), 1e-12)[:, None]
+
+
+def matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """Unit vectors of a block; the byte count tells float from double."""
+    kind = np.float32 if len(data) == rows * dim * 4 else np.float64
+    return unit_rows(np.frombuffer(data, dtype=kind).reshape(rows, dim))
+
+
+def strips(rows: int, columns: int) -> Iterator[slice]:
+    """Row ranges whose similarity strip stays below STRIP_ELEMENTS."""
+    step = max(1, STRIP_ELEMENTS // max(columns, 1))
+    for start in range(0, rows, step):
+        yield slice(start, min(start + step, rows))
 
 
-def tile_cosines(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(ids a, ids b, cosine matrix, mask of valid pairs) of one self tile; mask None means all."""
+def tile_strips(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Strips of a self tile: (ids a, ids b, cosines, mask of pairs to use); mask None means all."""
     ids_a = id_array(row.a_ids)
-    a = matrix(row.a_mat, len(ids_a))
-    if len(row.b_ids) == 0:
-        return ids_a, ids_a, a @ a.T, np.triu(np.ones((len(ids_a), len(ids_a)), dtype=bool), 1)
-    ids_b = id_array(row.b_ids)
-    return ids_a, ids_b, a @ matrix(row.b_mat, len(ids_b)).T, None
+    a = matrix(row.a_mat, len(ids_a), row.dim)
+    own = len(row.b_mat) == 0
+    ids_b = ids_a if own else id_array(row.b_ids)
+    b = a if own else matrix(row.b_mat, len(ids_b), row.dim)
+    for part in strips(len(ids_a), len(ids_b)):
+        cos = a[part] @ b.T
+        mask = np.arange(len(ids_b))[None, :] > np.arange(part.start, part.stop)[:, None] if own else None
+        yield ids_a[part], ids_b, cos, mask
 
 
 def map_tiles(tiles: DataFrame, kernel, schema: str) -> DataFrame:

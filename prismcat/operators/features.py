@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import blank_to_null, first_truthy
 from prismcat.functions.vectors import doubles, euclid
-from prismcat.operators.numbering import with_global_index, with_group_index
+from prismcat.operators.numbering import exact_quantiles, with_global_index, with_group_index
 from prismcat.session import materialise
 
 
@@ -196,24 +196,20 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
 
 def box_plot(df: DataFrame, value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count (one row)."""
+    found = {r["p"]: r["quantile"] for r in exact_quantiles(df, value, [0.25, 0.5, 0.75]).collect()}
+    q1, q2, q3 = (F.lit(found[p]).cast("double") for p in (0.25, 0.5, 0.75))
     v = F.col(value).cast("double")
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).scalar()
-    marked = df.select(v.alias("_v"), q.alias("_q")).where(F.col("_v").isNotNull())
-    q1, q3 = F.col("_q")[0], F.col("_q")[2]
     reach = (q3 - q1) * whisker
-    inside = F.col("_v").between(q1 - reach, q3 + reach)
-    return marked.agg(
-        F.min(q1).alias("q1"), F.min(F.col("_q")[1]).alias("median"), F.min(q3).alias("q3"),
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"), F.count("_v").alias("n"),
+    inside = v.between(q1 - reach, q3 + reach)
+    return df.agg(
+        F.first(q1).alias("q1"), F.first(q2).alias("median"), F.first(q3).alias("q3"),
+        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"), F.count(v).alias("n"),
     )
 
 
 def first_paths(listing: DataFrame, key: str, path: str, m: int) -> DataFrame:
     """W13 gallery: at most m paths per card in path order (m is the report's own limit)."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy(path)
     usable = listing.where(blank_to_null(F.col(path)).isNotNull()).select(key, path)
     return usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= m)

@@ -24,18 +24,34 @@ BGR_MODE = 16
 INPUT_HW = (320, 224)
 
 
+# Results held in a task before they are handed back to Spark.
+_FLUSH_BYTES, _FLUSH_ROWS = 16_000_000, 2000
+
+
+def _size(values: tuple) -> int:
+    return sum(getattr(v, "nbytes", 0) or (len(v) if isinstance(v, bytes) else 8) for v in values)
+
+
 def map_images(images: DataFrame, per_image: Callable, schema: str) -> DataFrame:
-    """Apply ``per_image(row, rgb) -> iterator of tuples`` to every image; one frame per image,
-    so a task holds one decoded image at a time."""
+    """Apply ``per_image(row, rgb) -> iterator of tuples`` to every image.
+
+    One image is decoded at a time, and results leave the task in frames of bounded size.
+    """
     names = [part.strip().split(" ")[0] for part in _fields(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 rgb = P.from_struct(row.height, row.width, row.nChannels, row.data)
-                out = list(per_image(row, rgb))
-                if out:
-                    yield pd.DataFrame(out, columns=names)
+                for values in per_image(row, rgb):
+                    out.append(values)
+                    held += _size(values)
+                    if held > _FLUSH_BYTES or len(out) >= _FLUSH_ROWS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return images.mapInPandas(run, schema)
 

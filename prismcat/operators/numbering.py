@@ -68,3 +68,37 @@ def with_group_index(
         .withColumn(name, F.col("_ix_global") - F.col("_ix_first") + start)
         .drop("_ix_global", "_ix_first", "_ix_part", "_ix_s_part", *[f"_ix_s_{g}" for g in group])
     )
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation: (p, quantile), NULL quantiles for an empty table.
+
+    Equal values are counted before the sort; ranks are found by running counts over the
+    range-sorted values, so no task ever holds more than its own range.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("_ix_n")
+    )
+    placed = _sorted_positions(counts, [F.col("v")])
+    within = Window.partitionBy("_ix_part").orderBy("_ix_pos").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy("_ix_part").agg(F.sum("_ix_n").alias("_ix_rows"))
+    before = Window.orderBy("_ix_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_ix_part", F.coalesce(F.sum("_ix_rows").over(before), F.lit(0)).alias("_ix_offset"))
+    total = counts.agg(F.sum("_ix_n")).scalar()
+    # one row per range partition
+    ranked = placed.join(F.broadcast(offsets), "_ix_part").select(
+        "v", (F.col("_ix_offset") + F.sum("_ix_n").over(within)).alias("_upto"), "_ix_n", total.alias("_total")
+    )
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
+    rank = F.col("p") * (F.col("_total") - 1)
+    owns = lambda r: (r >= F.col("_upto") - F.col("_ix_n")) & (r < F.col("_upto"))
+    picked = ranked.select("*", wanted).select(
+        "p", (rank - F.floor(rank)).alias("_share"),
+        F.when(owns(F.floor(rank)), F.col("v")).alias("_low"), F.when(owns(F.ceil(rank)), F.col("v")).alias("_high"),
+    ).where(F.col("_low").isNotNull() | F.col("_high").isNotNull())
+    found = picked.groupBy("p").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_share").alias("_share"))
+    all_p = spark.createDataFrame([(float(p),) for p in probabilities], "p double")
+    return all_p.join(found, "p", "left").select(
+        "p", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias("quantile")
+    )

@@ -42,33 +42,22 @@ def d_aug(per_card: DataFrame) -> DataFrame:
     return per_card.agg(F.coalesce(weighted, F.lit(0.0)).alias("d_aug"))
 
 
-def _pair_values(row) -> np.ndarray:
-    _, _, cos, mask = B.tile_cosines(row)
-    values = cos.ravel() if mask is None else cos[mask]
-    return np.round(values, SIM_DECIMALS)
+def _pair_values(rows) -> Iterator[np.ndarray]:
+    """Cosines of all pairs, strip by strip."""
+    for row in rows:
+        for _, _, cos, mask in B.tile_strips(row):
+            yield np.round(cos.ravel() if mask is None else cos[mask], SIM_DECIMALS)
 
 
 def _sums_kernel(rows) -> Iterator[pd.DataFrame]:
-    out = []
-    for row in rows:
-        v = _pair_values(row)
-        if len(v):
-            out.append((len(v), v.sum(), v.min(), v.max(), (v * v).sum()))
-        if len(out) >= 10_000:
-            yield _sum_rows(out)
-            out = []
+    out = [(len(v), v.sum(), (v * v).sum()) for v in _pair_values(rows) if len(v)]
     if out:
         yield _sum_rows(out)
 
 
 def _sum_rows(out: list) -> pd.DataFrame:
-    a = np.array(out, dtype=np.float64)
-    return pd.DataFrame(
-        {
-            "n": [int(a[:, 0].sum())], "s": [a[:, 1].sum()], "lo": [a[:, 2].min()],
-            "hi": [a[:, 3].max()], "ss": [a[:, 4].sum()],
-        }
-    )
+    n, s, ss = np.array(out, dtype=np.float64).T
+    return pd.DataFrame({"n": [int(n.sum())], "s": [s.sum()], "ss": [ss.sum()]})
 
 
 def _histogram(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> DataFrame:
@@ -76,8 +65,8 @@ def _histogram(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: i
 
     def kernel(rows) -> Iterator[pd.DataFrame]:
         counts = np.zeros(bins, dtype=np.int64)
-        for row in rows:
-            _, pos = _narrow(1.0 - _pair_values(row), levels, bins)
+        for v in _pair_values(rows):
+            _, pos = _narrow(1.0 - v, levels, bins)
             counts += np.bincount(pos, minlength=bins)
         hit = np.flatnonzero(counts)
         yield pd.DataFrame({"bin": hit.astype(np.int64), "n": counts[hit]})
@@ -100,8 +89,8 @@ def _narrow(dist: np.ndarray, levels: list[tuple[float, float, int]], bins: int)
 def _value_counts(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> DataFrame:
     def kernel(rows) -> Iterator[pd.DataFrame]:
         held: dict[float, int] = {}
-        for row in rows:
-            kept, _ = _narrow(1.0 - _pair_values(row), levels, bins)
+        for v in _pair_values(rows):
+            kept, _ = _narrow(1.0 - v, levels, bins)
             for v, n in zip(*np.unique(np.round(kept, SIM_DECIMALS), return_counts=True)):
                 held[float(v)] = held.get(float(v), 0) + int(n)
         yield pd.DataFrame({"dist": list(held), "n": list(held.values())}).astype(
@@ -144,7 +133,7 @@ def pair_summary(tiles: DataFrame, median: bool = True, approx: bool = False) ->
     The median is exact; ``approx`` stops after one pass and answers with the middle of its bin.
     """
     spark = tiles.sparkSession
-    sums = B.map_tiles(tiles, _sums_kernel, "n bigint, s double, lo double, hi double, ss double").agg(
+    sums = B.map_tiles(tiles, _sums_kernel, "n bigint, s double, ss double").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
     )
     total = sums.collect()[0]
@@ -189,8 +178,7 @@ def cosine_histogram(tiles: DataFrame, bins: int = 40, low: float = 0.0, high: f
 
     def kernel(rows) -> Iterator[pd.DataFrame]:
         counts = np.zeros(bins, dtype=np.int64)
-        for row in rows:
-            v = _pair_values(row)
+        for v in _pair_values(rows):
             v = v[(v >= low) & (v <= high)]
             pos = np.minimum(np.floor((v - low) / (high - low) * bins), bins - 1).astype(np.int64)
             counts += np.bincount(pos, minlength=bins)
@@ -207,23 +195,23 @@ def boundary_by_card(tiles: DataFrame, id_type: str, d: float | Column) -> DataF
     """
     marked = tiles.withColumn("d", B.scalar_double(d))
 
+    def side(ids: np.ndarray, dist: np.ndarray, use: np.ndarray, axis: int, d: float) -> pd.DataFrame:
+        n = use.sum(axis=axis)
+        frame = pd.DataFrame(
+            {
+                "id": ids, "n": n, "s": np.where(use, dist, 0.0).sum(axis=axis),
+                "lo": np.where(use, dist, np.inf).min(axis=axis), "critical": (use & (dist < d)).sum(axis=axis),
+            }
+        )
+        return frame[n > 0]
+
     def kernel(rows) -> Iterator[pd.DataFrame]:
         for row in rows:
-            ids_a, ids_b, cos, mask = B.tile_cosines(row)
-            dist = 1.0 - np.round(cos, SIM_DECIMALS)
-            both = [(ids_a, dist, 1)] if mask is not None else [(ids_a, dist, 1), (ids_b, dist, 0)]
-            valid = np.ones_like(dist, dtype=bool) if mask is None else mask | mask.T
-            for ids, table, axis in both:
-                n = valid.sum(axis=axis)
-                keep = n > 0
-                frame = pd.DataFrame(
-                    {
-                        "id": ids, "n": n, "s": np.where(valid, table, 0.0).sum(axis=axis),
-                        "lo": np.where(valid, table, np.inf).min(axis=axis),
-                        "critical": (valid & (table - row.d < 0)).sum(axis=axis),
-                    }
-                )
-                yield frame[keep]
+            for ids_a, ids_b, cos, mask in B.tile_strips(row):
+                dist = 1.0 - np.round(cos, SIM_DECIMALS)
+                use = np.ones(dist.shape, dtype=bool) if mask is None else mask
+                yield side(ids_a, dist, use, 1, row.d)
+                yield side(ids_b, dist, use, 0, row.d)
 
     schema = f"id {id_type}, n bigint, s double, lo double, critical bigint"
     return B.map_tiles(marked, kernel, schema).groupBy("id").agg(
@@ -241,22 +229,17 @@ def closest_pairs(tiles: DataFrame, id_type: str, d: float | Column, top_n: int
 
     def kernel(rows) -> Iterator[pd.DataFrame]:
         for row in rows:
-            ids_a, ids_b, cos, mask = B.tile_cosines(row)
-            dist = 1.0 - np.round(cos, SIM_DECIMALS)
-            if mask is not None:
-                dist = np.where(mask, dist, np.inf)
-            flat = dist.ravel()
-            if len(flat) > top_n:  # everything up to the N-th distance, so ties survive
-                cut = np.partition(flat, top_n - 1)[top_n - 1]
-                at = np.flatnonzero(flat <= cut)
-            else:
-                at = np.arange(len(flat))
-            at = at[np.isfinite(flat[at])]
-            i, j = np.unravel_index(at, dist.shape)
-            x, y = ids_a[i], ids_b[j]
-            first, second = np.where(x < y, x, y), np.where(x < y, y, x)
-            pick = np.lexsort((second, first, flat[at]))[:top_n]
-            yield pd.DataFrame({"card_a": first[pick], "card_b": second[pick], "dist": flat[at][pick]})
+            for ids_a, ids_b, cos, mask in B.tile_strips(row):
+                flat = 1.0 - np.round(cos, SIM_DECIMALS).ravel()
+                at = np.arange(len(flat)) if mask is None else np.flatnonzero(mask.ravel())
+                if len(at) > top_n:  # everything up to the N-th distance, so ties survive
+                    cut = np.partition(flat[at], top_n - 1)[top_n - 1]
+                    at = at[flat[at] <= cut]
+                i, j = np.unravel_index(at, cos.shape)
+                x, y = ids_a[i], ids_b[j]
+                first, second = np.where(x < y, x, y), np.where(x < y, y, x)
+                pick = np.lexsort((second, first, flat[at]))[:top_n]
+                yield pd.DataFrame({"card_a": first[pick], "card_b": second[pick], "dist": flat[at][pick]})
 
     found = B.map_tiles(tiles, kernel, f"card_a {id_type}, card_b {id_type}, dist double")
     top = found.orderBy("dist", "card_a", "card_b").limit(top_n)

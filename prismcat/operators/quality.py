@@ -46,7 +46,9 @@ def metadata_values(loaded: DataFrame, cards: DataFrame, fields: list[str]) -> D
     """
     cells = F.explode(F.array(*[_cell(f) for f in fields])).alias("_c")
     card_cells = F.explode(F.array(*[_cell(f) for f in fields if f in cards.columns])).alias("_c")
-    own = loaded.select("group_id", "logical_id", cells).select("group_id", "logical_id", "_c.*").distinct()
+    # vectors of one print share their metadata, so most rows fall away before the fields are unfolded
+    members = loaded.select("group_id", "logical_id", *fields).distinct()
+    own = members.select("group_id", "logical_id", cells).select("group_id", "logical_id", "_c.*").distinct()
     present = own.where(F.col("value").isNotNull()).select("group_id", "field", "value")
     lacking = own.where(F.col("value").isNull()).select("group_id", "logical_id", "field")
     siblings = (
@@ -107,7 +109,9 @@ def quality_table(
     cross = [f for f in CROSS_FIELDS if f in meta.columns]
     flagged = meta.withColumn("_internal", internal_conflict(meta))
     joined = spread.join(neighbours, "group_id", "left").join(flagged, "group_id", "left")
-    joined = _with_neighbour(joined, meta, "neighbour", {f: f"_nb_{f}" for f in cross})
+    joined = _with_neighbour(
+        joined, meta, "neighbour", {f: f"_nb_{f}" for f in cross}, count_on=neighbours
+    )
     near = F.col("neighbour").isNotNull() & (F.col("neighbour_dist") < overlap)
     wide = (F.col("intra_mean_dist") > F.col("global_mean") + 2 * F.col("global_std")) | (
         F.col("intra_max_dist") > spread_max

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import match_grade
-from prismcat.functions.vectors import SIM_DECIMALS, unit, unit_euclid_from_cosine
+from prismcat.functions.vectors import SIM_DECIMALS, unit_euclid_from_cosine
 from prismcat.operators import blocks as B
 
 # At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
@@ -40,49 +41,70 @@ def _merge(old, sims: np.ndarray, ids: np.ndarray, k: int):
     return sims, ids
 
 
-def _topk_kernel(k: int, exclude_self: bool):
-    def kernel(rows) -> Iterator[pd.DataFrame]:
-        current, q_ids, q_mat, best = None, None, None, None
+class _Best:
+    """Running k best hits of one block of queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.vectors, self.k, self.exclude_self = ids, vectors, k, exclude_self
+        self.hits = None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        found = []
+        for part in B.strips(len(self.ids), len(ids)):
+            sims = np.round(self.vectors[part] @ vectors.T, SIM_DECIMALS)
+            if self.exclude_self:
+                sims[self.ids[part, None] == ids[None, :]] = -np.inf
+            cols = _best_columns(sims, self.k)
+            found.append((np.take_along_axis(sims, cols, 1), ids[cols]))
+        sims, near = (np.concatenate(x) for x in zip(*found))
+        self.hits = _merge(self.hits, sims, near, self.k)
+
+    def frame(self) -> pd.DataFrame:
+        if self.hits is None:
+            return pd.DataFrame({"q_id": self.ids[:0], "d_id": self.ids[:0], "similarity": np.empty(0)})
+        sims, near = self.hits
+        frame = pd.DataFrame(
+            {"q_id": np.repeat(self.ids, sims.shape[1]), "d_id": near.ravel(), "similarity": sims.ravel()}
+        )
+        return frame[frame.similarity > -np.inf]
 
-        def flush() -> pd.DataFrame:
-            sims, ids = best
-            frame = pd.DataFrame(
-                {"q_id": np.repeat(q_ids, sims.shape[1]), "d_id": ids.ravel(), "similarity": sims.ravel()}
-            )
-            return frame[frame.similarity > -np.inf]
 
+def _tile_kernel(k: int, exclude_self: bool):
+    def kernel(rows) -> Iterator[pd.DataFrame]:
+        current, best = None, None
         for row in rows:
             if row.qb != current:
                 if best is not None:
-                    yield flush()
-                current, best = row.qb, None
-                q_ids = B.id_array(row.q_ids)
-                q_mat = B.matrix(row.q_mat, len(q_ids))
-            d_ids = B.id_array(row.d_ids)
-            d_mat = B.matrix(row.d_mat, len(d_ids))
-            order = np.argsort(d_ids, kind="stable")
-            d_ids, d_mat = d_ids[order], d_mat[order]
-            sims = np.round(q_mat @ d_mat.T, SIM_DECIMALS)
-            if exclude_self:
-                sims[q_ids[:, None] == d_ids[None, :]] = -np.inf
-            cols = _best_columns(sims, k)
-            best = _merge(best, np.take_along_axis(sims, cols, 1), d_ids[cols], k)
+                    yield best.frame()
+                ids = B.id_array(row.q_ids)
+                current, best = row.qb, _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self)
+            near = B.id_array(row.d_ids)
+            best.add(near, B.matrix(row.d_mat, len(near), row.dim))
         if best is not None:
-            yield flush()
+            yield best.frame()
 
     return kernel
 
 
-def _batches_to_blocks(stored: DataFrame, id_type: str) -> DataFrame:
-    """Pack the stored vectors where they are read: one block per Arrow batch, no shuffle."""
+def _scan_stored(stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, schema: str) -> DataFrame:
+    """Read the stored side once, in place; a partition emits k hits per query at its end."""
+    held = stored.sparkSession.sparkContext.broadcast(
+        (B.id_array(queries.column("id").to_numpy()), B.unit_rows(B.vector_array(queries.column("vec"))))
+    )
+    names = [part.split(" ")[0] for part in schema.split(", ")]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*held.value, k, exclude_self)
         for batch in batches:
-            if len(batch):
-                flat = np.concatenate(batch["vec"].to_numpy())
-                yield pd.DataFrame({"qb": [0], "d_ids": [batch["id"].to_list()], "d_mat": [flat]})
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                best.add(B.id_array(table.column("id").to_numpy()), B.unit_rows(B.vector_array(table.column("vec"))))
+        if best.hits is not None:
+            yield pa.RecordBatch.from_pandas(best.frame()[names], preserve_index=False)
 
-    return stored.mapInPandas(pack, f"qb int, d_ids array<{id_type}>, d_mat array<double>")
+    return stored.select("id", "vec").mapInArrow(scan, schema)
 
 
 def candidate_hits(
@@ -95,24 +117,22 @@ def candidate_hits(
 ) -> DataFrame:
     """At least the true top-k per query as (q_id, d_id, similarity); inputs are (id, vec).
 
-    Few queries (checked by counting up to the bound): the queries form one broadcast block and the
-    stored side is read in place, so it is not shuffled at all. Otherwise both sides are packed and
-    joined tile by tile.
+    Up to ``broadcast_queries`` queries (checked by fetching one more than that) are broadcast, and
+    the stored side is scanned where it lies, without any shuffle. Otherwise both sides are packed
+    and joined tile by tile.
     """
-    id_type_q, id_type_d = B.spark_type(queries, "id"), B.spark_type(stored, "id")
-    stored = stored.where(F.col("vec").isNotNull())
-    few = queries.limit(broadcast_queries + 1).count() <= broadcast_queries
-    if few:
-        one = B.pack_blocks(queries, "id", "vec", broadcast_queries)
-        one = one.select(F.col("b").alias("qb"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-        normal = stored.select("id", unit(F.col("vec")).alias("vec"))
-        tiles = _batches_to_blocks(normal, id_type_d).join(F.broadcast(one), "qb")
-    else:
-        tiles = B.cross_tiles(
-            B.pack_blocks(queries, "id", "vec", block_rows), B.pack_blocks(stored, "id", "vec", block_rows)
-        )
-    schema = f"q_id {id_type_q}, d_id {id_type_d}, similarity double"
-    return B.map_tiles(tiles, _topk_kernel(k, exclude_self), schema)
+    schema = f"q_id {B.spark_type(queries, 'id')}, d_id {B.spark_type(stored, 'id')}, similarity double"
+    queries, stored = (side.where(F.col("vec").isNotNull()).select("id", "vec") for side in (queries, stored))
+    if broadcast_queries > 0:
+        few = queries.limit(broadcast_queries + 1).toArrow()
+        if few.num_rows == 0:
+            return queries.sparkSession.createDataFrame([], schema)
+        if few.num_rows <= broadcast_queries:
+            return _scan_stored(stored, few, k, exclude_self, schema)
+    tiles = B.cross_tiles(
+        B.pack_blocks(queries, "id", "vec", block_rows), B.pack_blocks(stored, "id", "vec", block_rows)
+    )
+    return B.map_tiles(tiles, _tile_kernel(k, exclude_self), schema)
 
 
 def top_k_similar(

@@ -51,8 +51,8 @@ def build_quality(
     )
     cents = materialise(centroids(loaded, "group_id", normalise_rows=True), "centroids")
     spread = cluster_spread(loaded, "group_id", "emb_id", cents)
-    neighbours = nearest_neighbour(cents, "group_id")
+    neighbours = materialise(nearest_neighbour(cents, "group_id"), "neighbours")
     values = materialise(Q.metadata_values(loaded, cards, [f for f in fields if f in loaded.columns]), "meta-values")
-    meta = Q.metadata_summary(values, [f for f in fields if f in loaded.columns])
+    meta = materialise(Q.metadata_summary(values, [f for f in fields if f in loaded.columns]), "meta")
     quality = materialise(Q.quality_table(spread, neighbours, meta, spread_max, overlap, mode), "quality")
     return QualityReport(quality, meta, values, cents)
