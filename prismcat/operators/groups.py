@@ -9,6 +9,7 @@ from prismcat.functions.vectors import euclid, mean_vector, unit
 from prismcat.operators.numbering import with_group_index
 from prismcat.operators.skew import lookup_join
 from prismcat.schemas import CENTROID_INDEX
+from prismcat.session import materialise
 
 
 def centroids(df: DataFrame, key: str, vec: str = "emb", normalise_rows: bool = False) -> DataFrame:
@@ -36,6 +37,7 @@ def cluster_spread(
         F.count("_d").alias("n_vectors"), F.avg("_d").alias("intra_mean_dist"),
         F.max("_d").alias("intra_max_dist"),
     )
+    per_group = materialise(per_group, "spread")  # one row per group; the global figures read it again
     overall = per_group.agg(
         F.struct(F.avg("intra_mean_dist").alias("m"), F.stddev_pop("intra_mean_dist").alias("s"))
     ).scalar()

@@ -203,5 +203,5 @@ def run_summary(matches: DataFrame, failed: DataFrame | None = None) -> DataFram
 def grade_distribution(matches: DataFrame) -> DataFrame:
     """Count and share per grade."""
     counts = matches.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
-    total = matches.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select("grade", "n", (F.col("n") / total).alias("share"))

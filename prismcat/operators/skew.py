@@ -6,35 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/MAX_HOT of all rows, so there are never more than
-# MAX_HOT hot keys: that is the size bound behind the broadcast below.
+# MAX_HOT hot keys.
 MAX_HOT = 1000
 MIN_HOT_ROWS = 200_000
+# Counters of the frequent-items sketch; its error stays well below 1/MAX_HOT of the rows.
+_TRACKED = 10_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``min_rows`` rows and more than 1/MAX_HOT of the table; None if there are none.
+def key_hash(keys: list[str]) -> Column:
+    """Hash of a join key; NULLs hash like any other value."""
+    return F.xxhash64(*[F.col(k) for k in keys])
 
-    ``_salts`` says into how many pieces the key should be split (each about 1/MAX_HOT of the table).
-    Only key columns are read, the count is combined before the shuffle, and at most MAX_HOT rows
-    reach the driver.
+
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> dict[int, int]:
+    """Hash of every hot key -> number of pieces to split it into (each about 1/MAX_HOT of the table).
+
+    One pass over the key columns with a frequent-items sketch: tasks send their counters, no key is
+    shuffled, and at most MAX_HOT entries come back. Finding one key too many or too few changes the
+    balance of a join, never its result.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    share = F.col("_n") * F.lit(MAX_HOT)
-    hot = counts.where((F.col("_n") > min_rows) & (share > total)).select(
-        *keys, F.ceil(share / total).cast("int").alias("_salts")
-    )
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    found = df.select(key_hash(keys).alias("_h")).agg(
+        F.expr(f"approx_top_k(_h, {MAX_HOT}, {_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).head()
+    total = found["n"]
+    return {
+        r["item"]: -(-r["count"] * MAX_HOT // total)
+        for r in found["top"] or [] if r["count"] > min_rows and r["count"] * MAX_HOT > total
+    }
 
 
-def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    side = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    joined = df.join(F.broadcast(side), cond, "left")
-    return joined.drop(*[f"_hot_{k}" for k in keys]).withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+def _pieces(keys: list[str], hot: dict[int, int]) -> Column:
+    """Number of pieces of a row's key, 1 unless it is hot."""
+    table = F.map_from_arrays(
+        F.array(*[F.lit(h).cast("bigint") for h in hot]), F.array(*[F.lit(n).cast("int") for n in hot.values()])
+    )
+    return F.coalesce(F.try_element_at(table, key_hash(keys)), F.lit(1))
 
 
 def lookup_join(
@@ -52,12 +58,11 @@ def lookup_join(
     matching lookup rows are repeated once per piece. Without hot keys it is a plain join, which
     Catalyst turns into a broadcast join when the lookup side is small. ``count_on`` names a cheaper
     table with the same key distribution to look for hot keys in (say, the scan below a join).
+    Key columns must have the same type on both sides.
     """
     hot = hot_keys(facts if count_on is None else count_on, keys, min_rows)
-    if hot is None:
+    if not hot:
         return facts.join(lookup, keys, how)
-    left = _with_salts(facts, hot, keys)
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).drop("_salts")
-    right = _with_salts(lookup, hot, keys)
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), _pieces(keys, hot)).cast("int"))
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), _pieces(keys, hot) - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
