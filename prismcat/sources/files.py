@@ -16,19 +16,23 @@ _CORRUPT = "_corrupt_record"
 def read_cards(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Bulk card records; text that is no card object ends up in ``_corrupt_record``.
 
-    ``array``: one JSON array per file (one task per file). ``array_lines``: an array written with
-    one object per line, as bulk dumps are; split like any text file. ``lines``: JSON lines.
-    Use one of the latter two for big files.
+    ``array``: one JSON array per file, read as one value (one task per file, below 2 GB).
+    ``array_lines``: an array written with one object per line, as bulk dumps are; split like any
+    text file. ``lines``: JSON lines. Use one of the latter two for big files.
     """
     schema = T.StructType([*CARD_RAW.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    if layout in ("array", "lines"):
-        return spark.read.schema(schema).options(multiLine=layout == "array", **options).json(path)
-    if layout != "array_lines":
+    if layout == "lines":
+        return spark.read.schema(schema).options(**options).json(path)
+    if layout == "array":
+        whole = spark.read.text(path, wholetext=True)
+        items = whole.select(F.explode(F.from_json("value", "array<string>")).alias("item"))
+    elif layout == "array_lines":
+        body = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
+        items = spark.read.text(path).select(body.alias("item")).where(F.col("item") != "")
+    else:
         raise ValueError(f"unknown layout {layout!r}")
-    body = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
-    lines = spark.read.text(path).select(body.alias("line")).where(F.col("line") != "")
-    return lines.select(F.from_json("line", schema, options).alias("c")).select("c.*")
+    return items.select(F.from_json("item", schema, options).alias("c")).select("c.*")
 
 
 def broken_records(raw: DataFrame) -> DataFrame:

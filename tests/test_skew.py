@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismcat.functions.vectors import unit
 from prismcat.operators import blocks as B
 from prismcat.operators import groups as G
 from prismcat.operators import pairs as P
@@ -175,4 +174,3 @@ def test_one_query_block_against_many(vectors):
     assert got.count() == 180
     assert S.top_k_similar(few.where("id > 5"), few, 3, None).count() == 0
     assert S.top_k_similar(few, few.where("id > 5"), 3, None).count() == 0
-    assert unit is not None
