@@ -101,8 +101,12 @@ def pack_group_blocks(
     rows = df.where(F.col(group_col).isNotNull() & F.col(vec_col).isNotNull()).select(
         F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")
     )
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
-    spread = lookup_join(rows, sizes, ["g"], F.col("id"), "inner")
+    # only groups above one block are looked up, so the table joined here is usually tiny or empty
+    large = (
+        rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+        .select("g", F.ceil(F.col("_n") / block_rows).cast("int").alias("nb"))
+    )
+    spread = lookup_join(rows, large, ["g"], F.col("id")).withColumn("nb", F.coalesce("nb", F.lit(1)))
     spread = spread.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     return _pack(spread, ["g", "b", "nb"])
 
@@ -137,9 +141,8 @@ def cross_tiles(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """Every query block against every stored block: (qb, q_ids, q_mat, d_ids, d_mat, dim).
 
     A query block meets BLOCKS_PER_TASK stored blocks under one join key, so it is copied less often
-    and the rows of one key come out together.
+    and the rows of one key come out together. Both inputs should be stored tables.
     """
-    queries, stored = materialise(queries, "query-blocks"), materialise(stored, "stored-blocks")
     groups = stored.agg(F.ceil(F.coalesce(F.max("nb"), F.lit(1)) / BLOCKS_PER_TASK).cast("int")).scalar()
     n_q = queries.agg(F.coalesce(F.max("nb"), F.lit(1))).scalar()
     left = queries.select(

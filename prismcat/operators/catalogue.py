@@ -11,7 +11,7 @@ from prismcat.functions.columns import (
 from prismcat.functions.vectors import unit
 from prismcat.operators.groups import first_rows
 from prismcat.operators.skew import lookup_join
-from prismcat.schemas import CARDS, PRICE_KEYS
+from prismcat.schemas import CARDS, PRICE_KEYS, image_key
 
 
 def flatten_cards(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -73,9 +73,9 @@ def load_statistics(target: DataFrame, batch: DataFrame, keys: list[str], errors
 
 
 def image_rows(cards: DataFrame, path: Column, source: str, training: bool = True) -> DataFrame:
-    """Image table rows; the id is a hash of the unique (print, path) pair."""
+    """Image table rows, one per card row."""
     return cards.select(
-        F.xxhash64("print_id", path).alias("image_id"), "print_id", "logical_id",
+        image_key(F.col("print_id"), path).alias("image_id"), "print_id", "logical_id",
         path.alias("file_path"), F.lit(source).alias("source"), F.col("lang").alias("language"),
         F.lit(training).alias("is_training"),
     )

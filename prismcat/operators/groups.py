@@ -33,9 +33,13 @@ def cluster_spread(
     cents = centroids(df, key, vec, normalise_rows=True) if cents is None else cents
     rows = df.select(key, F.col(row_id).alias("_row"), unit(F.col(vec)).alias("_unit"))
     joined = lookup_join(rows, cents.select(key, "centroid"), [key], F.col("_row"), "inner", **skew)
-    per_group = joined.select(key, euclid(F.col("_unit"), F.col("centroid")).alias("_d")).groupBy(key).agg(
-        F.count("_d").alias("n_vectors"), F.avg("_d").alias("intra_mean_dist"),
-        F.max("_d").alias("intra_max_dist"),
+    return spread_statistics(joined.select(key, euclid(F.col("_unit"), F.col("centroid")).alias("_d")), key)
+
+
+def spread_statistics(distances: DataFrame, key: str) -> DataFrame:
+    """G03 from (key, _d): per group and global figures."""
+    per_group = distances.groupBy(key).agg(
+        F.count("_d").alias("n_vectors"), F.avg("_d").alias("intra_mean_dist"), F.max("_d").alias("intra_max_dist")
     )
     per_group = materialise(per_group, "spread")  # one row per group; the global figures read it again
     overall = per_group.agg(

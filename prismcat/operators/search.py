@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prismcat.functions.columns import match_grade
 from prismcat.functions.vectors import SIM_DECIMALS, unit_euclid_from_cosine
 from prismcat.operators import blocks as B
+from prismcat.session import materialise
 
 # At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
 BROADCAST_QUERIES = 4096
@@ -122,6 +123,7 @@ def candidate_hits(
     and joined tile by tile.
     """
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {B.spark_type(stored, 'id')}, similarity double"
+    same = queries is stored
     queries, stored = (side.where(F.col("vec").isNotNull()).select("id", "vec") for side in (queries, stored))
     if broadcast_queries > 0:
         few = queries.limit(broadcast_queries + 1).toArrow()
@@ -129,9 +131,9 @@ def candidate_hits(
             return queries.sparkSession.createDataFrame([], schema)
         if few.num_rows <= broadcast_queries:
             return _scan_stored(stored, few, k, exclude_self, schema)
-    tiles = B.cross_tiles(
-        B.pack_blocks(queries, "id", "vec", block_rows), B.pack_blocks(stored, "id", "vec", block_rows)
-    )
+    packed = materialise(B.pack_blocks(stored, "id", "vec", block_rows), "stored-blocks")
+    asked = packed if same else materialise(B.pack_blocks(queries, "id", "vec", block_rows), "query-blocks")
+    tiles = B.cross_tiles(asked, packed)
     return B.map_tiles(tiles, _tile_kernel(k, exclude_self), schema)
 
 

@@ -14,6 +14,7 @@ from prismcat.functions.columns import (
 from prismcat.operators import images as I
 from prismcat.operators.catalogue import backfill_logical_id
 from prismcat.operators.groups import expected_vectors, export_audit, export_records
+from prismcat.schemas import embedding_key, image_key
 from prismcat.session import materialise
 
 
@@ -55,12 +56,14 @@ def export_rows(encoded: DataFrame, cards: DataFrame, settings: ExportSettings,
     """Rows of the embedding table for one mode, with image id and resolved logical id."""
     stored = materialise(encoded, "encoded")
     path = relative_path(F.col("path"), root) if root else F.col("path")
-    vectors = stored.withColumn("file_path", path).withColumn("image_id", F.xxhash64("print_id", "file_path"))
+    vectors = stored.withColumn("file_path", path).withColumn(
+        "image_id", image_key(F.col("print_id"), F.col("file_path"))
+    )
     rows = export_records(
         vectors, "print_id", [F.col("file_path"), F.col("variant")], settings.append_individual,
         settings.append_centroid, settings.use_centroid,
     )
-    rows = rows.withColumn("emb_id", F.xxhash64("print_id", "aug_index", F.lit(settings.mode)))
+    rows = rows.withColumn("emb_id", embedding_key(F.col("print_id"), F.lit(settings.mode), F.col("aug_index")))
     rows = backfill_logical_id(rows.withColumn("logical_id", F.lit(None).cast("string")), cards, "emb_id")
     return rows.select(
         "emb_id", "print_id", "logical_id", "image_id", F.lit(settings.mode).alias("mode"), "aug_index",
@@ -74,7 +77,7 @@ def export_images(encoded: DataFrame, source: str, root: str = "") -> DataFrame:
     path = relative_path(F.col("path"), root) if root else F.col("path")
     named = encoded.select("print_id", path.alias("file_path")).distinct()
     return named.select(
-        F.xxhash64("print_id", "file_path").alias("image_id"), "print_id",
+        image_key(F.col("print_id"), F.col("file_path")).alias("image_id"), "print_id",
         F.lit(None).cast("string").alias("logical_id"), "file_path", F.lit(source).alias("source"),
         language_from_file_name(F.col("file_path")).alias("language"), F.lit(True).alias("is_training"),
     )

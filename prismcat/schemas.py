@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +35,12 @@ CARDS = _struct(
 )
 
 IMAGES = _struct(
-    ("image_id", T.LongType()), ("print_id", _S), ("logical_id", _S), ("file_path", _S),
+    ("image_id", _S), ("print_id", _S), ("logical_id", _S), ("file_path", _S),
     ("source", _S), ("language", _S), ("is_training", T.BooleanType()),
 )
 
 EMBEDDINGS = _struct(
-    ("emb_id", T.LongType()), ("print_id", _S), ("logical_id", _S), ("image_id", T.LongType()),
+    ("emb_id", _S), ("print_id", _S), ("logical_id", _S), ("image_id", _S),
     ("mode", _S), ("aug_index", T.IntegerType()), ("emb", T.ArrayType(T.FloatType())),
     ("model_id", _S), ("created_at", T.TimestampType()),
 )
@@ -49,6 +49,16 @@ EMBEDDINGS = _struct(
 CENTROID_INDEX = 999
 
 
+def image_key(print_id: Column, path: Column) -> Column:
+    """Image id: digest of the unique (print, path) pair. 64-bit hashes would collide at this scale."""
+    return F.md5(F.concat_ws("\u0001", print_id.cast("string"), path).cast("binary"))
+
+
+def embedding_key(print_id: Column, mode: Column, aug_index: Column) -> Column:
+    """Embedding id: the unique (print, mode, index) spelled out."""
+    return F.concat_ws("#", print_id.cast("string"), mode, aug_index.cast("string"))
+
+
 def evolve(df: DataFrame, declared: T.StructType) -> DataFrame:
     """Add declared columns that are missing as typed NULLs; keep extra columns at the end."""
     have = set(df.columns)
