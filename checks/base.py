@@ -5,14 +5,17 @@ Column lists are shared text: Spark runs them through ``selectExpr``, the SQL ch
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismcat.operators.groups import centroids
-from prismcat.session import materialise
+from prismcat.session import materialise, ship_packages
 
+_ROOT = Path(__file__).resolve().parents[1]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,7 +25,13 @@ def query(name: str, sql: str | None = None):
 
     def register(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_packages(spark, _ROOT / "prismcat", _ROOT / "checks")
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

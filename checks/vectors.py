@@ -97,7 +97,16 @@ def j09(spark, sf) -> DataFrame:
 def j09_tiles(spark, sf) -> DataFrame:
     """The path for many queries: both sides packed and joined tile by tile."""
     v = _vectors(spark, sf).select("id", "vec")
-    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, broadcast_queries=0, block_rows=256)
+    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, broadcast_queries=0, block_rows=256, prune=False)
+    return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
+
+
+@query("j09_topk_similarity_pruned", f"""WITH {HITS} SELECT q AS query_id, d AS stored_id, {sql6("s", "similarity")},
+ {sql6("1 - s", "distance")}, CAST(rk AS INT) AS "rank" FROM hits""")
+def j09_pruned(spark, sf) -> DataFrame:
+    """The same with blocks ordered by direction and unreachable tiles left out."""
+    v = _vectors(spark, sf).select("id", "vec")
+    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, broadcast_queries=0, block_rows=256, prune=True)
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
 
 

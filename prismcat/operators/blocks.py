@@ -24,7 +24,7 @@ BLOCK_ROWS = 16384
 # Stored blocks handled together with one query block, so that their hits are merged in the task.
 BLOCKS_PER_TASK = 8
 # Elements of a similarity strip held at once (8 bytes each).
-STRIP_ELEMENTS = 4_000_000
+STRIP_ELEMENTS = 1_000_000
 
 
 def row_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -54,7 +54,7 @@ def _blocks_of(table: pa.Table, keys: list[str], starts: np.ndarray, schema: pa.
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
+def pack_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key combination: (keys, ids, mat, dim), ``mat`` being the raw vector bytes.
 
     Rows are shuffled and sorted by key and id once; the blocks are then cut from the sorted stream.
@@ -91,7 +91,7 @@ def pack_blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = BLOC
     numbered = rows.withColumn("nb", blocks.cast("int")).withColumn(
         "b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     )
-    return _pack(numbered, ["b", "nb"])
+    return pack_rows(numbered, ["b", "nb"])
 
 
 def pack_group_blocks(
@@ -108,7 +108,7 @@ def pack_group_blocks(
     )
     spread = lookup_join(rows, large, ["g"], F.col("id")).withColumn("nb", F.coalesce("nb", F.lit(1)))
     spread = spread.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    return _pack(spread, ["g", "b", "nb"])
+    return pack_rows(spread, ["g", "b", "nb"])
 
 
 def self_tiles(blocks: DataFrame) -> DataFrame:

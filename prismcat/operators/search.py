@@ -13,24 +13,45 @@ from pyspark.sql import functions as F
 from prismcat.functions.columns import match_grade
 from prismcat.functions.vectors import SIM_DECIMALS, unit_euclid_from_cosine
 from prismcat.operators import blocks as B
+from prismcat.operators import cells as CELL
 from prismcat.session import materialise
 
 # At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
 BROADCAST_QUERIES = 4096
 
 
-def _best_columns(sims: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k largest entries per row; the leftmost wins a tie."""
-    k = min(k, sims.shape[1])
+def _take_largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, column numbers) of the k largest entries per row, leftmost first; uses ``sims`` up."""
     if k > 32:
-        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    work, picks = sims.copy(), []
-    rows = np.arange(len(work))
-    for _ in range(k):
-        best = work.argmax(axis=1)
-        picks.append(best)
-        work[rows, best] = -np.inf
-    return np.stack(picks, axis=1)
+        cols = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(sims, cols, 1), cols
+    values, cols, rows = np.empty((len(sims), k)), np.empty((len(sims), k), np.int64), np.arange(len(sims))
+    for i in range(k):
+        cols[:, i] = sims.argmax(axis=1)
+        values[:, i] = sims[rows, cols[:, i]]
+        sims[rows, cols[:, i]] = -np.inf
+    return values, cols
+
+
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best entries per row by (rounded similarity, column number).
+
+    Only the entries taken are rounded. Where the next entry could round to the same value as the
+    last one taken, the whole row is rounded and chosen from again. Missing entries are -inf.
+    """
+    k = min(k, sims.shape[1])
+    more = min(k + 1, sims.shape[1])
+    values, cols = _take_largest(sims if more <= 32 else sims.copy(), more)
+    near = 2 * 10.0**-SIM_DECIMALS
+    unsure = np.flatnonzero((values[:, more - 1] > -np.inf) & (values[:, more - 1] >= values[:, k - 1] - near)) if more > k else []
+    rounded = np.round(values, SIM_DECIMALS)
+    order = np.lexsort((cols, -rounded), axis=1)[:, :k]
+    result = np.take_along_axis(rounded, order, 1), np.take_along_axis(cols, order, 1)
+    if len(unsure):
+        again = sims[unsure]
+        again[np.arange(len(unsure))[:, None], cols[unsure]] = values[unsure]
+        result[0][unsure], result[1][unsure] = _take_largest(np.round(again, SIM_DECIMALS), k)
+    return result
 
 
 def _merge(old, sims: np.ndarray, ids: np.ndarray, k: int):
@@ -54,42 +75,70 @@ class _Best:
         ids, vectors = ids[order], vectors[order]
         found = []
         for part in B.strips(len(self.ids), len(ids)):
-            sims = np.round(self.vectors[part] @ vectors.T, SIM_DECIMALS)
+            sims = self.vectors[part] @ vectors.T
             if self.exclude_self:
-                sims[self.ids[part, None] == ids[None, :]] = -np.inf
-            cols = _best_columns(sims, self.k)
-            found.append((np.take_along_axis(sims, cols, 1), ids[cols]))
+                at = np.minimum(np.searchsorted(ids, self.ids[part]), len(ids) - 1)
+                own = np.flatnonzero(ids[at] == self.ids[part])
+                sims[own, at[own]] = -np.inf
+            values, cols = _best(sims, self.k)
+            found.append((values, ids[cols]))
         sims, near = (np.concatenate(x) for x in zip(*found))
         self.hits = _merge(self.hits, sims, near, self.k)
 
-    def frame(self) -> pd.DataFrame:
+    def frame(self, floor: float) -> pd.DataFrame:
+        """The hits that reach the floor."""
         if self.hits is None:
             return pd.DataFrame({"q_id": self.ids[:0], "d_id": self.ids[:0], "similarity": np.empty(0)})
         sims, near = self.hits
         frame = pd.DataFrame(
             {"q_id": np.repeat(self.ids, sims.shape[1]), "d_id": near.ravel(), "similarity": sims.ravel()}
         )
-        return frame[frame.similarity > -np.inf]
+        return frame[frame.similarity >= floor]
+
+    def weakest(self) -> float:
+        """Smallest k-th best similarity of the block's queries, -1 if one has fewer than k hits."""
+        if self.hits is None or self.hits[0].shape[1] < self.k:
+            return -1.0
+        return float(max(self.hits[0][:, -1].min(), -1.0))
+
+
+def _block_results(rows, k: int, exclude_self: bool):
+    """(cell, finished block) for every run of tiles with the same query block."""
+    current, best, cell = None, None, None
+    for row in rows:
+        if row.qb != current:
+            if best is not None:
+                yield cell, best
+            ids = B.id_array(row.q_ids)
+            current, cell = row.qb, getattr(row, "cell", None)
+            best = _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self)
+        near = B.id_array(row.d_ids)
+        best.add(near, B.matrix(row.d_mat, len(near), row.dim))
+    if best is not None:
+        yield cell, best
+
+
+def _tile_hits(tiles: DataFrame, k: int, exclude_self: bool, floor: float, schema: str) -> DataFrame:
+    def kernel(rows) -> Iterator[pd.DataFrame]:
+        for _, best in _block_results(rows, k, exclude_self):
+            yield best.frame(floor)
+
+    return B.map_tiles(tiles, kernel, schema)
 
 
-def _tile_kernel(k: int, exclude_self: bool):
+def _cell_floors(tiles: DataFrame, k: int, exclude_self: bool) -> dict[int, float]:
+    """Per query cell a similarity that the k-th hit of all its queries reaches."""
     def kernel(rows) -> Iterator[pd.DataFrame]:
-        current, best = None, None
-        for row in rows:
-            if row.qb != current:
-                if best is not None:
-                    yield best.frame()
-                ids = B.id_array(row.q_ids)
-                current, best = row.qb, _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self)
-            near = B.id_array(row.d_ids)
-            best.add(near, B.matrix(row.d_mat, len(near), row.dim))
-        if best is not None:
-            yield best.frame()
-
-    return kernel
-
-
-def _scan_stored(stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, schema: str) -> DataFrame:
+        for cell, best in _block_results(rows, k, exclude_self):
+            yield pd.DataFrame({"cell": [cell], "floor": [best.weakest()]})
+
+    found = B.map_tiles(tiles, kernel, "cell int, floor double").groupBy("cell").agg(F.min("floor").alias("floor"))
+    return {r["cell"]: r["floor"] for r in found.collect()}  # one row per cell
+
+
+def _scan_stored(
+    stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, floor: float, schema: str
+) -> DataFrame:
     """Read the stored side once, in place; a partition emits k hits per query at its end."""
     held = stored.sparkSession.sparkContext.broadcast(
         (B.id_array(queries.column("id").to_numpy()), B.unit_rows(B.vector_array(queries.column("vec"))))
@@ -103,26 +152,54 @@ def _scan_stored(stored: DataFrame, queries: pa.Table, k: int, exclude_self: boo
                 table = pa.Table.from_batches([batch])
                 best.add(B.id_array(table.column("id").to_numpy()), B.unit_rows(B.vector_array(table.column("vec"))))
         if best.hits is not None:
-            yield pa.RecordBatch.from_pandas(best.frame()[names], preserve_index=False)
+            yield pa.RecordBatch.from_pandas(best.frame(floor)[names], preserve_index=False)
 
     return stored.select("id", "vec").mapInArrow(scan, schema)
 
 
+def _pruned_hits(
+    queries: DataFrame, stored: DataFrame, same: bool, k: int, exclude_self: bool, floor: float, block_rows: int,
+    cells: int, schema: str,
+) -> DataFrame:
+    """Tile search over cells of similar direction; pairs of cells out of reach are skipped."""
+    axes = CELL.directions(stored, cells)
+    d_cells = CELL.with_cells(stored, axes)
+    d_blocks, d_figures = CELL.cell_blocks(d_cells, block_rows)
+    if same:
+        q_blocks, q_figures = d_blocks, d_figures
+    else:
+        q_blocks, q_figures = CELL.cell_blocks(CELL.with_cells(queries, axes), block_rows)
+    if not q_figures or not d_figures:
+        return queries.sparkSession.createDataFrame([], schema)
+    spark = queries.sparkSession
+    own = np.equal.outer([r["cell"] for r in q_figures], [r["cell"] for r in d_figures])
+    first = CELL.pair_table(spark, q_figures, d_figures, own, first_group_only=True)
+    found = _cell_floors(CELL.paired_tiles(q_blocks, d_blocks, first), k, exclude_self)
+    floors = {r["cell"]: max(found.get(r["cell"], -1.0), floor) for r in q_figures}
+    pairs = CELL.pair_table(spark, q_figures, d_figures, CELL.reachable(axes, q_figures, d_figures, floors))
+    return _tile_hits(CELL.paired_tiles(q_blocks, d_blocks, pairs), k, exclude_self, floor, schema)
+
+
 def candidate_hits(
     queries: DataFrame,
     stored: DataFrame,
     k: int,
+    threshold: float | None = None,
     exclude_self: bool = False,
     block_rows: int = B.BLOCK_ROWS,
     broadcast_queries: int = BROADCAST_QUERIES,
+    prune: bool = False,
 ) -> DataFrame:
     """At least the true top-k per query as (q_id, d_id, similarity); inputs are (id, vec).
 
     Up to ``broadcast_queries`` queries (checked by fetching one more than that) are broadcast, and
     the stored side is scanned where it lies, without any shuffle. Otherwise both sides are packed
-    and joined tile by tile.
+    into blocks and joined tile by tile. ``prune`` orders the blocks by direction and leaves out tiles
+    out of reach; it pays when the vectors fall into up to about a thousand groups of similar
+    direction, and costs one more pass over them. All ways are exact.
     """
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {B.spark_type(stored, 'id')}, similarity double"
+    floor = -1.0 if threshold is None else threshold
     same = queries is stored
     queries, stored = (side.where(F.col("vec").isNotNull()).select("id", "vec") for side in (queries, stored))
     if broadcast_queries > 0:
@@ -130,11 +207,18 @@ def candidate_hits(
         if few.num_rows == 0:
             return queries.sparkSession.createDataFrame([], schema)
         if few.num_rows <= broadcast_queries:
-            return _scan_stored(stored, few, k, exclude_self, schema)
+            return _scan_stored(stored, few, k, exclude_self, floor, schema)
+    blocks = -(-stored.count() // block_rows)
+    if blocks == 0:
+        return queries.sparkSession.createDataFrame([], schema)
+    # k copies of a vector are enough for any query, one more when a query may be one of them
+    reduced = CELL.first_copies(stored, k + 1)
+    same, stored = same and reduced is stored, reduced
+    if prune:
+        return _pruned_hits(queries, stored, same, k, exclude_self, floor, block_rows, blocks, schema)
     packed = materialise(B.pack_blocks(stored, "id", "vec", block_rows), "stored-blocks")
     asked = packed if same else materialise(B.pack_blocks(queries, "id", "vec", block_rows), "query-blocks")
-    tiles = B.cross_tiles(asked, packed)
-    return B.map_tiles(tiles, _tile_kernel(k, exclude_self), schema)
+    return _tile_hits(B.cross_tiles(asked, packed), k, exclude_self, floor, schema)
 
 
 def top_k_similar(
@@ -151,7 +235,7 @@ def top_k_similar(
     Hits are per stored vector. Ties go to the smaller id. Spark cuts the candidates to k per query
     within each task before the final shuffle.
     """
-    hits = candidate_hits(queries, stored, k, exclude_self, **plan)
+    hits = candidate_hits(queries, stored, k, threshold, exclude_self, **plan)
     order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("d_id"))
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if threshold is not None:

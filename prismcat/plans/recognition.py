@@ -49,8 +49,8 @@ def recognise(
 def photo_vectors(
     images: DataFrame, make_model: Callable, size_hw: tuple[int, int], roi: dict | None = None, batch_size: int = 64
 ) -> DataFrame:
-    """Query photos to (id, vec): region of interest, tensor, encoder."""
+    """Query photos to (id, vec): region of interest, tensor, encoder. Stored, as a search reads it twice."""
     cropped = I.crop_roi(images, roi) if roi else images
     tensors = I.image_tensors(cropped, size_hw)
     vec = I.encode(F.col("tensor"), make_model, [3, *size_hw], batch_size)
-    return tensors.select(F.col("origin").alias("id"), vec.alias("vec"))
+    return materialise(tensors.select(F.col("origin").alias("id"), vec.alias("vec")), "photos")

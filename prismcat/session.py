@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_packages(spark: SparkSession, *packages: str | Path) -> None:
+    """Make package folders importable in the Python workers, once per application.
+
+    The same as submitting them with ``--py-files``: Spark copies the archive from the driver to
+    every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="prismcat-py-")) / "prismcat_packages.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder in map(Path, packages):
+            for file in sorted(folder.rglob("*.py")):
+                out.write(file, Path(folder.name) / file.relative_to(folder))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)

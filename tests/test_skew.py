@@ -98,7 +98,7 @@ def brute(base, k, exclude=True):
     return sorted(out)
 
 
-@pytest.mark.parametrize("parts,plan", list(itertools.product([1, 7], [{}, {"broadcast_queries": 0, "block_rows": 8}, {"broadcast_queries": 0}])))
+@pytest.mark.parametrize("parts,plan", list(itertools.product([1, 7], [{}, {"broadcast_queries": 0, "block_rows": 8, "prune": True}, {"broadcast_queries": 0, "block_rows": 8, "prune": False}, {"broadcast_queries": 0}])))
 def test_search_paths_agree(vectors, parts, plan):
     df, base = vectors
     side = df.select("id", "vec").repartition(parts)
@@ -106,6 +106,15 @@ def test_search_paths_agree(vectors, parts, plan):
     assert rows_of(got, "query_id", "stored_id", "rank") == brute(base, 4)
 
 
+@pytest.mark.parametrize("plan", [{}, {"broadcast_queries": 0, "block_rows": 1}])
+def test_blocks_smaller_than_k(vectors, plan):
+    """A block that holds little more than the query itself must not repeat a hit."""
+    df, base = vectors
+    side = df.where("id in (0, 1, 2)").select("id", "vec")
+    got = S.top_k_similar(side, side, 5, None, exclude_self=True, **plan)
+    assert rows_of(got, "query_id", "stored_id", "rank") == brute(base[:3], 2)
+
+
 def test_text_ids(vectors):
     df, base = vectors
     side = df.select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), "vec")
@@ -174,3 +183,47 @@ def test_one_query_block_against_many(vectors):
     assert got.count() == 180
     assert S.top_k_similar(few.where("id > 5"), few, 3, None).count() == 0
     assert S.top_k_similar(few, few.where("id > 5"), 3, None).count() == 0
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Tight clusters in separate directions; one of them holds a third of the rows, half of those being copies."""
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    label = np.where(np.arange(360) % 3 == 0, 0, 1 + np.arange(360) % 11)
+    base = centres[label] + 0.02 * rng.normal(size=(360, 12))
+    base[::6] = base[0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    return spark.createDataFrame(rows, "id bigint, vec array<double>"), base
+
+
+@pytest.mark.parametrize("threshold", [None, 0.9])
+@pytest.mark.parametrize("min_hot", [10, 200_000])
+def test_pruned_search_is_exact(clustered, monkeypatch, threshold, min_hot):
+    from prismcat.operators import cells
+
+    df, base = clustered
+    monkeypatch.setattr(cells, "hot_keys", lambda d, keys: hot_keys(d, keys, min_hot))
+    kept = {}
+    original = cells.reachable
+
+    def spy(*args):
+        kept["share"] = original(*args).mean()
+        return original(*args)
+
+    monkeypatch.setattr(cells, "reachable", spy)
+    plan = {"broadcast_queries": 0, "block_rows": 12, "prune": True}
+    got = rows_of(S.top_k_similar(df, df, 3, threshold, exclude_self=True, **plan), "query_id", "stored_id", "rank")
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 9)
+    assert got == [(q, d, r) for q, d, r in brute(base, 3) if threshold is None or sims[q, d] >= threshold]
+    assert kept["share"] < 0.5  # most cell pairs were skipped
+
+
+def test_first_copies_keeps_the_smallest_ids(clustered, monkeypatch):
+    from prismcat.operators import cells
+
+    df, _ = clustered
+    monkeypatch.setattr(cells, "hot_keys", lambda d, keys: hot_keys(d, keys, 10))
+    left = sorted(r["id"] for r in cells.first_copies(df, 2).collect())
+    assert left == [i for i in range(360) if i % 6 or i in (0, 6)]  # 60 copies of row 0
