@@ -97,13 +97,40 @@ def i04(spark, sf) -> DataFrame:
     return out.select("origin", "variant", "height", "width", F.md5("data").alias("digest"))
 
 
-def _effect_sql(r: str, g: str, b: str) -> str:
+def _effect_sql(r: str, g: str, b: str, pixels: str = "p AS (SELECT * FROM p0)") -> str:
     """Mean bytes after a per-pixel effect; results are cut to whole bytes."""
-    cut = lambda e: f"avg(floor(least(greatest({e}, 0), 255)))"
-    return f"""WITH {V_PIXELS}, p AS (SELECT label, vec_id, round(r * 255) AS r, round(g * 255) AS g, round(b * 255) AS b FROM v_px)
+    cut = lambda e: f"avg(floor(least(greatest({e}, 0), 255) + 1e-6))"
+    return f"""WITH {V_PIXELS}, p0 AS (SELECT label, vec_id, y, x, round(r * 255) AS r, round(g * 255) AS g, round(b * 255) AS b,
+ 0.299 * round(r * 255) + 0.587 * round(g * 255) + 0.114 * round(b * 255) AS lum FROM v_px), {pixels}
  SELECT {ORIGIN_SQL} AS origin, {sql6(cut(r), "red")}, {sql6(cut(g), "green")}, {sql6(cut(b), "blue")} FROM p GROUP BY label, vec_id"""
 
 
+def _each(template: str) -> list[str]:
+    return [template.replace("#", c) for c in "rgb"]
+
+
+# weighted sum over the 3 x 3 neighbourhood (centre counts 5), border pixels as they are
+_SMOOTH = """p AS (SELECT c.*, CASE WHEN c.y IN (0, 7) OR c.x IN (0, 7) THEN c.r ELSE s.r END AS sr, CASE WHEN c.y IN (0, 7) OR c.x IN (0, 7) THEN c.g ELSE s.g END AS sg,
+ CASE WHEN c.y IN (0, 7) OR c.x IN (0, 7) THEN c.b ELSE s.b END AS sb FROM p0 c JOIN (SELECT a.vec_id, a.y, a.x, (sum(n.r) + 4 * any_value(a.r)) / 13 AS r,
+ (sum(n.g) + 4 * any_value(a.g)) / 13 AS g, (sum(n.b) + 4 * any_value(a.b)) / 13 AS b FROM p0 a JOIN p0 n ON n.vec_id = a.vec_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1
+ GROUP BY a.vec_id, a.y, a.x) s USING (vec_id, y, x))"""
+# separable Gaussian, sigma 1, three pixels either way, edge pixels repeated
+_BLUR = """k AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * e * e)) FROM range(-3, 4) t(e)) AS w FROM range(-3, 4) t(d)),
+ v AS (SELECT c.label, c.vec_id, c.y, c.x, sum(k.w * n.r) AS r, sum(k.w * n.g) AS g, sum(k.w * n.b) AS b FROM p0 c, k JOIN p0 n ON n.vec_id = c.vec_id AND n.x = c.x
+  AND n.y = least(greatest(c.y + k.d, 0), 7) GROUP BY ALL),
+ p AS (SELECT c.label, c.vec_id, c.y, c.x, sum(k.w * n.r) AS r, sum(k.w * n.g) AS g, sum(k.w * n.b) AS b FROM v c, k JOIN v n ON n.vec_id = c.vec_id AND n.y = c.y
+  AND n.x = least(greatest(c.x + k.d, 0), 7) GROUP BY ALL)"""
+# hue turned by 10 of 256 steps at constant value and chroma
+_HUE = """h AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM p0), s AS (SELECT *, top - low AS c, CASE WHEN top = low THEN 0.0
+ WHEN top = r THEN (g - b) / (top - low) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN top = g THEN (b - r) / (top - low) + 2 ELSE (r - g) / (top - low) + 4 END AS hue FROM h),
+ t AS (SELECT *, CASE WHEN hue + 60 / 256.0 >= 6 THEN hue + 60 / 256.0 - 6 ELSE hue + 60 / 256.0 END AS u FROM s), p AS (SELECT * FROM t)"""
+
+
+def _share(hue: int) -> str:
+    away = f"least(abs(u - {hue}), 6 - abs(u - {hue}))"
+    return f"low + c * least(greatest(2 - {away}, 0), 1)"
+
+
 def _effect(spark, sf, effect) -> DataFrame:
     out = I.effect_images(pixel_images(spark, sf), effect)
     per = I.image_statistics(out)
@@ -116,7 +143,7 @@ def i04a(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.exposure(img, 0.5))
 
 
-@query("i04b_contrast")
+@query("i04b_contrast", _effect_sql(*_each("m + (# - m) * 1.3"), pixels="p AS (SELECT *, floor(avg(lum) OVER (PARTITION BY vec_id) + 0.5 + 1e-6) AS m FROM p0)"))
 def i04b(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.contrast(img, 1.3))
 
@@ -126,7 +153,7 @@ def i04c(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.gamma_curve(img, 2.0))
 
 
-@query("i04d_saturation")
+@query("i04d_saturation", _effect_sql(*_each("lum + (# - lum) * 0.7")))
 def i04d(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.saturation(img, 0.7))
 
@@ -136,7 +163,7 @@ def i04e(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.color_temperature(img, 1.25))
 
 
-@query("i04f_hue_shift")
+@query("i04f_hue_shift", _effect_sql(_share(0), _share(2), _share(4), _HUE))
 def i04f(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.hue_shift(img, 10.0))
 
@@ -146,12 +173,12 @@ def i04g(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.noise(img, 0.02, rng))
 
 
-@query("i04h_sharpness")
+@query("i04h_sharpness", _effect_sql(*_each("s# + (# - s#) * 1.5"), pixels=_SMOOTH))
 def i04h(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.sharpness(img, 1.5))
 
 
-@query("i04i_blur")
+@query("i04i_blur", _effect_sql("r", "g", "b", _BLUR))
 def i04i(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.blur(img, 1.0))
 

@@ -22,7 +22,8 @@ def to_bytes(img: np.ndarray) -> bytes:
 
 
 def as_bytes(img: np.ndarray) -> np.ndarray:
-    return np.clip(img, 0, 255).astype(np.uint8)
+    """Cut to whole bytes; the tolerance keeps a whole number whole after rounding noise."""
+    return (np.clip(img, 0, 255) + 1e-6).astype(np.uint8)
 
 
 def grey(img: np.ndarray) -> np.ndarray:
@@ -214,7 +215,8 @@ def exposure(img, factor):
 
 
 def contrast(img, factor):
-    return blend(np.round(grey(img).mean()), img, factor)
+    """Around the mean luminance, which is rounded half up (with a tolerance for rounding noise)."""
+    return blend(np.floor(grey(img).mean() + 0.5 + 1e-6), img, factor)
 
 
 def gamma_curve(img, gamma):

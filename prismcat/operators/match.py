@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prismcat.functions.columns import base_name, blank_to_null, normal_name
 from prismcat.operators.numbering import with_global_index
 from prismcat.operators.skew import lookup_join
+from prismcat.session import materialise
 
 
 def _substrings(text: str):
@@ -39,6 +40,8 @@ def match_names(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.min("ref_id").alias("ref_id"))
     )
     names = q.where(blank_to_null(F.col("q")).isNotNull()).select("q").distinct()
+    # both are read by several branches below
+    keys, names = materialise(keys, "name-keys"), materialise(names, "names")
     exact = names.join(keys, F.col("q") == F.col("key")).select("q", F.col("key").alias("exact_key"))
     rest = names.join(exact.select("q"), "q", "left_anti")
 

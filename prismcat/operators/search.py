@@ -14,6 +14,8 @@ from prismcat.functions.columns import match_grade
 from prismcat.functions.vectors import SIM_DECIMALS, unit_euclid_from_cosine
 from prismcat.operators import blocks as B
 from prismcat.operators import cells as CELL
+from prismcat.operators.groups import first_rows
+from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
 # At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
@@ -246,6 +248,34 @@ def top_k_similar(
     )
 
 
+def top_k_cards(
+    queries: DataFrame, stored: DataFrame, owners: DataFrame, k: int = 5, threshold: float | None = 0.88, **plan
+) -> DataFrame:
+    """J09 with at most one hit per card: the k best cards per query, each by its best vector.
+
+    ``owners`` is (id, print_id) of the stored vectors. The search asks for more and more vectors
+    until every query has k cards or has run out of hits, so no card is missed; each round searches
+    only the queries that are still short.
+    """
+    open_queries, done, depth = queries.select("id", "vec"), None, k
+    while True:
+        hits = top_k_similar(open_queries, stored, depth, threshold, **plan)
+        owner = owners.select(F.col("id").alias("stored_id"), "print_id")
+        hits = materialise(lookup_join(materialise(hits, "hits"), owner, ["stored_id"], F.col("query_id")), "card-hits")
+        order = [F.desc("similarity"), F.asc("stored_id")]
+        best = first_rows(hits, ["query_id", "print_id"], order)
+        place = Window.partitionBy("query_id").orderBy(*order)
+        ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        reached = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("print_id").alias("cards"))
+        short = materialise(reached.where((F.col("n") == depth) & (F.col("cards") < k)).select("query_id"), "short")
+        part = ranked.join(short, "query_id", "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if short.isEmpty():
+            return done.select("query_id", "print_id", "stored_id", "similarity", "distance", "rank")
+        open_queries = open_queries.join(short.withColumnRenamed("query_id", "id"), "id", "left_semi")
+        depth *= 4
+
+
 def nearest_neighbour(centroids: DataFrame, key: str, vec: str = "centroid", **plan) -> DataFrame:
     """Closest other group of every group; NULL neighbour when there is no other group.
 

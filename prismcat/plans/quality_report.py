@@ -85,6 +85,7 @@ def _image_values(rows: DataFrame, prints: DataFrame, images: DataFrame) -> Data
     pairs = rows.where(F.col("image_id").isNotNull()).select("print_id", "_member", "image_id").distinct()
     paths = images.where(blank_to_null(F.col("file_path")).isNotNull()).select("image_id", F.col("file_path").alias("value"))
     found = pairs.join(paths, "image_id").select("print_id", "_member", "value").distinct()
+    found = materialise(found, "image-values")
     named = lookup_join(
         found, prints.select("print_id", "_member", "group_id"), ["print_id", "_member"], F.col("value"), "inner"
     )
