@@ -110,17 +110,28 @@ def j09_pruned(spark, sf) -> DataFrame:
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
 
 
-@query("j09_topk_cards", f"""WITH {HITS}, c AS (SELECT s.q, e.print_id, s.d, s.s, row_number() OVER (PARTITION BY s.q, e.print_id ORDER BY s.s DESC, s.d) rn
- FROM s JOIN v_emb e ON e.emb_id = s.d), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) rk FROM c WHERE rn = 1)
- SELECT q AS query_id, print_id, d AS stored_id, {sql6("s", "similarity")}, CAST(rk AS INT) AS "rank" FROM r WHERE rk <= 5 AND s >= 0.2""")
-def j09_cards(spark, sf) -> DataFrame:
-    """At most one hit per print."""
+CARD_SQL = f"""WITH {HITS}, c AS (SELECT s.q, e.print_id, s.d, s.s, row_number() OVER (PARTITION BY s.q, e.print_id ORDER BY s.s DESC, s.d) rn
+ FROM s JOIN v_emb e ON e.emb_id = s.d), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, CAST(print_id AS VARCHAR)) rk FROM c WHERE rn = 1)
+ SELECT q AS query_id, print_id, d AS stored_id, {sql6("s", "similarity")}, CAST(rk AS INT) AS "rank" FROM r WHERE rk <= 5 AND s >= 0.2"""
+
+
+def _cards(spark, sf, **plan) -> DataFrame:
     v = _vectors(spark, sf)
-    side = v.select("id", "vec")
-    hits = S.top_k_cards(side, side, v.select("id", "print_id"), 5, 0.2, exclude_self=True)
+    hits = S.top_k_cards(v, v, 5, 0.2, exclude_self=True, **plan)
     return hits.select("query_id", "print_id", "stored_id", r6("similarity"), "rank")
 
 
+@query("j09_topk_cards", CARD_SQL)
+def j09_cards(spark, sf) -> DataFrame:
+    """At most one hit per print."""
+    return _cards(spark, sf)
+
+
+@query("j09_topk_cards_tiles", CARD_SQL)
+def j09_cards_tiles(spark, sf) -> DataFrame:
+    return _cards(spark, sf, broadcast_queries=0, block_rows=128)
+
+
 @query("p18_match_grade", f"""WITH {HITS} SELECT query_id, stored_id, {sql6("score", "score")}, grade FROM graded""")
 def p18(spark, sf) -> DataFrame:
     return _run(spark, sf).matches.select("query_id", "stored_id", r6("score"), "grade")

@@ -15,11 +15,12 @@ from prismcat.functions.vectors import SIM_DECIMALS, unit_euclid_from_cosine
 from prismcat.operators import blocks as B
 from prismcat.operators import cells as CELL
 from prismcat.operators.groups import first_rows
-from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
 # At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
 BROADCAST_QUERIES = 4096
+# Between card and vector id in the ids of a search for distinct cards.
+CARD_SEPARATOR = "\u0001"
 
 
 def _take_largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +66,44 @@ def _merge(old, sims: np.ndarray, ids: np.ndarray, k: int):
     return sims, ids
 
 
+def _best_per_card(sims: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``_best`` over the best column of every card; columns of a card are adjacent from ``starts`` on."""
+    sims = np.round(sims, SIM_DECIMALS)
+    top = np.maximum.reduceat(sims, starts, axis=1)
+    width = np.diff(np.append(starts, sims.shape[1]))
+    columns = np.where(sims == np.repeat(top, width, axis=1), np.arange(sims.shape[1]), sims.shape[1])
+    first = np.minimum.reduceat(columns, starts, axis=1)
+    values, cards = _take_largest(top, min(k, len(starts)))
+    return values, np.take_along_axis(first, cards, 1)
+
+
+def _without_repeated_cards(hits: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Blank out (-inf) all but the best hit of a card in every row."""
+    sims, ids = hits
+    cards = _card_part(ids)
+    order = np.lexsort((ids, -sims, cards), axis=1)
+    sims, ids, cards = (np.take_along_axis(x, order, 1) for x in (sims, ids, cards))
+    sims[:, 1:][cards[:, 1:] == cards[:, :-1]] = -np.inf
+    return sims, ids
+
+
+def _card_part(ids: np.ndarray) -> np.ndarray:
+    return np.char.partition(ids, CARD_SEPARATOR)[..., 0]
+
+
 class _Best:
-    """Running k best hits of one block of queries."""
+    """Running k best hits of one block of queries, at most one per card if asked."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
-        self.ids, self.vectors, self.k, self.exclude_self = ids, vectors, k, exclude_self
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False):
+        self.ids, self.vectors, self.k, self.exclude_self, self.by_card = ids, vectors, k, exclude_self, by_card
         self.hits = None
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
+        if self.by_card:
+            cards = _card_part(ids)
+            starts = np.flatnonzero(np.append(True, cards[1:] != cards[:-1]))
         found = []
         for part in B.strips(len(self.ids), len(ids)):
             sims = self.vectors[part] @ vectors.T
@@ -82,10 +111,14 @@ class _Best:
                 at = np.minimum(np.searchsorted(ids, self.ids[part]), len(ids) - 1)
                 own = np.flatnonzero(ids[at] == self.ids[part])
                 sims[own, at[own]] = -np.inf
-            values, cols = _best(sims, self.k)
+            values, cols = _best_per_card(sims, starts, self.k) if self.by_card else _best(sims, self.k)
             found.append((values, ids[cols]))
-        sims, near = (np.concatenate(x) for x in zip(*found))
-        self.hits = _merge(self.hits, sims, near, self.k)
+        new = tuple(np.concatenate(x) for x in zip(*found))
+        if self.by_card and self.hits is not None:
+            both = _without_repeated_cards(tuple(np.hstack(x) for x in zip(self.hits, new)))
+            self.hits = _merge((both[0][:, :0], both[1][:, :0]), *both, self.k)
+        else:
+            self.hits = _merge(self.hits, *new, self.k)
 
     def frame(self, floor: float) -> pd.DataFrame:
         """The hits that reach the floor."""
@@ -104,7 +137,7 @@ class _Best:
         return float(max(self.hits[0][:, -1].min(), -1.0))
 
 
-def _block_results(rows, k: int, exclude_self: bool):
+def _block_results(rows, k: int, exclude_self: bool, by_card: bool = False):
     """(cell, finished block) for every run of tiles with the same query block."""
     current, best, cell = None, None, None
     for row in rows:
@@ -113,16 +146,18 @@ def _block_results(rows, k: int, exclude_self: bool):
                 yield cell, best
             ids = B.id_array(row.q_ids)
             current, cell = row.qb, getattr(row, "cell", None)
-            best = _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self)
+            best = _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self, by_card)
         near = B.id_array(row.d_ids)
         best.add(near, B.matrix(row.d_mat, len(near), row.dim))
     if best is not None:
         yield cell, best
 
 
-def _tile_hits(tiles: DataFrame, k: int, exclude_self: bool, floor: float, schema: str) -> DataFrame:
+def _tile_hits(
+    tiles: DataFrame, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool = False
+) -> DataFrame:
     def kernel(rows) -> Iterator[pd.DataFrame]:
-        for _, best in _block_results(rows, k, exclude_self):
+        for _, best in _block_results(rows, k, exclude_self, by_card):
             yield best.frame(floor)
 
     return B.map_tiles(tiles, kernel, schema)
@@ -139,7 +174,7 @@ def _cell_floors(tiles: DataFrame, k: int, exclude_self: bool) -> dict[int, floa
 
 
 def _scan_stored(
-    stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, floor: float, schema: str
+    stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool
 ) -> DataFrame:
     """Read the stored side once, in place; a partition emits k hits per query at its end."""
     held = stored.sparkSession.sparkContext.broadcast(
@@ -148,7 +183,7 @@ def _scan_stored(
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*held.value, k, exclude_self)
+        best = _Best(*held.value, k, exclude_self, by_card)
         for batch in batches:
             if batch.num_rows:
                 table = pa.Table.from_batches([batch])
@@ -191,6 +226,7 @@ def candidate_hits(
     block_rows: int = B.BLOCK_ROWS,
     broadcast_queries: int = BROADCAST_QUERIES,
     prune: bool = False,
+    by_card: bool = False,
 ) -> DataFrame:
     """At least the true top-k per query as (q_id, d_id, similarity); inputs are (id, vec).
 
@@ -198,7 +234,8 @@ def candidate_hits(
     the stored side is scanned where it lies, without any shuffle. Otherwise both sides are packed
     into blocks and joined tile by tile. ``prune`` orders the blocks by direction and leaves out tiles
     out of reach; it pays when the vectors fall into up to about a thousand groups of similar
-    direction, and costs one more pass over them. All ways are exact.
+    direction, and costs one more pass over them. All ways are exact. ``by_card`` expects text ids that
+    start with the card and CARD_SEPARATOR, and keeps one hit per card.
     """
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {B.spark_type(stored, 'id')}, similarity double"
     floor = -1.0 if threshold is None else threshold
@@ -209,18 +246,19 @@ def candidate_hits(
         if few.num_rows == 0:
             return queries.sparkSession.createDataFrame([], schema)
         if few.num_rows <= broadcast_queries:
-            return _scan_stored(stored, few, k, exclude_self, floor, schema)
+            return _scan_stored(stored, few, k, exclude_self, floor, schema, by_card)
     blocks = -(-stored.count() // block_rows)
     if blocks == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    # k copies of a vector are enough for any query, one more when a query may be one of them
-    reduced = CELL.first_copies(stored, k + 1)
-    same, stored = same and reduced is stored, reduced
-    if prune:
+    if not by_card:
+        # k copies of a vector are enough for any query, one more when a query may be one of them
+        reduced = CELL.first_copies(stored, k + 1)
+        same, stored = same and reduced is stored, reduced
+    if prune and not by_card:
         return _pruned_hits(queries, stored, same, k, exclude_self, floor, block_rows, blocks, schema)
     packed = materialise(B.pack_blocks(stored, "id", "vec", block_rows), "stored-blocks")
     asked = packed if same else materialise(B.pack_blocks(queries, "id", "vec", block_rows), "query-blocks")
-    return _tile_hits(B.cross_tiles(asked, packed), k, exclude_self, floor, schema)
+    return _tile_hits(B.cross_tiles(asked, packed), k, exclude_self, floor, schema, by_card)
 
 
 def top_k_similar(
@@ -248,32 +286,35 @@ def top_k_similar(
     )
 
 
+def _card_ids(side: DataFrame) -> DataFrame:
+    """(id, vec) with the card in front of the id; whole numbers are padded so that text sorts like them."""
+    numeric = side.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    text = F.format_string("%019d", F.col("id").cast("bigint")) if numeric else F.col("id")
+    return side.select(F.concat(F.col("print_id").cast("string"), F.lit(CARD_SEPARATOR), text).alias("id"), "vec")
+
+
 def top_k_cards(
-    queries: DataFrame, stored: DataFrame, owners: DataFrame, k: int = 5, threshold: float | None = 0.88, **plan
+    queries: DataFrame, stored: DataFrame, k: int = 5, threshold: float | None = 0.88, exclude_self: bool = False, **plan
 ) -> DataFrame:
     """J09 with at most one hit per card: the k best cards per query, each by its best vector.
 
-    ``owners`` is (id, print_id) of the stored vectors. The search asks for more and more vectors
-    until every query has k cards or has run out of hits, so no card is missed; each round searches
-    only the queries that are still short.
+    ``stored`` is (id, vec, print_id); so is ``queries`` when ``exclude_self`` is set, else (id, vec).
+    Ties go to the smaller card, taken as text, and within a card to the smaller id. A task keeps k
+    cards per query, however many vectors a card has.
     """
-    open_queries, done, depth = queries.select("id", "vec"), None, k
-    while True:
-        hits = top_k_similar(open_queries, stored, depth, threshold, **plan)
-        owner = owners.select(F.col("id").alias("stored_id"), "print_id")
-        hits = materialise(lookup_join(materialise(hits, "hits"), owner, ["stored_id"], F.col("query_id")), "card-hits")
-        order = [F.desc("similarity"), F.asc("stored_id")]
-        best = first_rows(hits, ["query_id", "print_id"], order)
-        place = Window.partitionBy("query_id").orderBy(*order)
-        ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-        reached = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("print_id").alias("cards"))
-        short = materialise(reached.where((F.col("n") == depth) & (F.col("cards") < k)).select("query_id"), "short")
-        part = ranked.join(short, "query_id", "left_anti")
-        done = part if done is None else done.unionByName(part)
-        if short.isEmpty():
-            return done.select("query_id", "print_id", "stored_id", "similarity", "distance", "rank")
-        open_queries = open_queries.join(short.withColumnRenamed("query_id", "id"), "id", "left_semi")
-        depth *= 4
+    types = {c: stored.schema[c].dataType for c in ("id", "print_id")}
+    asked = _card_ids(queries) if exclude_self else queries.select("id", "vec")
+    hits = candidate_hits(asked, _card_ids(stored), k, threshold, exclude_self, by_card=True, **plan)
+    parts = F.split("d_id", CARD_SEPARATOR, 2)
+    hits = hits.select("q_id", "d_id", "similarity", parts[0].alias("_card"))
+    best = first_rows(hits, ["q_id", "_card"], [F.desc("similarity"), F.asc("d_id")])
+    place = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("d_id"))
+    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    own = F.split("q_id", CARD_SEPARATOR, 2)[1].cast(queries.schema["id"].dataType) if exclude_self else F.col("q_id")
+    return ranked.select(
+        own.alias("query_id"), F.col("_card").cast(types["print_id"]).alias("print_id"),
+        parts[1].cast(types["id"]).alias("stored_id"), "similarity", (1.0 - F.col("similarity")).alias("distance"), "rank",
+    )
 
 
 def nearest_neighbour(centroids: DataFrame, key: str, vec: str = "centroid", **plan) -> DataFrame:
