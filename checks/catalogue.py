@@ -413,7 +413,7 @@ def j12(spark, sf) -> DataFrame:
 @query("j13_name_match", """WITH q AS (SELECT p_partkey AS query_id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') q FROM part
  UNION ALL SELECT 1000000000 + c_custkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') FROM customer JOIN nation ON n_nationkey = c_nationkey),
  c AS (SELECT regexp_replace(lower(nm), '[^a-z0-9]', '', 'g') AS key, min(nm) AS ref_id FROM (SELECT p_type AS nm FROM part
-  UNION ALL SELECT n_name FROM nation WHERE n_nationkey <> 1 UNION ALL SELECT split_part(p_name, ' ', 2) FROM part) GROUP BY 1),
+  UNION ALL SELECT n_name FROM nation UNION ALL SELECT split_part(p_name, ' ', 2) FROM part) GROUP BY 1),
  m AS (SELECT q.query_id, c.key, c.ref_id, row_number() OVER (PARTITION BY q.query_id ORDER BY CASE WHEN c.key = q.q THEN 0 ELSE 1 END, c.key) rn,
   CASE WHEN c.key = q.q THEN 'exact' ELSE 'contains' END AS how FROM q JOIN c ON q.q <> '' AND c.key <> '' AND (contains(c.key, q.q) OR contains(q.q, c.key)))
  SELECT q.query_id, m.ref_id, m.key AS ref_key, coalesce(m.how, 'none') AS how FROM q LEFT JOIN m ON m.query_id = q.query_id AND m.rn = 1""")
@@ -427,7 +427,7 @@ def j13(spark, sf) -> DataFrame:
     )
     names = (
         part.selectExpr("p_type AS ref_name")
-        .unionByName(nation.where("n_nationkey <> 1").selectExpr("n_name AS ref_name"))
+        .unionByName(nation.selectExpr("n_name AS ref_name"))
         .unionByName(part.selectExpr("split_part(p_name, ' ', 2) AS ref_name"))
     )
     return M.match_names(queries, names.select(F.col("ref_name").alias("ref_id"), "ref_name"))

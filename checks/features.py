@@ -16,6 +16,15 @@ def m01(spark, sf) -> DataFrame:
     return X.fixed_sample(table(spark, sf, "embeddings"), "vec_id", 200, seed=42).select("vec_id", "label")
 
 
+@query("m01_sample_invariants", "SELECT least(count(*), 200) AS n, least(count(*), 200) AS known FROM embeddings")
+def m01_invariants(spark, sf) -> DataFrame:
+    """Exactly 200 different rows of the table, or all of them."""
+    e = table(spark, sf, "embeddings").select("vec_id")
+    picked = X.fixed_sample(e, "vec_id", 200, seed=7)
+    known = e.join(picked, "vec_id", "left_semi").agg(F.countDistinct("vec_id")).scalar()
+    return picked.agg(F.count(F.lit(1)).alias("n")).withColumn("known", known)
+
+
 def _triplets(spark, sf) -> DataFrame:
     return X.triplets(images(spark, sf).select("print_id", F.col("file_path").alias("path")))
 

@@ -13,10 +13,22 @@ from prismcat.functions import pixels as P
 from prismcat.operators import images as I
 from prismcat.plans import export as E
 from prismcat.plans.recognition import photo_vectors, recognise
+from prismcat.session import materialise
+from prismcat.sources.images import only_images
 
 STATS = ["mean_luminance", "std_luminance", "mean_r", "mean_g", "mean_b", "laplacian_var"]
 
 
+_LISTING = "'img/' || l_partkey || '_' || l_linenumber || CASE l_partkey % 3 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' ELSE '.png.txt' END AS path"
+
+
+@query("s04_image_listing", rf"""SELECT path, count(*) AS n FROM (SELECT {_LISTING} FROM lineitem)
+ WHERE regexp_matches(lower(path), '\.(jpg|jpeg|png)$') GROUP BY path""")
+def s04(spark, sf) -> DataFrame:
+    """A listing in which a third of the files are no images."""
+    return only_images(table(spark, sf, "lineitem").selectExpr(_LISTING)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("i01_crop", f"""WITH {V_PIXELS}, c AS (SELECT label, vec_id, y, x, printf('%02X%02X%02X', CAST(b * 255 AS INT), CAST(g * 255 AS INT), CAST(r * 255 AS INT)) AS h
  FROM v_px WHERE y BETWEEN 2 AND 5 AND x BETWEEN 4 AND 7) SELECT {ORIGIN_SQL} AS origin, 4 AS height, 4 AS width, string_agg(h, '' ORDER BY y, x) AS data
  FROM c GROUP BY label, vec_id""")
@@ -97,6 +109,14 @@ def i04(spark, sf) -> DataFrame:
     return out.select("origin", "variant", "height", "width", F.md5("data").alias("digest"))
 
 
+@query("i04_augment_originals", f"""WITH {V_PIXELS}, c AS (SELECT label, vec_id, string_agg(printf('%02X%02X%02X', CAST(b * 255 AS INT), CAST(g * 255 AS INT), CAST(r * 255 AS INT)), ''
+ ORDER BY y, x) AS h FROM v_px GROUP BY ALL) SELECT {ORIGIN_SQL} AS origin, CAST(i AS INT) AS variant, CASE i WHEN 0 THEN h END AS original FROM c, range(0, 4) t(i)""")
+def i04_originals(spark, sf) -> DataFrame:
+    """Four rows per picture; variant 0 is the untouched picture."""
+    out = I.augment_images(pixel_images(spark, sf), 3)
+    return out.select("origin", "variant", F.when(F.col("variant") == 0, F.hex("data")).alias("original"))
+
+
 def _effect_sql(r: str, g: str, b: str, pixels: str = "p AS (SELECT * FROM p0)") -> str:
     """Mean bytes after a per-pixel effect; results are cut to whole bytes."""
     cut = lambda e: f"avg(floor(least(greatest({e}, 0), 255) + 1e-6))"
@@ -232,7 +252,7 @@ SIZE = (8, 8)
 
 def _export(spark, sf, settings):
     catalogue = base.cards(spark, sf).selectExpr("'P' || print_id AS print_id", "logical_id")
-    encoded = E.encoded_variants(pixel_images(spark, sf), linear_head(192, 16), settings, SIZE)
+    encoded = materialise(E.encoded_variants(pixel_images(spark, sf), linear_head(192, 16), settings, SIZE), "encoded")
     return E.export_rows(encoded, catalogue, settings)
 
 

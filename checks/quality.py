@@ -222,3 +222,14 @@ def m05(spark, sf) -> DataFrame:
     r = _report(spark, sf)
     out = X.scatter_table(r.centroids, "group_id", "centroid", r.meta, r.quality)
     return out.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query("m05_scatter_classes", f"""WITH {quality_ctes()} SELECT q.group_id, coalesce(nullif(m.name, ''), q.group_id) AS name, coalesce(m.set_code, '') AS set_code,
+ CASE WHEN suspect_overlap = 1 THEN 'overlap' WHEN suspect_cluster_spread = 1 THEN 'spread' WHEN suspect_metadata_conflict = 1 THEN 'meta' ELSE 'normal' END AS drawn_class,
+ true AS inside FROM quality q LEFT JOIN meta m ON m.gid = q.group_id""")
+def m05_classes(spark, sf) -> DataFrame:
+    """The points' names and drawn classes; coordinates must lie in the unit square."""
+    r = _report(spark, sf)
+    out = X.scatter_table(r.centroids, "group_id", "centroid", r.meta, r.quality)
+    inside = F.col("x").between(0, 1) & F.col("y").between(0, 1)
+    return out.select("group_id", "name", "set_code", "drawn_class", inside.alias("inside"))

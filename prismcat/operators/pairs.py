@@ -49,30 +49,29 @@ def _pair_values(rows) -> Iterator[np.ndarray]:
             yield np.round(cos.ravel() if mask is None else cos[mask], SIM_DECIMALS)
 
 
-def _sums_kernel(rows) -> Iterator[pd.DataFrame]:
-    out = [(len(v), v.sum(), (v * v).sum()) for v in _pair_values(rows) if len(v)]
-    if out:
-        yield _sum_rows(out)
-
-
-def _sum_rows(out: list) -> pd.DataFrame:
-    n, s, ss = np.array(out, dtype=np.float64).T
-    return pd.DataFrame({"n": [int(n.sum())], "s": [s.sum()], "ss": [ss.sum()]})
-
-
-def _histogram(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> DataFrame:
-    """Counts of pair distances per bin; ``levels`` are the (low, width, chosen bin) already fixed."""
+def _sums_and_bins(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> dict:
+    """One pass: {-1: (pairs, sum, sum of squares) of the cosines, bin: (pairs,) of the distances}.
 
+    ``levels`` are (low, width, chosen bin); a distance counts if it falls into the chosen bin of
+    every level but the last, and is binned by the last. At most bins + 1 rows reach the driver.
+    """
     def kernel(rows) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(bins, dtype=np.int64)
+        counts, total = np.zeros(bins, dtype=np.int64), np.zeros(3)
         for v in _pair_values(rows):
-            _, pos = _narrow(1.0 - v, levels, bins)
-            counts += np.bincount(pos, minlength=bins)
+            total += len(v), v.sum(), v @ v
+            counts += np.bincount(_narrow(1.0 - v, levels, bins)[1], minlength=bins)
         hit = np.flatnonzero(counts)
-        yield pd.DataFrame({"bin": hit.astype(np.int64), "n": counts[hit]})
+        yield pd.DataFrame(
+            {
+                "bin": np.append(-1, hit), "n": np.append(int(total[0]), counts[hit]),
+                "s": np.append(total[1], np.zeros(len(hit))), "ss": np.append(total[2], np.zeros(len(hit))),
+            }
+        )
 
-    found = B.map_tiles(tiles, kernel, "bin bigint, n bigint")
-    return found.groupBy("bin").agg(F.sum("n").alias("n"))
+    found = B.map_tiles(tiles, kernel, "bin bigint, n bigint, s double, ss double").groupBy("bin").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+    )
+    return {r["bin"]: (r["n"], r["s"], r["ss"]) for r in found.orderBy("bin").collect()}
 
 
 def _narrow(dist: np.ndarray, levels: list[tuple[float, float, int]], bins: int):
@@ -101,67 +100,62 @@ def _value_counts(tiles: DataFrame, levels: list[tuple[float, float, int]], bins
     return found.groupBy("dist").agg(F.sum("n").alias("n"))
 
 
-def _order_statistic(tiles: DataFrame, rank: int) -> float:
-    """Exact value of the given 0-based rank among all pair distances.
+def _order_statistics(tiles: DataFrame, ranks: list[int], counts: dict, levels: list[tuple[float, float, int]]) -> list[float]:
+    """Exact values of the given 0-based ranks among the distances that ``counts`` describes.
 
-    Each pass counts the distances in 4096 bins and narrows to the bin that holds the rank, until
-    few enough remain to look at; only bin counts come to the driver.
+    The bin of a rank is either small enough to look at its distinct values, or binned again; only
+    counts reach the driver. Adjacent ranks nearly always share a bin and therefore a pass.
     """
-    low, width, levels = 0.0, 2.0 / _MEDIAN_BINS, []
-    while True:
-        rows = _histogram(tiles, [*levels, (low, width, -1)], _MEDIAN_BINS).orderBy("bin").collect()
-        for r in rows:
-            if rank < r["n"]:
+    low, width, _ = levels[-1]
+    by_bin: dict[int, list[int]] = {}
+    for rank in ranks:
+        for number, (n, *_) in counts.items():
+            if number < 0:
+                continue
+            if rank < n:
+                by_bin.setdefault(number, []).append(rank)
                 break
-            rank -= r["n"]
-        levels.append((low, width, r["bin"]))
-        low, inside = low + r["bin"] * width, r["n"]
-        if inside <= _MEDIAN_VALUES or width <= 10.0**-SIM_DECIMALS:
-            break
-        width /= _MEDIAN_BINS
-    # values are rounded, so a bin narrower than one rounding step holds a handful of distinct ones
-    for r in _value_counts(tiles, levels, _MEDIAN_BINS).orderBy("dist").collect():
-        if rank < r["n"]:
-            return r["dist"]
-        rank -= r["n"]
-    raise RuntimeError("pair distances changed between passes")
+            rank -= n
+    found = []
+    for number, inner in by_bin.items():
+        path = [*levels[:-1], (low, width, number)]
+        # values are rounded, so a bin narrower than one rounding step holds a handful of distinct ones
+        if counts[number][0] <= _MEDIAN_VALUES or width <= 10.0**-SIM_DECIMALS:
+            values = _value_counts(tiles, path, _MEDIAN_BINS).orderBy("dist").collect()
+            upto = np.cumsum([r["n"] for r in values])
+            found += [values[int(np.searchsorted(upto, rank, side="right"))]["dist"] for rank in inner]
+        else:
+            deeper = [*path, (low + number * width, width / _MEDIAN_BINS, -1)]
+            found += _order_statistics(tiles, inner, _sums_and_bins(tiles, deeper, _MEDIAN_BINS), deeper)
+    return found
 
 
 def pair_summary(tiles: DataFrame, median: bool = True, approx: bool = False) -> DataFrame:
     """n_pairs, mean_cos, mean_dist, median_dist, std_dist over all pairs of the tiles (one row).
 
-    The median is exact; ``approx`` stops after one pass and answers with the middle of its bin.
+    The median is exact; ``approx`` stops after the first pass and answers with the middle of its bin.
     """
+    level = (0.0, 2.0 / _MEDIAN_BINS, -1)
+    counts = _sums_and_bins(tiles, [level], _MEDIAN_BINS)
+    n, s, ss = counts.get(-1, (0, 0.0, 0.0))
     spark = tiles.sparkSession
-    sums = B.map_tiles(tiles, _sums_kernel, "n bigint, s double, ss double").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
-    )
-    total = sums.collect()[0]
-    n = total["n_pairs"]
     schema = "n_pairs bigint, mean_cos double, mean_dist double, median_dist double, std_dist double"
     if n == 0:
         return spark.createDataFrame([(0, None, None, None, None)], schema)
-    mean = total["s"] / n
-    std = max(total["ss"] / n - mean * mean, 0.0) ** 0.5
-    middle = None
-    if median and approx:
-        middle = _middle_of_bin(tiles, (n - 1) // 2)
-    elif median:
-        ranks = sorted({(n - 1) // 2, n // 2})
-        found = [_order_statistic(tiles, r) for r in ranks]
-        middle = sum(found) / len(found)
+    mean = s / n
+    std = max(ss / n - mean * mean, 0.0) ** 0.5
+    ranks = [(n - 1) // 2, n // 2]
+    if not median:
+        middle = None
+    elif approx:
+        upto = np.cumsum([c[0] for number, c in counts.items() if number >= 0])
+        numbers = [number for number in counts if number >= 0]
+        middle = (numbers[int(np.searchsorted(upto, ranks[0], side="right"))] + 0.5) * level[1]
+    else:
+        middle = sum(_order_statistics(tiles, ranks, counts, [level])) / 2
     return spark.createDataFrame([(n, mean, 1.0 - mean, middle, std)], schema)
 
 
-def _middle_of_bin(tiles: DataFrame, rank: int) -> float:
-    width = 2.0 / _MEDIAN_BINS
-    for r in _histogram(tiles, [(0.0, width, -1)], _MEDIAN_BINS).orderBy("bin").collect():
-        if rank < r["n"]:
-            break
-        rank -= r["n"]
-    return (r["bin"] + 0.5) * width
-
-
 def separation(intra: DataFrame, inter: DataFrame) -> DataFrame:
     """Q = median inter distance / mean intra distance, and the advised thresholds (one row)."""
     d = intra.select("mean_dist").scalar()

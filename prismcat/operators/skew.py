@@ -58,8 +58,9 @@ def lookup_join(
     matching lookup rows are repeated once per piece. Without hot keys it is a plain join, which
     Catalyst turns into a broadcast join when the lookup side is small. ``count_on`` names a cheaper
     table with the same key distribution to look for hot keys in (say, the scan below a join).
-    Key columns must have the same type on both sides.
     """
+    # both sides must hash alike, so the keys get one type
+    lookup = lookup.withColumns({k: F.col(k).cast(facts.schema[k].dataType) for k in keys})
     hot = hot_keys(facts if count_on is None else count_on, keys, min_rows)
     if not hot:
         return facts.join(lookup, keys, how)

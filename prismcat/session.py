@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+# Folders of local sessions that name none, by application id.
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="prismcat-")
-    spark.conf.set(_CONF, own)
-    return own
+    app = spark.sparkContext.applicationId
+    return _own_dirs.setdefault(app, _own_dirs.get(app) or tempfile.mkdtemp(prefix="prismcat-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -82,6 +82,7 @@ def inventory_rows(df: DataFrame) -> DataFrame:
     lower = {normal_header(c): c for c in df.columns}
     named = df.select(*[F.col(f"`{old}`").alias(new) for new, old in lower.items()])
     extra = [F.col("row_id")] if "row_id" in named.columns else []
+    # fixed values: the header spellings each request field goes by
     return named.select(
         *extra,
         by_alias(named, "scryfall_id", "print_id", "id").alias("print_id"),

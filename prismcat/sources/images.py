@@ -13,10 +13,15 @@ _GLOB = "*.{" + ",".join([*IMAGE_SUFFIXES, *[s.upper() for s in IMAGE_SUFFIXES]]
 IMAGE_STRUCT = "origin string, height int, width int, nChannels int, mode int, data binary"
 
 
+def only_images(listing: DataFrame) -> DataFrame:
+    """The paths with an image suffix, in any case."""
+    return listing.where(F.lower("path").rlike(r"\.(" + "|".join(IMAGE_SUFFIXES) + ")$"))
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of the images directly in a folder; a missing folder is an empty listing."""
     try:
-        return list_files(spark, folder, _GLOB).select("path")
+        return only_images(list_files(spark, folder).select("path"))
     except AnalysisException:
         return spark.createDataFrame([], "path string")
 

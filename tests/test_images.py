@@ -120,7 +120,7 @@ def test_range_hints(spark):
 def test_export_and_recognition(spark, pictures):
     cards = spark.createDataFrame([("flat", "L1"), ("half", "")], "print_id string, logical_id string")
     settings = E.ExportSettings.analysis(num_augmentations=2, model_id="m")
-    encoded = E.encoded_variants(pictures, linear_head(192, 8), settings, (8, 8), batch_size=2)
+    encoded = E.encoded_variants(pictures, linear_head(192, 8), settings, (8, 8), batch_size=2).cache()
     rows = E.export_rows(encoded, cards, settings).cache()
     assert {r["aug_index"] for r in rows.where("print_id = 'flat'").collect()} == {0, 1, 2, 999}
     assert {r["print_id"]: r["logical_id"] for r in rows.collect()} == {"flat": "L1", "half": "half", "tiny": "tiny"}
@@ -136,3 +136,24 @@ def test_export_and_recognition(spark, pictures):
     photos = photo_vectors(pictures, linear_head(192, 8), (8, 8), {"x_min": 0.0, "x_max": 1.0})
     hits = recognise(photos, stored, k=1).hits.collect()
     assert {r["query_id"].rsplit("_", 1)[1].split(".")[0] == r["print_id"] for r in hits} == {True} and len(hits) == 3
+
+
+def test_export_job(spark, tmp_path):
+    from prismcat import schemas
+    from prismcat.sources.store import read_store
+
+    src = tmp_path / "scans"
+    src.mkdir()
+    png(src / "S_1_en_x.png", split())
+    png(src / "S_2_de_y.png", [[(9, 9, 200)] * 6] * 6)
+    write(src / "S_3_en_z.png", "broken")
+    cards = spark.createDataFrame([("x", "LX")], "print_id string, logical_id string")
+    known = spark.createDataFrame([], schemas.IMAGES)
+    out = str(tmp_path / "store")
+    for settings, expected in ((E.ExportSettings.analysis(num_augmentations=1), 6), (E.ExportSettings.runtime(num_augmentations=1), 2)):
+        run = E.run_export(spark, str(src), cards, known, out, settings, linear_head(192, 8), (8, 8), 8, "scan", f"file:{tmp_path}")
+        assert run.mismatches.count() == 0 and run.unreadable.count() == 1
+        assert read_store(spark, out).where(F.col("mode") == settings.mode).count() == expected
+        assert len({r["image_id"] for r in run.images.collect()}) == 2
+        known = run.images
+    assert read_store(spark, out).count() == 8
