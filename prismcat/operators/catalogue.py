@@ -90,19 +90,30 @@ def images_per_print(images: DataFrame) -> DataFrame:
     )
 
 
+def attach_print_and_image(rows: DataFrame, prints: DataFrame, paths: DataFrame, row_id: str, **skew) -> DataFrame:
+    """Rows with a vector, left-joined with ``prints`` on print_id and ``paths`` on image_id.
+
+    Many vectors share a (print, image) pair, so the pairs are looked up, not the vectors: both lookups
+    run on narrow distinct rows, and the vectors themselves take part in a single join.
+    """
+    marked = rows.withColumn("_image", F.coalesce(F.col("image_id").cast("string"), F.lit("")))
+    pairs = marked.select("print_id", "_image", "image_id").distinct()
+    found = lookup_join(pairs, paths, ["image_id"], F.col("print_id"), count_on=rows, **skew).drop("image_id")
+    found = lookup_join(found, prints, ["print_id"], F.col("_image"), count_on=rows, **skew)
+    keys = ["print_id", "_image"]
+    return lookup_join(marked, found, keys, F.col(row_id), count_on=marked, **skew).drop("_image")
+
+
 def embeddings_with_meta(
     emb: DataFrame, images: DataFrame, cards: DataFrame, mode: str, **skew
 ) -> DataFrame:
     """Vectors of one mode with their image path and their card's fields, nothing dropped.
 
-    The mode filter reaches the partitioned scan. Both lookups are unique per key; the vector side
-    may have hot prints, so it is spread.
+    The mode filter reaches the partitioned scan.
     """
-    rows = emb.where(F.col("mode") == mode)
     paths = images.select("image_id", "file_path", F.col("language").alias("image_language"))
-    with_path = lookup_join(rows, paths, ["image_id"], F.col("emb_id"), **skew)
     meta = cards.withColumnRenamed("logical_id", "card_logical_id")
-    return lookup_join(with_path, meta, ["print_id"], F.col("emb_id"), count_on=rows, **skew)
+    return attach_print_and_image(emb.where(F.col("mode") == mode), meta, paths, "emb_id", **skew)
 
 
 def fill_missing_images(cards: DataFrame, images: DataFrame, path: str, language: str) -> DataFrame:

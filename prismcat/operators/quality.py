@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import any_flag, first_truthy, fixed_decimals
+from prismcat.operators.catalogue import attach_print_and_image
 from prismcat.operators.skew import lookup_join
 
 # Default thresholds of the two distance flags.
@@ -25,11 +26,9 @@ def load_by_logical(
     Vectors whose print has no catalogue row keep NULL fields; ``metadata_values`` fills those from
     the other prints of the logical card instead of repeating every vector once per print.
     """
-    rows = emb.where(F.col("mode") == mode)
     own = cards.select("print_id", F.col("logical_id").alias("_own_logical"), *fields)
-    joined = lookup_join(rows, own, ["print_id"], F.col(row_id), **skew)
     paths = images.select("image_id", F.col("file_path").alias("image_path"))
-    joined = lookup_join(joined, paths, ["image_id"], F.col(row_id), count_on=rows, **skew)
+    joined = attach_print_and_image(emb.where(F.col("mode") == mode), own, paths, row_id, **skew)
     return joined.withColumn(
         "logical_id", F.coalesce(F.col("logical_id"), F.col("_own_logical"))
     ).withColumn(

@@ -183,6 +183,23 @@ def test_closest_pairs_and_boundaries(vectors):
             assert near[i]["n_critical"] == int((dist[i] < 0.5).sum()) and near[i]["n_pairs"] == 89
 
 
+def test_metadata_joins_with_salted_keys(spark):
+    """Hot prints, missing and NULL images: same rows as the two plain left joins."""
+    from prismcat.operators.catalogue import embeddings_with_meta
+
+    emb = spark.range(600).selectExpr(
+        "id AS emb_id", "CASE WHEN id % 3 = 0 THEN 5 ELSE id % 40 END AS print_id", "'x' AS mode", "CAST(NULL AS string) AS logical_id",
+        "CASE WHEN id % 4 = 0 THEN NULL ELSE (CASE WHEN id % 3 = 0 THEN 5 ELSE id % 40 END) * 10 + id % 3 END AS image_id",
+    )
+    images = spark.range(0, 300, 2).selectExpr("id AS image_id", "'p' || id AS file_path", "'en' AS language")
+    cards = spark.range(30).selectExpr("id AS print_id", "'L' || id AS logical_id", "'n' || id AS name")
+    plain = emb.join(images, "image_id", "left").join(cards.drop("logical_id"), "print_id", "left")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("emb_id", "print_id", "image_id", "file_path", "name")]
+    for least in (10, 200_000):
+        assert rows_of(embeddings_with_meta(emb, images, cards, "x", min_rows=least), *text) == rows_of(plain, *text)
+    assert embeddings_with_meta(emb, images, cards, "other").count() == 0
+
+
 def test_spread_with_salted_hot_group(vectors):
     df, _ = vectors
     plain = G.cluster_spread(df, "g", "id", vec="vec")
