@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import base
-from checks.base import V_CARDS, V_EMB, V_IMAGES, cards, emb, images, query, r6, sql6, table
+from checks.base import V_CARDS, V_EMB, V_IMAGES, cards, emb, images, query, table
 from prismcat import schemas
 from prismcat.functions import columns as C
 from prismcat.operators import audit as A

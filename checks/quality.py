@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from checks import base
 from checks.base import V_CARDS, V_IMAGES, cards, cents, emb, images, query, r6, sql6
 from checks.vectors import nearest_ctes, spread_ctes
-from prismcat.functions.columns import any_flag
 from prismcat.operators import features as X
 from prismcat.operators import quality as Q
 from prismcat.plans.quality_report import META_FIELDS, build_quality
@@ -17,7 +16,6 @@ from prismcat.sources import reports, store
 
 # Thresholds that split the test vectors; the defaults would flag one side only.
 SPREAD, NEAR = 1.40, 1.20
-PRINT_NEAR = 0.60
 
 
 def _load(spark, sf) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from checks.base import V_CARDS, V_EMB, V_IMAGES, V_UNIT, cents, emb, query, r6, sql6, table, v_cent
 from checks import base
-from prismcat.functions import columns as C
 from prismcat.functions import vectors as V
 from prismcat.operators import blocks as B
 from prismcat.operators import features as X
