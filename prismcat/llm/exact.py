@@ -104,7 +104,8 @@ def fingerprints(texts: DataFrame, segment: int = SEGMENT, moduli: tuple[int, ..
 
 def _differing(members: DataFrame, texts: DataFrame, segment: int) -> tuple[DataFrame, DataFrame]:
     """Members (with ``_keep``) that equal their representative, and those that don't."""
-    fetched = materialise(texts.select("_row", "_bytes").join(members, "_row"), "exact-members")
+    # the same join at every size: members are too many to broadcast on large tables
+    fetched = materialise(texts.select("_row", "_bytes").join(members.hint("merge"), "_row"), "exact-members")
     pieces = _segments(fetched, segment, "_row", "_keep")
     kept = pieces.filter(F.col("_row") == F.col("_keep")).select("_keep", "seg", F.col("bytes").alias("kept_bytes"))
     compared = pieces.join(kept, ["_keep", "seg"]).groupBy("_row").agg(F.min((F.col("bytes") == F.col("kept_bytes")).cast("int")).alias("equal"))
@@ -136,7 +137,9 @@ def exact_dedup(
     while True:
         groups = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_id", "_row")).alias("top"))
         groups = groups.filter("n > 1" if not confirmed else "n > 0").select(*key, F.col("top._row").alias("_keep"), F.col("top._id").alias("keep_id"))
-        equal, rest = _differing(materialise(rest.join(groups, key), "exact-groups"), texts, segment)
+        # written first, so that the join below reads two plain shuffles, of which Spark splits the skewed side
+        groups = materialise(groups, "exact-groups")
+        equal, rest = _differing(materialise(rest.join(groups, key), "exact-grouped"), texts, segment)
         confirmed.append(equal.select("_row", "_keep", "keep_id"))
         if rest.isEmpty():
             break
