@@ -30,3 +30,11 @@ def lower_ascii(text: Column) -> Column:
 def hex64(value: Column) -> Column:
     """16 lowercase hex digits of a long."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
