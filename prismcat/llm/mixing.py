@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 17
 # Rounds of the permutation (swap-or-not), draws dealt out in one row, documents in one running sum.
-_ROUNDS, _DEALT, _RUN = 8, 1 << 16, 1 << 13
+_ROUNDS, _DEALT, _RUN = 8, 1 << 16, 1 << 11
 
 
 def word_count(text: Column) -> Column:
@@ -69,14 +69,16 @@ def draw_slots(sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SL
     """``src_no``, ``shard``, ``block`` of every slot of the mix, for ``sources`` (src_no, blocks, draws)."""
     total = sources.agg(F.sum("draws")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
-    dealt = sources.select("src_no", "draws", F.explode(_pieces(F.col("draws"), _DEALT)).alias("first")).repartition("src_no", "first")
+    # numbers of its own, since a few small rows grow into many: Spark would put them into one task
+    tasks = max(1, -(-total // (1 << 17)))
+    dealt = sources.select("src_no", "draws", F.explode(_pieces(F.col("draws"), _DEALT)).alias("first")).repartition(tasks, "src_no", "first")
     draws = dealt.select("src_no", F.explode(F.sequence("first", F.least(F.col("first") + _DEALT, F.col("draws")) - 1)).alias("k"))
     shard = F.pmod(F.xxhash64(F.lit(seed), "src_no", "k"), F.lit(shards))
     counts = draws.groupBy("src_no", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("src_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # dealt out again: the window leaves all counts of a source in one task
-    placed = placed.repartition("src_no", "shard").join(sources, "src_no")
+    placed = placed.repartition(tasks, "src_no", "shard").join(sources, "src_no")
     slots = placed.select("src_no", "shard", "blocks", F.explode(F.expr("sequence(base, base + n - 1)")).alias("k"))
     epoch = F.expr("k div blocks")
     block = permuted(F.expr("k % blocks"), F.col("blocks"), F.lit(seed), F.col("src_no"), F.col("epoch"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismcat.llm.decontaminate import contamination
 from prismcat.llm.exact import exact_dedup
+from prismcat.llm.lines import line_report
 from prismcat.llm.mixing import mix
+from prismcat.llm.quality import quality_report
 from prismcat.llm.simhash import simhash_groups
 from prismcat.llm.urls import url_filter
 
@@ -84,3 +86,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
