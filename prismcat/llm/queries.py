@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismcat.llm.decontaminate import contamination
 from prismcat.llm.exact import exact_dedup
+from prismcat.llm.hmm import score_documents
 from prismcat.llm.lines import line_report
 from prismcat.llm.mixing import mix
 from prismcat.llm.quality import quality_report
+from prismcat.llm.secrets import secret_scan
 from prismcat.llm.simhash import simhash_groups
 from prismcat.llm.urls import url_filter
 
@@ -96,3 +98,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
