@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Direction, repeats and loops of edges don't matter; edges with NULL are ignored. No edges, no rows.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    known = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = materialise(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "link-pairs")
     loops = pairs.filter("u = v").select("u")
     links = materialise(pairs.filter("u > v").distinct(), "links")
     alone = materialise(loops.distinct(), "link-loops")
