@@ -14,6 +14,7 @@ from prismcat.llm.mixing import mix
 from prismcat.llm.quality import quality_report
 from prismcat.llm.secrets import secret_scan
 from prismcat.llm.simhash import simhash_groups
+from prismcat.llm.suffixes import suffix_dedup
 from prismcat.llm.urls import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +109,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
