@@ -22,12 +22,14 @@ from prismcat.llm.common import prepare
 from prismcat.session import materialise, scratch_path
 
 LENGTH, GRAM = 50, 20
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
-SHARD, _DEPTH, _EDGE = 1 << 24, 96, 40
+SHARD, _DEPTH, _EDGE = 1 << 22, 96, 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = (1 << 63) - 1
+# What a shard sends back for a run of a block: its number, covered offset and length, smallest document.
+_FOUND = np.dtype([("number", "<i4"), ("offset", "<i4"), ("length", "<i4"), ("smallest", "<i8")])
 
 
 def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -266,7 +268,9 @@ def _judge(table: pa.Table) -> pa.Table:
     by_block = np.argsort(block, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(block[by_block]) != 0]) if len(block) else np.empty(0, np.int64)
     number = np.array(numbers, np.int64)[back]
-    packed = np.stack([number, offset[rows], length[rows], smallest[rows]], 1)[by_block] if len(block) else np.empty((0, 4), np.int64)
+    packed = np.empty(len(block), _FOUND)
+    for name, column in zip(_FOUND.names, (number, offset[rows], length[rows], smallest[rows]), strict=True):
+        packed[name] = column[by_block]
     parts = [p.tobytes() for p in np.split(packed, cuts[1:])] if len(cuts) else []
     shard = table.column("shard")[0].as_py()
     return pa.table({"block": pa.array(block[by_block][cuts], pa.int64()), "shard": pa.array([shard] * len(cuts), pa.int64()), "found": pa.array(parts, pa.binary())})
@@ -281,7 +285,7 @@ def _remove(shards: int) -> Callable:
             cover = np.zeros(len(data) + 1, np.int64)
             runs = _Runs(row, shards) if row["found"] else None
             for shard, packed in sorted((f["shard"], f["found"]) for f in row["found"] or []):
-                number, offset, length, smallest = np.frombuffer(packed, np.int64).reshape(-1, 4).T
+                number, offset, length, smallest = (np.frombuffer(packed, _FOUND)[c].astype(np.int64) for c in _FOUND.names)
                 at = np.flatnonzero(runs.home == shard)
                 at = at[np.argsort(runs.number[at], kind="stable")]
                 counts = np.bincount(runs.number[at], minlength=len(runs.texts[shard]))
