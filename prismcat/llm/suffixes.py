@@ -22,7 +22,7 @@ from prismcat.llm.common import prepare
 from prismcat.session import materialise, scratch_path
 
 LENGTH, GRAM = 50, 20
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
 SHARD, _DEPTH, _EDGE = 1 << 22, 96, 40
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -100,6 +100,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _by_shard(home: np.ndarray) -> dict[int, np.ndarray]:
+    """Positions of each shard, in order."""
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order])) + 1
+    return {int(home[at[0]]): at for at in np.split(order, cuts)} if len(home) else {}
+
+
 def _short(names: np.ndarray) -> np.ndarray:
     return (names >> np.uint64(32)).astype(np.uint32)
 
@@ -111,9 +118,9 @@ def _names(shards: int) -> Callable:
         for row in _rows(batches):
             names = np.unique(window_runs(np.frombuffer(row["data"], np.uint8), np.array(row["sizes"], np.int64))[0])
             home = (names % np.uint64(shards)).astype(np.int64)
-            used = np.unique(home)
-            packed = [_short(names[home == s]).tobytes() for s in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([row["block"]] * len(used), pa.int64()), pa.array(packed, pa.binary())], ["shard", "block", "names"])
+            parts = _by_shard(home)
+            used, packed = list(parts), [_short(names[at]).tobytes() for at in parts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([row["block"]] * len(used), pa.int64()), pa.array(packed, pa.binary())], ["shard", "block", "names"])
 
     return run
 
@@ -135,13 +142,15 @@ class _Runs:
         different, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
         home = (different % np.uint64(shards)).astype(np.int64)
         wanted = counts > 1
+        places = _by_shard(home)
         for shard, flags in sorted((f["shard"], f["flags"]) for f in row["flags"] or []):
-            at = np.flatnonzero(home == shard)
+            at = places[shard]
             wanted[at] |= np.unpackbits(np.frombuffer(flags, np.uint8), count=len(at)).astype(bool)
         keep = np.flatnonzero(wanted[inverse])
         self.doc, self.start, self.end = doc[keep], start[keep], end[keep]
         self.ids = np.array([_NO_ID if i is None else i for i in row["ids"]], np.int64)[self.doc]
         self.home = home[inverse[keep]]
+        self.places = _by_shard(self.home)
         self.number = np.empty(len(keep), np.int64)
         self.texts: dict[int, dict[bytes, int]] = {}
         raw = row["data"]
@@ -158,7 +167,7 @@ def _send(shards: int) -> Callable:
             runs = _Runs(row, shards)
             out: tuple[list, ...] = ([], [], [], [], [])
             for shard, texts in runs.texts.items():
-                at = np.flatnonzero(runs.home == shard)
+                at = runs.places[shard]
                 low, high = np.full(len(texts), _NO_ID), np.full(len(texts), -_NO_ID)
                 np.minimum.at(low, runs.number[at], runs.ids[at])
                 np.maximum.at(high, runs.number[at], runs.ids[at])
@@ -211,6 +220,7 @@ def _tree(data, place, text, offset, sizes, smallest, largest, low, kept) -> Ite
     # one more than each byte: no byte is zero, and 255 never occurs in UTF-8
     rest = np.minimum(_DEPTH, sizes[text[kept]] - offset[kept])
     keys = np.where(np.arange(_DEPTH) < rest[:, None], suffixes + np.uint8(1), np.uint8(0))
+    del suffixes
     order = np.argsort(keys.view(f"S{_DEPTH}").ravel(), kind="stable")
     keys, kept, rest = keys[order], kept[order], rest[order]
     differ = keys[1:] != keys[:-1]
@@ -286,7 +296,7 @@ def _remove(shards: int) -> Callable:
             runs = _Runs(row, shards) if row["found"] else None
             for shard, packed in sorted((f["shard"], f["found"]) for f in row["found"] or []):
                 number, offset, length, smallest = (np.frombuffer(packed, _FOUND)[c].astype(np.int64) for c in _FOUND.names)
-                at = np.flatnonzero(runs.home == shard)
+                at = runs.places[shard]
                 at = at[np.argsort(runs.number[at], kind="stable")]
                 counts = np.bincount(runs.number[at], minlength=len(runs.texts[shard]))
                 firsts = np.cumsum(counts) - counts
