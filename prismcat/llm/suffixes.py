@@ -40,10 +40,16 @@ def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     powers = np.full(len(data), _BASE, np.uint64)
     powers[0] = 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers), out=sums[1:])
+    np.cumprod(powers, out=powers)
+    powers *= data.astype(np.uint64) + np.uint64(1)
+    np.cumsum(powers, out=sums[1:])
     inverse = np.full(n, _INVERSE, np.uint64)
     inverse[0] = 1
-    h = (sums[length:] - sums[:-length]) * np.cumprod(inverse)
+    del powers
+    h = sums[length:] - sums[:-length]
+    del sums
+    h *= np.cumprod(inverse, out=inverse)
+    del inverse
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(29)
@@ -185,8 +191,8 @@ def repeat_groups(texts: list[bytes], low: np.ndarray, high: np.ndarray) -> tupl
     ``low`` and ``high`` are the smallest and largest document of each text. Only places in a later document count.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(t + bytes(_DEPTH) for t in texts), np.uint8)
-    at = np.cumsum(sizes + _DEPTH) - sizes - _DEPTH
+    data = np.frombuffer(b"".join([*texts, bytes(_DEPTH)]), np.uint8)
+    at = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - LENGTH + 1, 0)
     text = np.repeat(np.arange(len(texts)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
