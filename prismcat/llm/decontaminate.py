@@ -18,6 +18,8 @@ BROADCAST_WINDOWS = 200_000
 # Words of a long document that are scanned in one row.
 STRETCH = 4096
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words where A-Z are not lower-cased yet.
+_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -115,5 +117,5 @@ def decontaminate(
         f"array_join(transform(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (sep, w) -> struct(sep, w)),"
         f" (p, i) -> if(exists({spans_col}, s -> i >= s.at AND i < s.at + s.n), coalesce(p.sep, ''), concat(p.sep, coalesce(p.w, '')))), '')"
     )
-    out = kept_docs.join(spans, key, "left").withColumn(pattern, F.lit(_WORD))
+    out = kept_docs.join(spans, key, "left").withColumn(pattern, F.lit(_CASED))
     return out.withColumn(text_col, F.when(F.col(spans_col).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

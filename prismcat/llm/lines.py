@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismcat.llm.common import unused
 from prismcat.session import materialise
 
 # Lines under the rolling hash; a chunk has about DIVISOR lines.
@@ -103,13 +104,14 @@ def line_dedup(
 
     With ``drop_emptied``, rows whose last line that isn't blank was removed go.
     """
+    cut_id, cut_sha, cut_lines, was_cut = (unused(docs, c) for c in ("_cut_id", "_cut_sha", "_cut_lines", "_cut"))
     removals, _ = repeated_chunks(docs, id_col, text_col, window, divisor)
-    removals = removals.select(F.col("_id").alias("_cut_id"), F.col("_sha").alias("_cut_sha"), F.col("removed").alias("_cut_lines"))
-    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    joined = docs.join(removals.hint("merge"), sha.eqNullSafe(F.col("_cut_sha")) & docs[id_col].eqNullSafe(F.col("_cut_id")), "left")
-    cut = F.col("_cut_lines").isNotNull()
-    text = F.when(cut, F.array_join(_left(_lines(docs[text_col]), F.col("_cut_lines")), "\n")).otherwise(docs[text_col])
-    out = joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), cut.alias("_cut"))
+    removals = removals.select(F.col("_id").alias(cut_id), F.col("_sha").alias(cut_sha), F.col("removed").alias(cut_lines))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    joined = docs.join(removals.hint("merge"), sha.eqNullSafe(F.col(cut_sha)) & F.col(id_col).eqNullSafe(F.col(cut_id)), "left")
+    cut = F.col(cut_lines).isNotNull()
+    text = F.when(cut, F.array_join(_left(_lines(F.col(text_col)), F.col(cut_lines)), "\n")).otherwise(F.col(text_col))
+    out = joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), cut.alias(was_cut))
     if drop_emptied:
-        out = out.filter(~F.col("_cut") | (F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != ""))
-    return out.drop("_cut")
+        out = out.filter(~F.col(was_cut) | (F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != ""))
+    return out.drop(was_cut)

@@ -29,6 +29,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Least log-likelihood ratio in nats: for the token, and for each of its characters.
 LEAST_RATIO = 16.0
 LEAST_RATIO_PER_CHAR = 1.0
+# Weight of a character's own frequency against the transitions counted.
+_BACK_OFF = 8.0
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _STATES = len(_CHARS) + 2  # start, any other
 _STATE = np.full(256, _STATES - 1, np.int64)
@@ -84,9 +86,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio, random against ordinary, of every transition, with one pseudo-count each."""
-    grid = counts.reshape(2, _STATES, _STATES) + 1.0
-    logs = np.log(grid / grid.sum(2, keepdims=True))
+    """Log-likelihood ratio, random against ordinary, of every transition.
+
+    Each chain backs off to how frequent a character is in its samples, so that characters which
+    ordinary tokens hardly have speak for themselves.
+    """
+    grid = counts.reshape(2, _STATES, _STATES).astype(float)
+    single = grid.sum(1) + 1.0
+    single /= single.sum(1, keepdims=True)
+    chains = (grid + _BACK_OFF * single[:, None, :]) / (grid.sum(2, keepdims=True) + _BACK_OFF)
+    logs = np.log(chains)
     return (logs[0] - logs[1]).ravel()
 
 
@@ -127,7 +136,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Spans are kind:start:end in code points, end exclusive, by start and kind. NULL and empty texts have
     none. Rows are judged each by itself, so repeated rows give repeated results; other columns don't
-    matter. Without any pattern match in the corpus both chains are learnt from little and nothing is random.
+    matter. Without any pattern match in the corpus the random chain is the even one.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
