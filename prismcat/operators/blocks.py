@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,13 @@ def row_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def vector_array(column: pa.ChunkedArray) -> np.ndarray:
-    """List column to a rows x dimension matrix without copying more than once."""
+    """List column to a rows x dimension matrix without copying more than once.
+
+    Vectors of different lengths are an error: they can't be compared.
+    """
+    lengths = pc.min_max(pc.list_value_length(column))
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} and of {lengths['max']} elements in one column")
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 

@@ -107,6 +107,7 @@ class _Best:
         found = []
         for part in B.strips(len(self.ids), len(ids)):
             sims = self.vectors[part] @ vectors.T
+            np.copyto(sims, -np.inf, where=np.isnan(sims))  # NaN and NULL elements never take a hit's place
             if self.exclude_self:
                 at = np.minimum(np.searchsorted(ids, self.ids[part]), len(ids) - 1)
                 own = np.flatnonzero(ids[at] == self.ids[part])
