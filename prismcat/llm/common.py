@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,18 @@ def prepare(spark: SparkSession) -> None:
     ship_packages(spark, *(p for p in (ROOT / "prismcat", ROOT / "checks") if p.exists()))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, limit: str) -> Iterator[None]:
+    """Python workers get batches of about ``limit`` bytes from the jobs run inside; 64 MB is Spark's own limit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def numbered(df: DataFrame, label: str, key: str = "_row") -> DataFrame:
     """``df`` with a unique row key, written once: later reads see the same keys whatever is lost."""
     return materialise(df.withColumn(key, F.monotonically_increasing_id()), label)

@@ -15,14 +15,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismcat.llm.common import prepare
+from prismcat.llm.common import arrow_batches, prepare
 from prismcat.session import materialise, scratch_path
 
 LENGTH, GRAM = 50, 20
 BLOCK = 1 << 18
+# Texts given to a Python worker at a time; a longer row comes alone.
+BATCH = "2m"
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
 SHARD, _DEPTH, _EDGE = 1 << 22, 96, 40
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -335,6 +337,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     prepare(spark)
+    with arrow_batches(spark, BATCH):
+        return _suffix_dedup(spark, docs, id_col, text_col, shard)
+
+
+def _suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shard: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     made = texts.mapInArrow(_blocks, "ids array<long>, sizes array<long>, data binary").withColumn("block", F.monotonically_increasing_id())
     name = f"suffix_blocks_{uuid.uuid4().hex}"
@@ -353,4 +360,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialise(found.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("found")), "suffix-found")
     judged = flagged.join(found.hint("merge"), "block", "left")
     out = judged.mapInArrow(_remove(shards), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("_id", id_col)
+    return materialise(out, "suffix-dedup").withColumnRenamed("_id", id_col)
