@@ -4,7 +4,8 @@ A least-hashed 20-gram of each 50-byte window names its shard, so all places of
 consecutive windows of one name travel as one run of bytes. Names seen once are dropped first. A shard sorts the
 suffixes of its runs, and a stack scan over their common prefixes yields the intervals of the prefix tree. An
 interval whose places are preceded by different bytes is a maximal repeat group: all its places are covered, but
-for those in its smallest document. Texts stay in a table bucketed by block and are never shuffled.
+for those in its smallest document. Texts stay in a table bucketed by block and are never shuffled. Of equal texts only
+the first takes part: later ones are removed whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from prismcat.session import materialise, scratch_path
 
 LENGTH, GRAM = 50, 20
 BLOCK = 1 << 18
+# Documents in a block at most.
+DOCS = 4096
 # Texts given to a Python worker at a time; a longer row comes alone.
 BATCH = "2m"
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
@@ -57,8 +60,11 @@ def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def window_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one name: name, document number, start and end byte in the block."""
+def window_runs(data: np.ndarray, sizes: np.ndarray, skip: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one name: name, document number, start and end byte in the block.
+
+    Documents numbered in ``skip`` give none.
+    """
     least = _window_hashes(data, GRAM)
     span = LENGTH - GRAM + 1
     width = 1
@@ -70,6 +76,10 @@ def window_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
     good = np.arange(len(least)) + LENGTH <= ends[doc] if len(least) else np.empty(0, bool)
+    if skip:
+        wanted = np.ones(len(sizes), bool)
+        wanted[skip] = False
+        good &= wanted[doc]
     opens = good.copy()
     opens[1:] &= ~good[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(opens)
@@ -82,21 +92,24 @@ def window_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[int | None] = []
     texts: list[bytes] = []
+    digests: list[bytes] = []
 
     def out() -> pa.RecordBatch:
         sizes = [len(t) for t in texts]
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())], ["ids", "sizes", "data"]
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary())), pa.array([b"".join(texts)], pa.binary())],
+            ["ids", "sizes", "digests", "data"],
         )
 
     size = 0
     for batch in batches:
-        for number, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-            if texts and size + len(text) > BLOCK:
+        for number, text, digest in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "_digest")), strict=True):
+            if texts and (size + len(text) > BLOCK or len(texts) >= DOCS):
                 yield out()
-                ids, texts, size = [], [], 0
+                ids, texts, digests, size = [], [], [], 0
             ids.append(number)
             texts.append(text)
+            digests.append(digest)
             size += len(text)
     if texts:
         yield out()
@@ -124,7 +137,7 @@ def _names(shards: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            names = np.unique(window_runs(np.frombuffer(row["data"], np.uint8), np.array(row["sizes"], np.int64))[0])
+            names = np.unique(window_runs(np.frombuffer(row["data"], np.uint8), np.array(row["sizes"], np.int64), row["copies"])[0])
             home = (names % np.uint64(shards)).astype(np.int64)
             parts = _by_shard(home)
             used, packed = list(parts), [_short(names[at]).tobytes() for at in parts.values()]
@@ -146,7 +159,7 @@ class _Runs:
 
     def __init__(self, row: dict, shards: int):
         data = np.frombuffer(row["data"], np.uint8)
-        names, doc, start, end = window_runs(data, np.array(row["sizes"], np.int64))
+        names, doc, start, end = window_runs(data, np.array(row["sizes"], np.int64), row["copies"])
         different, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
         home = (different % np.uint64(shards)).astype(np.int64)
         wanted = counts > 1
@@ -259,6 +272,31 @@ def _tree(data, place, text, offset, sizes, smallest, largest, low, kept) -> Ite
         yield text[members], offset[members], np.repeat(length, counts), np.repeat(least, counts)
 
 
+def _union(run: np.ndarray, offset: np.ndarray, length: np.ndarray, smallest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same cover in fewer spans: spans of one run and smallest document are joined where they meet.
+
+    A span whose smallest document is below ``low``, the run's own, holds at all its places; others inside it go.
+    """
+    smallest = np.where(smallest < low[run], -_NO_ID, smallest)
+    order = np.lexsort((offset, smallest, run))
+    run, offset, end, smallest = run[order], offset[order], (offset + length)[order], smallest[order]
+    fresh = np.r_[True, (run[1:] != run[:-1]) | (smallest[1:] != smallest[:-1])][: len(run)]
+    lane = np.cumsum(fresh) << 32  # keeps the ends of one group below the offsets of the next
+    reach = np.maximum.accumulate(lane + end)
+    first = np.flatnonzero(np.r_[True, (lane + offset)[1:] > reach[:-1]][: len(run)])
+    if not len(first):
+        return run, offset, end, smallest
+    end = (reach - lane)[np.r_[first[1:] - 1, len(run) - 1]]
+    run, offset, smallest = run[first], offset[first], smallest[first]
+    whole = smallest == -_NO_ID
+    starts, ends = (run[whole] << 32) + offset[whole], (run[whole] << 32) + end[whole]
+    at = np.searchsorted(starts, (run << 32) + offset, "right") - 1
+    inside = (at >= 0) & ~whole
+    inside[inside] = ends[at[inside]] >= ((run << 32) + end)[inside]
+    keep = ~inside
+    return run[keep], offset[keep], (end - offset)[keep], smallest[keep]
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Repeat groups of a shard, sent back to the blocks that have places of them."""
     known: dict[bytes, int] = {}
@@ -282,12 +320,13 @@ def _judge(table: pa.Table) -> pa.Table:
     rows = np.repeat(np.arange(len(which)), n)
     later = smallest[rows] < high[back]
     back, rows = back[later], rows[later]
+    back, offset, length, smallest = _union(back, offset[rows], length[rows], smallest[rows], np.array(lows, np.int64))
     block = np.array(blocks, np.int64)[back]
     by_block = np.argsort(block, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(block[by_block]) != 0]) if len(block) else np.empty(0, np.int64)
     number = np.array(numbers, np.int64)[back]
     packed = np.empty(len(block), _FOUND)
-    for name, column in zip(_FOUND.names, (number, offset[rows], length[rows], smallest[rows]), strict=True):
+    for name, column in zip(_FOUND.names, (number, offset, length, smallest), strict=True):
         packed[name] = column[by_block]
     parts = [p.tobytes() for p in np.split(packed, cuts[1:])] if len(cuts) else []
     shard = table.column("shard")[0].as_py()
@@ -316,6 +355,9 @@ def _remove(shards: int) -> Callable:
                 np.add.at(cover, a, 1)
                 np.add.at(cover, a + length[which[later]], -1)
             gone = np.cumsum(cover[:-1]) > 0
+            edges = np.r_[0, np.cumsum(sizes)]
+            for copy in row["copies"] or []:
+                gone[edges[copy] : edges[copy + 1]] = True
             rows, at = [], 0
             for number, size in zip(row["ids"], sizes.tolist(), strict=True):
                 mask = gone[at : at + size]
@@ -342,22 +384,45 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shard: int) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    made = texts.mapInArrow(_blocks, "ids array<long>, sizes array<long>, data binary").withColumn("block", F.monotonically_increasing_id())
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # bucketed by block, so that what comes back to a block is joined without moving texts
-    made.write.option("path", scratch_path(spark, "suffix-blocks")).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_digest"))
+    schema = "ids array<long>, sizes array<long>, digests array<binary>, data binary"
+    made = texts.mapInArrow(_blocks, schema).withColumn("block", F.monotonically_increasing_id())
+    stem, tables = f"suffix_{uuid.uuid4().hex}", []
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_block(df: DataFrame, label: str) -> DataFrame:
+        # bucketed by block, so that what belongs to a block is joined without moving texts
+        tables.append(f"{stem}_{label}")
+        df.write.option("path", scratch_path(spark, f"suffix-{label}")).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
+    blocks = by_block(made, "blocks")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     shards = max(16, total // shard)
+    blocks = blocks.join(by_block(_copies(blocks), "copies").hint("merge"), "block", "left")
     names = blocks.mapInArrow(_names(shards), "shard long, block long, names binary")
     flags = names.groupBy("shard").applyInArrow(_repeated, "block long, shard long, flags binary")
-    flags = materialise(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "flags")).alias("flags")), "suffix-flags")
+    flags = by_block(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "flags")).alias("flags")), "flags")
     flagged = blocks.join(flags.hint("merge"), "block", "left")
     sent = flagged.mapInArrow(_send(shards), "shard long, block long, runs array<binary>, low array<long>, high array<long>")
     found = sent.groupBy("shard").applyInArrow(_judge, "block long, shard long, found binary")
-    found = materialise(found.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("found")), "suffix-found")
+    found = by_block(found.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("found")), "found")
     judged = flagged.join(found.hint("merge"), "block", "left")
     out = judged.mapInArrow(_remove(shards), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return materialise(out, "suffix-dedup").withColumnRenamed("_id", id_col)
+    out = materialise(out, "suffix-dedup")
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}")
+    return out.withColumnRenamed("_id", id_col)
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """By block, positions of documents whose whole text, of LENGTH bytes or more, is in a smaller document too."""
+    one = F.explode(F.arrays_zip("ids", "sizes", "digests", F.sequence(F.lit(0), F.size("ids") - 1).alias("position")))
+    rows = blocks.select("block", one.alias("d")).where(f"d.sizes >= {LENGTH}").select(
+        "block", "d.position", "d.digests", F.coalesce("d.ids", F.lit(_NO_ID)).alias("id")
+    )
+    firsts = rows.groupBy("digests").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    # a text of very many copies is split by adaptive execution: the first side is one row
+    later = rows.join(firsts.hint("merge"), "digests").where("id > first")
+    return later.groupBy("block").agg(F.collect_list("position").alias("copies"))
