@@ -203,7 +203,8 @@ def _send(shards: int) -> Callable:
 def repeat_groups(texts: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places of maximal repeat groups in different ``texts``: text, offset, length, smallest document of the group.
 
-    ``low`` and ``high`` are the smallest and largest document of each text. Only places in a later document count.
+    ``low`` and ``high`` are the smallest and largest document of each text. Only places in a later document count,
+    and groups that start before the text's own first document: later ones add nothing to the text as a whole.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join([*texts, bytes(_DEPTH)]), np.uint8)
@@ -269,7 +270,10 @@ def _tree(data, place, text, offset, sizes, smallest, largest, low, kept) -> Ite
         first, stop, length, least = map(np.array, zip(*found, strict=True))
         counts = stop - first
         members = kept[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
-        yield text[members], offset[members], np.repeat(length, counts), np.repeat(least, counts)
+        length, least = np.repeat(length, counts), np.repeat(least, counts)
+        earlier = least < low[text[members]]
+        members = members[earlier]
+        yield text[members], offset[members], length[earlier], least[earlier]
 
 
 def _union(run: np.ndarray, offset: np.ndarray, length: np.ndarray, smallest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -311,7 +315,7 @@ def _judge(table: pa.Table) -> pa.Table:
     least, most = np.full(len(known), _NO_ID), np.full(len(known), -_NO_ID)
     np.minimum.at(least, text, np.array(lows, np.int64))
     np.maximum.at(most, text, high)
-    which, offset, length, smallest = repeat_groups(list(known), least, most)
+    which, offset, length, smallest = _union(*repeat_groups(list(known), least, most), least)
     order = np.argsort(text, kind="stable")
     counts = np.bincount(text, minlength=len(known))
     firsts = np.cumsum(counts) - counts
