@@ -29,7 +29,8 @@ DOCS = 4096
 # Texts given to a Python worker at a time; a longer row comes alone.
 BATCH = "2m"
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
-SHARD, _DEPTH, _EDGE = 1 << 22, 96, 40
+SHARD, _DEPTH, _EDGE = 1 << 21, 96, 40
+_PIECE = 1 << 15  # suffixes that are sorted at a time, but for those of one window
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = (1 << 63) - 1
@@ -226,9 +227,14 @@ def repeat_groups(texts: list[bytes], low: np.ndarray, high: np.ndarray) -> tupl
         smallest, largest = np.where(edge, -1, before), np.where(edge, 256, before)
         diverse = np.minimum.reduceat(smallest[order], heads) < np.maximum.reduceat(largest[order], heads)
         several = np.diff(np.r_[heads, len(order)]) > 1
-        kept = order[np.repeat(diverse & several, np.diff(np.r_[heads, len(order)]))]
-        for block in _tree(data, place, text, offset, sizes, smallest, largest, low, kept):
-            out.append(block)
+        counts = np.diff(np.r_[heads, len(order)])
+        kept = order[np.repeat(diverse & several, counts)]
+        del hashes, order, before
+        # an interval lies within one window's suffixes, so pieces of whole windows are sorted one by one
+        ends = np.cumsum(counts[diverse & several])
+        cuts = ends[np.flatnonzero(np.diff(ends // _PIECE, prepend=0))]
+        for piece in np.split(kept, cuts):
+            out.extend(_tree(data, place, text, offset, sizes, smallest, largest, low, piece))
     whole = tuple(np.concatenate(c) for c in zip(*out, strict=True))
     later = whole[3] < high[whole[0]]
     return tuple(c[later] for c in whole)
