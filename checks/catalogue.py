@@ -193,7 +193,14 @@ def p13(spark, sf) -> DataFrame:
 
 @query("p14_importable", f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {URI_SQL} AS image_uri FROM part WHERE p_partkey % 3 IN (0, 1) AND ({URI_SQL}) IS NOT NULL""")
 def p14(spark, sf) -> DataFrame:
-    return K.importable(raw_cards(spark, sf)).select("id", "image_uri")
+    return K.importable(raw_cards(spark, sf), C.PRINT_LANGUAGES).select("id", "image_uri")
+
+
+@query("p14_variant_order", """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'f/' || p_partkey
+ WHEN p_partkey % 4 = 1 THEN 'n/' || p_partkey WHEN p_partkey % 4 = 2 THEN 's/' || p_partkey ELSE 'b/' || p_partkey END AS image_uri FROM part""")
+def p14_variants(spark, sf) -> DataFrame:
+    """Any language, other variants first."""
+    return K.importable(raw_cards(spark, sf), [], ["small", "border_crop", "normal"]).select("id", "image_uri")
 
 
 @query("p14_language_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
@@ -346,6 +353,38 @@ def g19(spark, sf) -> DataFrame:
     return K.load_statistics(target, events, ["user_id", "event_type"])
 
 
+@query("g19_ingest_errors", f"""SELECT CAST(0 AS BIGINT) AS rows_before, count(*) FILTER (WHERE ok) AS rows_after, count(*) FILTER (WHERE ok) AS rows_new,
+ CAST(0 AS BIGINT) AS rows_updated, count(*) FILTER (WHERE p_partkey % 7 < 2) AS errors
+ FROM (SELECT *, p_partkey % 7 > 1 AND p_partkey % 3 IN (0, 1) AND ({URI_SQL}) IS NOT NULL AS ok FROM part)""")
+def g19_errors(spark, sf) -> DataFrame:
+    """A dump with unreadable lines and records without an id, in any language."""
+    from prismcat.plans.ingest import ingest
+
+    path = scratch_path(spark, "bulk-errors")
+    record = F.to_json(F.struct("*"))
+    rows = table(spark, sf, "part").selectExpr(*base._columns(_RAW)).withColumn("n", F.col("id").cast("long") % 7)
+    rows = rows.withColumn("id", F.when(F.col("n") != 1, F.col("id")))
+    rows.select(F.when(F.col("n") == 0, F.lit("no object")).otherwise(record).alias("value")).write.text(path)
+    empty = lambda s: spark.createDataFrame([], s)
+    raw = files.read_cards(spark, path, "array_lines")
+    return ingest(raw, empty(schemas.CARDS), empty(schemas.IMAGES), [F.col("name")], "bulk", C.PRINT_LANGUAGES).statistics
+
+
+@query("u01_last_record_of_a_file", """SELECT CAST(p_partkey AS VARCHAR) AS print_id, p_name || ' 2' AS name FROM part""")
+def u01_file_order(spark, sf) -> DataFrame:
+    """Two records of every card in one file: the later one wins."""
+    from prismcat.sources.store import current_snapshot
+    from prismcat.streaming.catalogue_stream import card_stream, fold_into_catalogue
+
+    folder, target = scratch_path(spark, "twice"), scratch_path(spark, "stream-table")
+    both = table(spark, sf, "part").selectExpr(
+        "p_partkey", "explode(array(' 1', ' 2')) AS n", "p_name", "map('large', 'u') AS image_uris"
+    ).repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey", "n")
+    both.selectExpr("CAST(p_partkey AS STRING) AS id", "p_name || n AS name", "image_uris").write.json(folder)
+    fold_into_catalogue(card_stream(spark, folder), target, scratch_path(spark, "stream-progress"), []).awaitTermination()
+    return current_snapshot(spark, target)[1].select("print_id", "name")
+
+
 @query("u02_schema_evolution", """SELECT CAST(c_custkey AS VARCHAR) AS print_id, c_name AS name, CAST(NULL AS DOUBLE) AS cmc, CAST(NULL AS VARCHAR) AS lang, c_acctbal FROM customer""")
 def u02(spark, sf) -> DataFrame:
     old = table(spark, sf, "customer").selectExpr("c_custkey AS print_id", "c_name AS name", "c_acctbal")
@@ -460,7 +499,7 @@ def ingest_catalogue(spark, sf) -> DataFrame:
     from prismcat.plans.ingest import ingest
 
     empty = lambda s: spark.createDataFrame([], s)
-    result = ingest(raw_cards(spark, sf), empty(schemas.CARDS), empty(schemas.IMAGES), [F.col("name")], "bulk")
+    result = ingest(raw_cards(spark, sf), empty(schemas.CARDS), empty(schemas.IMAGES), [F.col("name")], "bulk", C.PRINT_LANGUAGES)
     paths = result.images.select("print_id", "file_path")
     return result.cards.select("print_id", "name").join(paths, "print_id")
 
@@ -473,6 +512,6 @@ def stream_catalogue(spark, sf) -> DataFrame:
 
     folder = _dump_lines(spark, sf)
     target = scratch_path(spark, "stream-table")
-    run = fold_into_catalogue(card_stream(spark, folder), target, scratch_path(spark, "stream-progress"))
+    run = fold_into_catalogue(card_stream(spark, folder), target, scratch_path(spark, "stream-progress"), C.PRINT_LANGUAGES)
     run.awaitTermination()
     return current_snapshot(spark, target)[1].select("print_id", "name")

@@ -421,6 +421,33 @@ def s06(spark, sf) -> DataFrame:
     return back.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("print_id").alias("cards"))
 
 
+@query("s06_model_id_of_one_mode", f"""WITH {V_EMB} SELECT 'analysis' AS mode, count(*) AS n, CAST(0 AS BIGINT) AS with_model FROM v_emb
+ UNION ALL SELECT 'runtime', count(*), count(*) FILTER (WHERE print_id % 2 = 0) FROM v_emb""")
+def s06_model_id(spark, sf) -> DataFrame:
+    """A column that only the newer mode has is read from it."""
+    from prismcat.session import scratch_path
+
+    path = scratch_path(spark, "store")
+    rows = emb(spark, sf)
+    store.replace_mode(rows, path, "analysis", 64)
+    store.replace_mode(rows.withColumn("model_id", F.expr("CASE WHEN print_id % 2 = 0 THEN 'm1' END")), path, "runtime", 64)
+    return store.read_store(spark, path).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count("model_id").alias("with_model"))
+
+
+@query("s10_column_added_later", f"""WITH {V_EMB} SELECT DISTINCT print_id, CASE WHEN print_id % 3 <> 0 THEN 0 ELSE 1 END AS flag,
+ CASE WHEN print_id % 3 = 0 THEN 'late' END AS note FROM v_emb""")
+def s10_added(spark, sf) -> DataFrame:
+    """A second snapshot adds a column; rows that it doesn't touch have NULL there."""
+    from prismcat.session import scratch_path
+
+    path = scratch_path(spark, "quality")
+    prints = emb(spark, sf).select("print_id").distinct()
+    store.upsert_quality(prints.withColumn("flag", F.lit(0)), path, "print_id")
+    some = prints.where("print_id % 3 = 0").select("print_id", F.lit(1).alias("flag"), F.lit("late").alias("note"))
+    store.upsert_quality(some, path, "print_id")
+    return store.current_snapshot(spark, path)[1]
+
+
 @query("j01_embedding_image_card", f"""WITH {V_EMB}, {V_IMAGES}, {V_CARDS} SELECT e.emb_id, e.print_id, e.aug_index, i.file_path,
  i.language AS image_language, k.name, k.set_code FROM v_emb e LEFT JOIN v_images i ON i.image_id = e.image_id
  LEFT JOIN v_cards k ON k.print_id = e.print_id WHERE e.mode = 'analysis'""")

@@ -229,6 +229,7 @@ def saturation(img, factor):
 
 def color_temperature(img, t):
     """Warm above 1 (less blue), cool below (less red); every gain is bounded."""
+    # fixed values: gains and their limits
     if t > 1.0:
         gains = [min(t, 1.4), min(0.95 * t, 1.2), max(0.7 * t, 0.8)]
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import (
-    PRINT_LANGUAGES, blank_to_null, first_truthy, image_uri, language_allowed, to_number,
+    IMAGE_VARIANTS, PRINT_LANGUAGES, blank_to_null, first_truthy, image_uri, language_allowed, to_number,
 )
 from prismcat.functions.vectors import unit
 from prismcat.operators.groups import first_rows
@@ -36,9 +36,12 @@ def rejected_cards(raw: DataFrame) -> DataFrame:
     return raw.where(blank_to_null(F.col("id")).isNull())
 
 
-def importable(raw: DataFrame, languages: list[str] = PRINT_LANGUAGES) -> DataFrame:
-    """Records in an allowed language that have an image; adds ``image_uri``."""
-    return raw.withColumn("image_uri", image_uri(F.col("image_uris"), F.col("card_faces"))).where(
+def importable(raw: DataFrame, languages: list[str], variants: list[str] = IMAGE_VARIANTS) -> DataFrame:
+    """Records in an allowed language that have an image; adds ``image_uri``.
+
+    No languages: all are allowed. ``variants`` are the wanted image variants, best first.
+    """
+    return raw.withColumn("image_uri", image_uri(F.col("image_uris"), F.col("card_faces"), variants)).where(
         language_allowed(F.col("lang"), languages) & F.col("image_uri").isNotNull()
     )
 

@@ -114,6 +114,7 @@ def range_hints(reference: DataFrame, camera: DataFrame) -> DataFrame:
     fields = F.struct("mean_luminance", "std_luminance")
     one = camera.withColumn("_r", reference.select(fields).scalar())
     floor = F.lit(1e-6)
+    # fixed values below: limits and factors of the ranges
     bright = F.col("mean_luminance") / F.greatest(F.col("_r.mean_luminance"), floor)
     contrast = F.col("std_luminance") / F.greatest(F.col("_r.std_luminance"), floor)
     detail = F.sqrt(F.col("laplacian_var") + floor)

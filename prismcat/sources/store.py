@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,17 +49,61 @@ def dimension_rejects(df: DataFrame, vec: str, dim: int) -> DataFrame:
 def replace_mode(df: DataFrame, path: str, mode: str, dim: int) -> None:
     """Replace every stored row of one mode, other modes stay.
 
-    Each mode is one partition folder, overwritten as a whole; writing zero rows clears it. Vectors
-    are cast to float and checked against the dimension while they are written.
+    The rows go to a new version folder, which counts once it is complete: a failed write leaves the
+    old rows in place. Writing zero rows clears the mode. Vectors are cast to float and checked
+    against the dimension while they are written. A version is removed when a second one follows it.
     """
     emb = check_dim(F.col("emb").cast("array<float>"), dim).alias("emb")
     others = [F.col(c) for c in df.columns if c not in ("emb", "mode")]
-    df.select(*others, emb).write.mode("overwrite").parquet(f"{path}/mode={mode}")
+    folder = f"{path}/mode={mode}"
+    versions = _complete(df.sparkSession, folder, "version")
+    number = versions[-1] + 1 if versions else 1
+    df.select(*others, emb).write.mode("overwrite").parquet(f"{folder}/version={number:09d}")
+    for old in versions[:-1]:
+        _remove(df.sparkSession, f"{folder}/version={old:09d}")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store with ``mode`` as partition column; a filter on it skips the other folders."""
-    return spark.read.option("basePath", path).parquet(path)
+    """The store with its ``mode`` column; a filter on it skips the other folders.
+
+    Each mode is read with its own schema; a column that only some modes have is NULL in the others.
+    """
+    parts = []
+    for mode in _children(spark, path, "mode"):
+        versions = _complete(spark, f"{path}/mode={mode}", "version")
+        if versions:
+            rows = spark.read.parquet(f"{path}/mode={mode}/version={versions[-1]:09d}")
+            parts.append(rows.withColumn("mode", F.lit(mode)))
+    if not parts:
+        raise FileNotFoundError(f"no embeddings in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's view of ``path``: (file system, path), whichever storage it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _children(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the ``key=value`` folders directly below ``path``, sorted."""
+    system, at = _file_system(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{key}="))
+
+
+def _complete(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers of the folders below ``path`` whose write has ended, ascending."""
+    def ended(value: str) -> bool:
+        system, at = _file_system(spark, f"{path}/{key}={value}/_SUCCESS")
+        return system.exists(at)
+
+    return sorted(int(v) for v in _children(spark, path, key) if ended(v))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot: int) -> None:
@@ -68,15 +112,22 @@ def write_snapshot(df: DataFrame, path: str, snapshot: int) -> None:
 
 
 def current_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None:
-    """Number and rows of the newest snapshot, None when nothing was written yet."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    newest = table.agg(F.max("snapshot")).head()[0]
-    if newest is None:
+    """Number and rows of the newest snapshot, None when nothing was written yet.
+
+    Only that folder is read, under its own schema: columns that later snapshots added are there.
+    """
+    numbers = _complete(spark, path, "snapshot")
+    if not numbers:
         return None
-    return newest, table.where(F.col("snapshot") == newest).drop("snapshot")
+    return numbers[-1], spark.read.parquet(f"{path}/snapshot={numbers[-1]:09d}")
+
+
+def expire_snapshots(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest ``keep`` snapshots; call it when no reader uses older ones."""
+    if keep < 1:
+        raise ValueError("keep at least one snapshot")
+    for old in _complete(spark, path, "snapshot")[:-keep]:
+        _remove(spark, f"{path}/snapshot={old:09d}")
 
 
 def upsert_quality(quality: DataFrame, path: str, key: str = "group_id") -> DataFrame:

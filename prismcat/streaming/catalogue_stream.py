@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prismcat.functions.columns import PRINT_LANGUAGES
+from prismcat.functions.columns import IMAGE_VARIANTS
 from prismcat.operators.catalogue import flatten_cards, importable, upsert
 from prismcat.schemas import CARD_RAW, CARDS
 from prismcat.sources.store import current_snapshot, write_snapshot
@@ -17,25 +17,31 @@ def card_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return (
         spark.readStream.schema(CARD_RAW).option("maxFilesPerTrigger", files_per_batch).json(folder)
         .withColumn("_source_file", F.col("_metadata.file_path"))
+        .withColumn("_source_start", F.col("_metadata.file_block_start"))
     )
 
 
 def fold_into_catalogue(
-    raw: DataFrame, table: str, checkpoint: str, languages: list[str] = PRINT_LANGUAGES
+    raw: DataFrame, table: str, checkpoint: str, languages: list[str], variants: list[str] = IMAGE_VARIANTS
 ) -> StreamingQuery:
     """Upsert every micro-batch into the snapshot table; stops when all waiting files are done.
 
     Snapshot numbers follow the batch number, so a batch that is replayed after a failure finds its
-    own snapshot already written and does nothing. Within a batch the last file wins.
+    own snapshot already written and does nothing. Within a batch the last file wins, and within a
+    file the last record.
     """
+    place = ["_source_file", "_source_start", "_source_row"]
+
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         found = current_snapshot(spark, table)
         if found is not None and found[0] >= number + 1:
             return
-        flat = flatten_cards(importable(batch, languages).drop("image_uri"), keep=["_source_file"])
+        # a split of a file is read in order by one task
+        placed = batch.withColumn("_source_row", F.monotonically_increasing_id())
+        flat = flatten_cards(importable(placed, languages, variants).drop("image_uri"), keep=place)
         target = spark.createDataFrame([], CARDS) if found is None else found[1]
-        merged = upsert(target, flat, ["print_id"], [F.desc("_source_file")]).drop("_source_file")
+        merged = upsert(target, flat, ["print_id"], [F.desc(c) for c in place]).drop(*place)
         write_snapshot(merged, table, number + 1)
 
     return (

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismcat import schemas
+from prismcat.functions import columns as C
 from prismcat.operators import catalogue as K
 from prismcat.session import scratch_path
 from prismcat.sources import files, images, reports, store
@@ -45,7 +46,7 @@ def test_card_scan(spark, tmp_path, layout):
     assert set(flat) == {"a", "b", "c", "d"}
     assert flat["a"]["price_usd"] == 1.25 and flat["a"]["price_eur"] is None and flat["a"]["colors"] == ["R"]
     assert K.rejected_cards(raw.where("name IS NOT NULL")).count() == 1
-    assert {r["id"] for r in K.importable(raw).collect()} == {"a", "", "b"}
+    assert {r["id"] for r in K.importable(raw, C.PRINT_LANGUAGES).collect()} == {"a", "", "b"}
     assert {r["id"] for r in K.importable(raw, []).collect()} == {"a", "", "b", "c"}
 
 
@@ -92,6 +93,33 @@ def test_replace_mode(spark, folder):
         store.replace_mode(rows, folder + "/bad", "analysis", 5)
 
 
+def test_failed_replace_leaves_the_old_rows(spark, folder):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "emb_id bigint, emb array<double>")
+    store.replace_mode(rows, folder, "analysis", 2)
+    with pytest.raises(Exception, match="expected 2"):
+        store.replace_mode(rows.withColumn("emb", F.slice("emb", 1, 1)), folder, "analysis", 2)
+    assert store.read_store(spark, folder).count() == 2
+    store.replace_mode(rows.where("emb_id = 2"), folder, "analysis", 2)
+    assert [r["emb_id"] for r in store.read_store(spark, folder).collect()] == [2]
+
+
+def test_old_snapshots_expire(spark, folder):
+    for flag in range(4):
+        store.upsert_quality(spark.createDataFrame([("a", flag)], "group_id string, flag int"), folder)
+    store.expire_snapshots(spark, folder)
+    assert sorted(n for n in os.listdir(folder)) == ["snapshot=000000003", "snapshot=000000004"]
+    assert tuple(store.current_snapshot(spark, folder)[1].first()) == ("a", 3)
+    assert store.current_snapshot(spark, folder + "/none") is None
+
+
+def test_last_record_of_a_file_wins(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    write(src / "1.json", "\n".join(json.dumps({**CARDS[0], "name": n}) for n in ("x", "z", "y")))
+    fold_into_catalogue(card_stream(spark, str(src)), str(tmp_path / "t"), str(tmp_path / "p"), []).awaitTermination()
+    assert [r["name"] for r in store.current_snapshot(spark, str(tmp_path / "t"))[1].collect()] == ["y"]
+
+
 def test_quality_upsert_keeps_other_cards(spark, folder):
     def q(rows):
         return spark.createDataFrame(rows, "group_id string, flag int")
@@ -138,14 +166,14 @@ def test_stream_folds_files_and_survives_a_replay(spark, tmp_path):
     src.mkdir()
     write(src / "1.json", "\n".join(json.dumps(c) for c in CARDS[:3]))
     progress = str(tmp_path / "progress")
-    fold_into_catalogue(card_stream(spark, str(src)), table, progress).awaitTermination()
+    fold_into_catalogue(card_stream(spark, str(src)), table, progress, C.PRINT_LANGUAGES).awaitTermination()
     write(src / "2.json", json.dumps({**CARDS[0], "name": "Alpha 2"}))
     write(src / "3.json", json.dumps({"id": "e", "lang": "en", "name": "New", "image_uris": {"large": "u"}}))
-    fold_into_catalogue(card_stream(spark, str(src)), table, progress).awaitTermination()
+    fold_into_catalogue(card_stream(spark, str(src)), table, progress, C.PRINT_LANGUAGES).awaitTermination()
     number, rows = store.current_snapshot(spark, table)
     assert {r["print_id"]: r["name"] for r in rows.collect()} == {"a": "Alpha 2", "b": "Faces", "e": "New"}
     # a replay of everything starts at batch 0 again: its snapshots exist, so nothing changes
-    fold_into_catalogue(card_stream(spark, str(src)), table, str(tmp_path / "other")).awaitTermination()
+    fold_into_catalogue(card_stream(spark, str(src)), table, str(tmp_path / "other"), C.PRINT_LANGUAGES).awaitTermination()
     assert store.current_snapshot(spark, table)[0] == number
 
 
