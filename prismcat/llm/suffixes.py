@@ -244,15 +244,20 @@ def _tree(data, place, text, offset, sizes, smallest, largest, low, kept) -> Ite
     """Stack scan over the sorted suffixes ``kept``: left-diverse intervals of at least LENGTH common bytes."""
     if not len(kept):
         return
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, _DEPTH)[place[kept]])
+    suffixes = np.lib.stride_tricks.sliding_window_view(data, _DEPTH)[place[kept]].copy()
     # one more than each byte: no byte is zero, and 255 never occurs in UTF-8
     rest = np.minimum(_DEPTH, sizes[text[kept]] - offset[kept])
-    keys = np.where(np.arange(_DEPTH) < rest[:, None], suffixes + np.uint8(1), np.uint8(0))
-    del suffixes
+    keys = suffixes
+    keys += np.uint8(1)
+    for a in range(0, len(kept), _PIECE):
+        keys[a : a + _PIECE][np.arange(_DEPTH) >= rest[a : a + _PIECE, None]] = 0
     order = np.argsort(keys.view(f"S{_DEPTH}").ravel(), kind="stable")
     keys, kept, rest = keys[order], kept[order], rest[order]
-    differ = keys[1:] != keys[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), _DEPTH)
+    common = np.empty(len(kept) - 1, np.int64)
+    for a in range(0, len(common), _PIECE):
+        differ = keys[a + 1 : a + _PIECE + 1] != keys[a : a + _PIECE][: len(common) - a]
+        common[a : a + _PIECE] = np.where(differ.any(1), differ.argmax(1), _DEPTH)
+    del keys, suffixes
     common = np.minimum(common, np.minimum(rest[1:], rest[:-1])).tolist()
     lows, small, large = low[text[kept]].tolist(), smallest[kept].tolist(), largest[kept].tolist()
     found: list[tuple[int, int, int, int]] = []
@@ -272,14 +277,15 @@ def _tree(data, place, text, offset, sizes, smallest, largest, low, kept) -> Ite
             top[2:] = [min(top[2], node[2]), min(top[3], node[3]), max(top[4], node[4])]
         else:
             stack.append(node)
-    if found:
-        first, stop, length, least = map(np.array, zip(*found, strict=True))
-        counts = stop - first
-        members = kept[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
-        length, least = np.repeat(length, counts), np.repeat(least, counts)
-        earlier = least < low[text[members]]
-        members = members[earlier]
-        yield text[members], offset[members], length[earlier], least[earlier]
+    # all places of a suffix's intervals start with it, so the longest one that an earlier document has covers the rest
+    own = low[text[kept]]
+    length, least = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+    for first, stop, depth, document in sorted(found, key=lambda f: f[2]):
+        earlier = own[first:stop] > document
+        length[first:stop][earlier] = depth
+        least[first:stop][earlier] = document
+    at = np.flatnonzero(length)
+    yield text[kept[at]], offset[kept[at]], length[at], least[at]
 
 
 def _union(run: np.ndarray, offset: np.ndarray, length: np.ndarray, smallest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
