@@ -23,9 +23,10 @@ from prismcat.llm.common import arrow_batches, prepare
 from prismcat.session import materialise, scratch_path
 
 LENGTH, GRAM = 50, 20
-BLOCK = 1 << 18
+# Bytes in a block, about. A block sends one row to each shard that it has names of, so larger blocks send fewer rows.
+BLOCK = 1 << 20
 # Documents in a block at most.
-DOCS = 4096
+DOCS = 1 << 14
 # Texts given to a Python worker at a time; a longer row comes alone.
 BATCH = "2m"
 # Bytes of input to a shard, about; bytes of a suffix that are compared; steps after which a run starts anew.
