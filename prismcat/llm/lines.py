@@ -1,8 +1,8 @@
-"""Line dedup on content-defined chunks of lines.
+"""Line dedup on content-defined passages of lines.
 
-A line starts a chunk when a rolling hash over its own hash and that of the lines just before it hits a
-residue, so boundaries depend on nearby lines only and survive insertions elsewhere. Chunks of several lines
-that occur more than once in the corpus are fetched, compared byte by byte, and removed but for the first.
+A rolling hash runs over the hashes of every two neighbouring lines that aren't blank, so a seed depends on its
+own lines only and insertions elsewhere don't move it. Seeds that occur more than once in the corpus are
+fetched, compared byte by byte, and joined into runs; all places of a passage are removed but for the first.
 """
 
 from __future__ import annotations
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from prismcat.llm.common import unused
 from prismcat.session import materialise
 
-# Lines under the rolling hash; a chunk has about DIVISOR lines.
-WINDOW = 2
-DIVISOR = 3
 _KEY = ["_id", "_sha"]
 
 
@@ -23,46 +20,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> DataFrame:
-    """``_id``, ``_sha``, ``lines``, ``starts`` (first lines of the chunks) of every row."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    split = texts.select("_id", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), _lines(F.col("_text")).alias("lines"))
-    hashed = split.withColumn("hashes", F.transform("lines", lambda line: F.xxhash64(line)))
-    rolled = f"xxhash64(slice(hashes, i - {window - 2}, {window}))"
-    return hashed.withColumn("starts", F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = 0 OR (i >= {window - 1} AND pmod({rolled}, {divisor}) = 0))"))
-
-
-def _chunks(chunked: DataFrame) -> DataFrame:
-    """Chunks with at least two lines that are not blank: ``first`` line, ``n_lines``, ``chunk`` text."""
-    one = chunked.select(*_KEY, "lines", "starts", F.posexplode("starts").alias("k", "first"))
-    one = one.withColumn("n_lines", F.coalesce(F.expr("get(starts, k + 1)"), F.size("lines")) - F.col("first")).filter("n_lines > 1")
-    one = one.withColumn("part", F.expr("slice(lines, first + 1, n_lines)")).filter("size(filter(part, x -> trim(x) != '')) > 1")
-    return one.select(*_KEY, "first", "n_lines", F.array_join("part", "\n").alias("chunk"))
-
-
-def repeated_chunks(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR,
-) -> tuple[DataFrame, DataFrame]:
-    """Removals (``_id``, ``_sha``, ``removed``: line ranges) and the documents that had candidates (``_id``, ``_sha``, ``lines``)."""
-    chunks = _chunks(_chunked(docs, id_col, text_col, window, divisor))
-    narrow = chunks.select(*_KEY, "first", "n_lines", F.xxhash64("chunk").alias("h"), F.octet_length("chunk").alias("bytes")).distinct()
-    narrow = materialise(narrow, "line-chunks")
-    same = ["h", "n_lines", "bytes"]
-    repeated = materialise(narrow.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-repeated")
-    wanted = materialise(narrow.join(repeated.hint("merge"), same), "line-wanted")
-    # a document is one row here: equal id and text; its candidates are at most its chunks
-    lists = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n_lines", "h")).alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _seeds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every two neighbouring lines that aren't blank: ``first`` line, ``n_lines`` with the blank ones between, hash ``h``."""
+    full = r"filter(transform(lines, (x, i) -> struct(i, if(x rlike '\\S', xxhash64(x), NULL) AS h)), f -> f.h IS NOT NULL)"
+    hashed = docs.select(F.col(id_col).alias("_id"), _sha(F.col(text_col)).alias("_sha"), _lines(F.col(text_col)).alias("lines"))
+    hashed = hashed.select(*_KEY, F.expr(full).alias("full"))
+    rolled = "struct(a.i AS first, b.i - a.i + 1 AS n_lines, xxhash64(a.h, b.h) AS h)"
+    pairs = f"zip_with(slice(full, 1, greatest(size(full) - 1, 0)), slice(full, 2, greatest(size(full) - 1, 0)), (a, b) -> {rolled})"
+    return hashed.select(*_KEY, F.explode(F.expr(pairs)).alias("s")).select(*_KEY, "s.*")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Removals (``_id``, ``_sha``, ``removed``: line ranges, which may overlap) and the documents that had candidates (``_id``, ``_sha``, ``lines``)."""
+    seeds = materialise(_seeds(docs, id_col, text_col), "line-seeds")
+    same = ["h", "n_lines"]
+    repeated = materialise(seeds.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-repeated")
+    wanted = materialise(seeds.join(repeated.hint("merge"), same), "line-wanted")
+    # a document is one row here: equal id and text; its candidates are at most its lines
+    lists = wanted.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "n_lines", "h")).alias("wanted"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_sha", _sha(F.col("_text")))
     found = texts.alias("t").join(lists.hint("merge").alias("l"), F.col("t._sha").eqNullSafe(F.col("l._sha")) & F.col("t._id").eqNullSafe(F.col("l._id")))
     fetched = materialise(found.select("t._id", "t._sha", _lines(F.col("_text")).alias("lines"), "wanted").dropDuplicates(_KEY), "line-fetched")
-    members = fetched.select(*_KEY, "lines", F.explode("wanted").alias("w")).select(
-        *_KEY, "w.first", "w.n_lines", "w.h", F.array_join(F.expr("slice(lines, w.first + 1, w.n_lines)"), "\n").alias("chunk")
-    )
+    passage = "transform(wanted, w -> struct(w.first, w.n_lines, w.h, array_join(slice(lines, w.first + 1, w.n_lines), '\n') AS passage))"
+    members = fetched.select(*_KEY, F.explode(F.expr(passage)).alias("w")).select(*_KEY, "w.*")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha", "first")
-    firsts = materialise(members.groupBy("h", "chunk").agg(F.min(place).alias("kept")), "line-firsts")
-    # the join compares the chunks' bytes; Spark splits the side of a very frequent chunk
-    extra = members.join(firsts.hint("merge"), ["h", "chunk"]).filter(~place.eqNullSafe(F.col("kept")))
+    firsts = materialise(members.groupBy("h", "passage").agg(F.min(place).alias("kept")), "line-firsts")
+    # the join compares the passages' bytes; Spark splits the side of a very frequent one
+    extra = members.join(firsts.hint("merge"), ["h", "passage"]).filter(~place.eqNullSafe(F.col("kept")))
     extra = materialise(extra.select(*_KEY, "first", "n_lines"), "line-extra")
     return extra.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n_lines")).alias("removed")), fetched
 
@@ -74,41 +62,40 @@ def _left(lines: Column, removed: Column) -> Column:
     return F.transform(stay, lambda i: F.get(lines, i))
 
 
-def line_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR,
-) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_lines``, ``n_removed`` (lines), ``kept_sha256`` of what is left.
 
-    Of a repeated chunk the place with the smallest id stays (NULL ids last). Rows equal in id and text are
-    one document and judged alike. NULL text counts as empty, which is one blank line; chunks of blank
-    lines are never removed. Other columns don't matter.
+    Of any two or more lines that stand together elsewhere, blank ones not counted, the place with the
+    smallest id stays (NULL ids last). Where passages overlap, each is judged by itself, so the first place of
+    one can lose lines to another that stands before it; the first place of a line never goes. Rows equal in id
+    and text are one document and judged alike. NULL text counts as empty, which is one blank line; blank lines
+    go only between lines that go. Other columns don't matter.
     """
-    removals, fetched = repeated_chunks(docs, id_col, text_col, window, divisor)
+    removals, fetched = repeated_passages(docs, id_col, text_col)
     cut = fetched.join(removals, F.expr("true") & fetched["_sha"].eqNullSafe(removals["_sha"]) & fetched["_id"].eqNullSafe(removals["_id"]))
     rest = _left(fetched["lines"], F.col("removed"))
     changed = materialise(cut.select(fetched["_id"].alias("c_id"), fetched["_sha"].alias("c_sha"), F.size(rest).alias("n_left"), F.sha2(F.array_join(rest, "\n").cast("binary"), 256).alias("kept")), "line-changed")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha"), F.size(_lines(text)).alias("n_lines"))
+    base = docs.select(F.col(id_col).alias("_id"), _sha(text).alias("_sha"), F.size(_lines(text)).alias("n_lines"))
     out = base.join(changed.hint("merge"), F.col("_sha").eqNullSafe(F.col("c_sha")) & F.col("_id").eqNullSafe(F.col("c_id")), "left")
     return out.select(
         F.col("_id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"),
         F.coalesce(F.col("n_lines") - F.col("n_left"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept", "_sha").alias("kept_sha256"),
+        F.coalesce("kept", F.lower(F.hex("_sha"))).alias("kept_sha256"),
     )
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, drop_emptied: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False,
 ) -> DataFrame:
-    """``docs`` with repeated chunks cut out of their texts; rows without one stay exactly as they are.
+    """``docs`` with repeated passages cut out of their texts; rows without one stay exactly as they are.
 
     With ``drop_emptied``, rows whose last line that isn't blank was removed go.
     """
     cut_id, cut_sha, cut_lines, was_cut = (unused(docs, c) for c in ("_cut_id", "_cut_sha", "_cut_lines", "_cut"))
-    removals, _ = repeated_chunks(docs, id_col, text_col, window, divisor)
+    removals, _ = repeated_passages(docs, id_col, text_col)
     removals = removals.select(F.col("_id").alias(cut_id), F.col("_sha").alias(cut_sha), F.col("removed").alias(cut_lines))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    joined = docs.join(removals.hint("merge"), sha.eqNullSafe(F.col(cut_sha)) & F.col(id_col).eqNullSafe(F.col(cut_id)), "left")
+    joined = docs.join(removals.hint("merge"), _sha(F.col(text_col)).eqNullSafe(F.col(cut_sha)) & F.col(id_col).eqNullSafe(F.col(cut_id)), "left")
     cut = F.col(cut_lines).isNotNull()
     text = F.when(cut, F.array_join(_left(_lines(F.col(text_col)), F.col(cut_lines)), "\n")).otherwise(F.col(text_col))
     out = joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), cut.alias(was_cut))
