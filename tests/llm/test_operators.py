@@ -287,6 +287,18 @@ def test_quality_model(spark):
     assert np.mean([got[i] for i in range(240, 480)]) > 0.9 and not any(got[900 + i] for i in range(20))
 
 
+def test_quality_rejects_what_letters_alone_hide(spark):
+    rng = random.Random(13)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    words = lambda: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    rude = lambda: " ".join(rng.choice(["idiot", "scum"]) if k % 20 == 0 else w for k, w in enumerate(words()))
+    rows = [(i, " ".join(words()), "en", "s") for i in range(480)]
+    rows += [(900 + i, " ".join(words()).upper(), "en", "s") for i in range(20)] + [(930 + i, rude(), "en", "s") for i in range(20)]
+    rows += [(960 + i, " ".join(w + rng.choice("~^@;") for w in words()), "en", "s") for i in range(20)]
+    got = {r.doc_id: r.keep for r in quality.quality_report(frame(spark, rows), labels(spark, [(i, 1, 0) for i in range(240)])).collect()}
+    assert np.mean([got[i] for i in range(240, 480)]) > 0.9 and not any(got[i] for i in got if i >= 900)
+
+
 def test_mix_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 90)), "en", [None, "b", "a", "a", "a", "a"][i % 6]) for i in range(1500)]
     got = mix(frame(spark, rows)).collect()
