@@ -299,6 +299,19 @@ def test_quality_rejects_what_letters_alone_hide(spark):
     assert np.mean([got[i] for i in range(240, 480)]) > 0.9 and not any(got[i] for i in got if i >= 900)
 
 
+def test_quality_thresholds_are_of_all_trusted(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["ba", "lo", "mi", "tu"]) * rng.randint(1, 3) for _ in range(20)), ["en", None][i % 8 == 0], "s") for i in range(600)]
+    trusted = labels(spark, [(i, 1, 0) for i in range(500)])
+    got = {r.doc_id: r for r in quality.quality_report(frame(spark, rows), trusted, max_trusted=40).collect()}
+    fit = {r._trusted for r in quality.trusted_sample(trusted, limit=40).collect()}
+    assert len(fit) == 40
+    for lang in ("en", None):
+        known = [got[i].perplexity for i in range(500) if rows[i][2] == lang and i not in fit]
+        assert len(known) > quality.MIN_TRUSTED
+        assert all(got[i].threshold == pytest.approx(np.quantile(known, quality.QUANTILE)) for i in got if rows[i][2] == lang)
+
+
 def test_mix_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 90)), "en", [None, "b", "a", "a", "a", "a"][i % 6]) for i in range(1500)]
     got = mix(frame(spark, rows)).collect()
