@@ -93,11 +93,11 @@ def mix(
 
     Sources in code point order, NULL last, get ``weights`` in turn and share ``share`` times all words.
     NULL and empty texts have size 0 and are never taken; NULL is a source of its own. Repeated rows are
-    documents of their own. Within a source documents follow each other by hash and id, so the result
+    documents of their own. Within a source documents follow each other by a hash of id and text, so the result
     doesn't depend on how the table is stored. Small sources are cut into smaller blocks, about 64 of them.
     """
     sized = numbered(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-docs"
+        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_hash")), "mix-docs"
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ordered = with_global_index(per_source, [F.col("source").asc_nulls_last()], "src_no")
@@ -111,8 +111,9 @@ def mix(
 
     runs = max(1, sized.count() // _RUN)
     known = sources.select("src_no", "source", "block_words")
-    keyed = sized.join(known, sized["source"].eqNullSafe(known["source"])).select("_row", "_id", "size", "src_no", "block_words")
-    keyed = materialise(keyed.withColumn("run", F.pmod(F.xxhash64("_id"), F.lit(runs))), "mix-keyed")
+    keyed = sized.join(known, sized["source"].eqNullSafe(known["source"])).select("_row", "_id", "_hash", "size", "src_no", "block_words")
+    # the text counts too, so that rows of one id, or without any, don't share a run
+    keyed = materialise(keyed.withColumn("run", F.pmod(F.xxhash64("_id", "_hash"), F.lit(runs))).drop("_hash"), "mix-keyed")
     before = Window.partitionBy("src_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     bases = keyed.groupBy("src_no", "run").agg(F.sum("size").alias("n")).select("src_no", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("src_no", "run").orderBy("_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)

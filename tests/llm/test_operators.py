@@ -321,3 +321,15 @@ def test_mix_targets(spark):
     for size, target in targets.items():
         assert sum(r.taken for r in got if r.source_size == size) == pytest.approx(target, rel=0.01)
     assert sum(targets.values()) == pytest.approx(1.5 * sum(r.size for r in got))
+
+
+def test_mix_deals_out_rows_of_one_id(spark, monkeypatch):
+    from prismcat.llm import mixing
+
+    seen, write = {}, mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, label: seen.setdefault(label, write(df, label)))
+    monkeypatch.setattr(mixing, "_RUN", 8)
+    rows = [([None, 7][i % 2], f"w{i} w w", "en", "a") for i in range(400)]
+    got = mix(frame(spark, rows)).collect()
+    assert len(got) == 400 and sum(r.taken for r in got) == pytest.approx(got[0].target, rel=0.02)
+    assert max(r["count"] for r in seen["mix-keyed"].groupBy("run").count().collect()) < 40
