@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from prismcat.llm.decontaminate import contamination
 from prismcat.llm.exact import exact_dedup
 from prismcat.llm.hmm import score_documents
+from prismcat.llm.licenses import license_scan
 from prismcat.llm.lines import line_report
+from prismcat.llm.middle import fill_in_middle, middle_digests
 from prismcat.llm.mixing import mix
+from prismcat.llm.periodic import periodic_runs, run_digests
 from prismcat.llm.quality import quality_report
 from prismcat.llm.secrets import secret_scan
 from prismcat.llm.simhash import simhash_groups
@@ -114,3 +117,29 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+@query("op13_fill_in_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x,
+   regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+ h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+   CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM t),
+ c AS (SELECT *, body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') AS plain,
+   least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a+1:b], '') AS middle, array_to_string(u[b+1:], '') AS suffix,
+   CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(body) AS restored_sha256 FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(fill_in_middle(table(spark, sf_dir, "documents")))
