@@ -94,18 +94,18 @@ def j09(spark, sf) -> DataFrame:
 @query("j09_topk_similarity_tiles", f"""WITH {HITS} SELECT q AS query_id, d AS stored_id, {sql6("s", "similarity")},
  {sql6("1 - s", "distance")}, CAST(rk AS INT) AS "rank" FROM hits""")
 def j09_tiles(spark, sf) -> DataFrame:
-    """The path for many queries: both sides packed and joined tile by tile."""
+    """Many queries: several rounds over the store, each written before the next."""
     v = _vectors(spark, sf).select("id", "vec")
-    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, broadcast_queries=0, block_rows=256, prune=False)
+    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, round_rows=512)
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
 
 
 @query("j09_topk_similarity_pruned", f"""WITH {HITS} SELECT q AS query_id, d AS stored_id, {sql6("s", "similarity")},
  {sql6("1 - s", "distance")}, CAST(rk AS INT) AS "rank" FROM hits""")
 def j09_pruned(spark, sf) -> DataFrame:
-    """The same with blocks ordered by direction and unreachable tiles left out."""
+    """The same through a cell tree of small leaves; cells out of reach are left out."""
     v = _vectors(spark, sf).select("id", "vec")
-    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, broadcast_queries=0, block_rows=256, prune=True)
+    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, prune=True, leaf_rows=32)
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
 
 
@@ -128,7 +128,7 @@ def j09_cards(spark, sf) -> DataFrame:
 
 @query("j09_topk_cards_tiles", CARD_SQL)
 def j09_cards_tiles(spark, sf) -> DataFrame:
-    return _cards(spark, sf, broadcast_queries=0, block_rows=128)
+    return _cards(spark, sf, round_rows=512)
 
 
 @query("p18_match_grade", f"""WITH {HITS} SELECT query_id, stored_id, {sql6("score", "score")}, grade FROM graded""")

@@ -22,8 +22,6 @@ from prismcat.session import materialise
 # Rows per block: 16384 float vectors of 1024 dimensions are 64 MB. Bigger blocks mean fewer copies
 # in the tile shuffle (each block is sent once per block of the other side).
 BLOCK_ROWS = 16384
-# Stored blocks handled together with one query block, so that their hits are merged in the task.
-BLOCKS_PER_TASK = 8
 # Elements of a similarity strip held at once (8 bytes each).
 STRIP_ELEMENTS = 1_000_000
 
@@ -144,26 +142,6 @@ def self_tiles(blocks: DataFrame) -> DataFrame:
     return diag.unionByName(off)
 
 
-def cross_tiles(queries: DataFrame, stored: DataFrame) -> DataFrame:
-    """Every query block against every stored block: (qb, q_ids, q_mat, d_ids, d_mat, dim).
-
-    A query block meets BLOCKS_PER_TASK stored blocks under one join key, so it is copied less often
-    and the rows of one key come out together. Both inputs should be stored tables.
-    """
-    groups = stored.agg(F.ceil(F.coalesce(F.max("nb"), F.lit(1)) / BLOCKS_PER_TASK).cast("int")).scalar()
-    n_q = queries.agg(F.coalesce(F.max("nb"), F.lit(1))).scalar()
-    left = queries.select(
-        F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("dg"),
-        F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
-    )
-    right = stored.select(
-        F.explode(F.sequence(F.lit(0), n_q - 1)).alias("qb"),
-        F.floor(F.col("b") / BLOCKS_PER_TASK).cast("int").alias("dg"),
-        F.col("ids").alias("d_ids"), F.col("mat").alias("d_mat"), "dim",
-    )
-    return left.join(right, ["qb", "dg"]).drop("dg")
-
-
 def id_array(values) -> np.ndarray:
     """Ids as a sortable numpy array (text ids become fixed-width text)."""
     arr = np.asarray(values)

@@ -1,138 +1,261 @@
-"""Exact pruning for large similarity joins: vectors are ordered by direction into cells, and a pair of
-cells is skipped when no vector of one can be close enough to any vector of the other.
+"""A tree of cells over a store of vectors, for exact search that leaves most of the store out.
 
-A cell is the set of vectors closest to one of at most MAX_CELLS directions, with the largest
-angle any member has to it. By the triangle inequality for angles, two members are at least
-``angle(directions) - radius - radius`` apart. What is needed is the threshold or, if that is higher, the
-k-th best similarity every query of the cell already has within its own cell.
+A cell is a set of vectors around one of its members, its representative, with the largest angle any of them has to
+it. By the triangle inequality for angles no member is closer to a query than ``angle(query, representative) - radius``,
+so a cell is skipped by every query that needs more than that, and with it all cells below.
+
+The tree grows level by level with the number of vectors: every cell above the leaf size is split around some of its
+own members, chosen far apart, until a leaf holds about ``leaf_rows``. The work of a level is one shuffle of
+the vectors by cell, crowded cells in several pieces. Leaves are stored as blocks in tree order, each with the balls of
+the cells above it, so a search reads them where they lie and needs no table of the tree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.operators import blocks as B
-from prismcat.operators.features import fixed_sample
-from prismcat.operators.skew import hot_keys
 from prismcat.session import materialise
 
-# At most this many cells, so at most MAX_CELLS^2 cell pairs (a few integers each) are broadcast.
-MAX_CELLS = 1024
+# Vectors of a leaf block (512 vectors of 1024 floats are 2 MB).
+LEAF_ROWS = 512
+# A cell is split into at most so many, around members out of a sample of four times as many.
+_BITS = 5
+FANOUT = 1 << _BITS
+# Vectors of one cell that a task assigns to the cells below it.
+_PIECE_ROWS = 200_000
 # Slack for rounding: on angles, and on similarities (which are compared at 9 decimals).
 _ANGLE_SLACK, _SIM_SLACK = 1e-6, 1e-8
 
 
-def directions(stored: DataFrame, cells: int) -> np.ndarray:
-    """At most ``cells`` directions that cover the data: out of a fixed sample of four times as many
-    rows (at most 4 * MAX_CELLS), always the one furthest from those already chosen."""
-    cells = min(cells, MAX_CELLS)
-    sample = fixed_sample(stored, "id", 4 * cells).select("vec").toArrow()
-    pool = B.unit_rows(B.vector_array(sample.column("vec")))
-    chosen, nearest = [0], pool @ pool[0]
-    while len(chosen) < cells and nearest.min() < 1.0 - 1e-12:
+@dataclass
+class CellTree:
+    """``leaves``: (leaf, sub, balls, radii, ids, mat, dim) in tree order; ``representatives``: (id, vec), one per leaf cell."""
+
+    leaves: DataFrame
+    representatives: DataFrame
+    levels: int
+    id_type: str
+
+
+def _spread_out(vectors: np.ndarray, wanted: int) -> list[int]:
+    """At most ``wanted`` rows, always the one furthest from those already chosen."""
+    chosen, nearest = [0], vectors @ vectors[0]
+    while len(chosen) < wanted and nearest.min() < 1.0 - 1e-12:
         chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, pool @ pool[chosen[-1]])
-    return pool[chosen]
+        nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
+    return chosen
+
 
+def _centres(rows: DataFrame, sizes: DataFrame, leaf_rows: int) -> DataFrame:
+    """(parent, node, id, vec, centre): the members around which every cell is split; ``sizes`` is (node, n)."""
+    place = Window.partitionBy("node").orderBy(F.xxhash64("id", "node"), "id")
+    sample = rows.select("node", "id", "vec").withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= 4 * FANOUT)
+    sample = sample.join(sizes, "node")
 
-def with_cells(side: DataFrame, axes: np.ndarray) -> DataFrame:
-    """(id, vec, cell, away): nearest direction and the angle to it. Stored, so that it never changes."""
-    held = side.sparkSession.sparkContext.broadcast(axes)
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_rn")
+        vectors = B.unit_rows(np.stack(group["vec"].to_numpy()))
+        picked = _spread_out(vectors, min(FANOUT, -(-int(group["n"].iloc[0]) // leaf_rows)))
+        node = int(group["node"].iloc[0])
+        return pd.DataFrame(
+            {
+                "parent": node, "node": node * FANOUT + np.arange(len(picked)), "id": group["id"].to_numpy()[picked],
+                "vec": [vectors[i] for i in picked], "centre": [vectors[i].tobytes() for i in picked],
+            }
+        )
+
+    schema = f"parent bigint, node bigint, id {B.spark_type(rows, 'id')}, vec array<double>, centre binary"
+    return materialise(sample.groupBy("node").applyInPandas(choose, schema), "cell-centres")
+
+
+def _with_headers(rows: DataFrame, headers: DataFrame, sizes: DataFrame, piece_rows: int) -> DataFrame:
+    """Rows (key, sub, ord, id, vec, aways, m, r) in which the headers of a key stand before each piece of its vectors.
+
+    ``rows`` is (key, id, vec, aways), ``headers`` (key, ord, m, r), ``sizes`` (key, n).
+    """
+    pieces = sizes.select("key", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces"))
+    many = pieces.where("pieces > 1")  # usually few; the others have one piece
+    dealt = rows.join(many, "key", "left").select(
+        "key", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("sub"), F.lit(1 << 30).alias("ord"), "id", "vec", "aways",
+        F.lit(None).cast("binary").alias("m"), F.lit(None).cast("double").alias("r"),
+    )
+    heads = headers.join(pieces, "key").select("key", F.explode(F.expr("sequence(0, pieces - 1)")).alias("sub"), "ord", "m", "r")
+    return dealt.unionByName(heads, allowMissingColumns=True)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+    """((key, sub), rows) pieces of a sorted stream; a piece may come in several parts."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        starts = B.row_starts(table, ["key", "sub"])
+        for a, b in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+            yield (table.column("key")[int(a)].as_py(), table.column("sub")[int(a)].as_py()), table.slice(a, b - a)
+
+
+def _split_headers(part: pa.Table) -> tuple[pa.Table, pa.Table]:
+    head = int((part.column("ord").to_numpy() < 1 << 30).sum())
+    return part.slice(0, head), part.slice(head)
+
+
+def _assign(rows: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` one level further down: each vector in the cell of its nearest centre, with the angle to it."""
+    keyed = rows.withColumnRenamed("node", "key")
+    heads = centres.select(F.col("parent").alias("key"), (F.col("node") % FANOUT).cast("int").alias("ord"), F.col("centre").alias("m"), F.lit(None).cast("double").alias("r"))
+    stream = _with_headers(keyed, heads, sizes.withColumnRenamed("node", "key"), _PIECE_ROWS)
+    stream = stream.repartition("key", "sub").sortWithinPartitions("key", "sub", "ord")
+    schema = f"node bigint, id {B.spark_type(rows, 'id')}, vec {B.spark_type(rows, 'vec')}, aways array<double>"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
+        current, axes = None, []
+        for key, part in _runs(batches):
+            if key != current:
+                current, axes = key, []
+            heads, members = _split_headers(part)
+            axes += [np.frombuffer(m) for m in heads.column("m").to_pylist()]
+            if not members.num_rows:
                 continue
-            vectors = B.unit_rows(B.vector_array(pa.Table.from_batches([batch]).column("vec")))
-            cell, best = np.empty(len(vectors), np.int32), np.empty(len(vectors))
-            for part in B.strips(len(vectors), len(held.value)):
-                sims = vectors[part] @ held.value.T
-                cell[part] = sims.argmax(axis=1)
-                best[part] = sims.max(axis=1)
+            grid = np.stack(axes)
+            vectors = B.unit_rows(B.vector_array(members.column("vec")))
+            cell, best = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+            for strip in B.strips(len(vectors), len(grid)):
+                sims = vectors[strip] @ grid.T
+                cell[strip], best[strip] = sims.argmax(axis=1), sims.max(axis=1)
             away = np.arccos(np.clip(best, -1.0, 1.0))
+            aways = [[*before, a] for before, a in zip(members.column("aways").to_pylist(), away.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell), pa.array(away)], names=["id", "vec", "cell", "away"]
+                [pa.array(key[0] * FANOUT + cell), members.column("id").combine_chunks(), members.column("vec").combine_chunks(), pa.array(aways, pa.list_(pa.float64()))],
+                names=["node", "id", "vec", "aways"],
             )
 
-    schema = f"id {B.spark_type(side, 'id')}, vec {B.spark_type(side, 'vec')}, cell int, away double"
-    return materialise(side.select("id", "vec").mapInArrow(assign, schema), "cells")
+    return materialise(stream.mapInArrow(assign, schema), "cell-rows")
 
 
-def first_copies(side: DataFrame, copies: int) -> DataFrame:
-    """Keep the ``copies`` smallest ids of a vector that is stored very often.
+def _pack(rows: DataFrame, leaf_rows: int, centres: list[DataFrame], sizes: DataFrame) -> DataFrame:
+    """Leaf blocks in tree order, each with the balls of the cells it lies in."""
+    levels = len(centres)
+    balls = None
+    for level, table in enumerate(centres):
+        cell = F.shiftright(F.col("node"), (levels - 1 - level) * _BITS)
+        radii = rows.groupBy(cell.alias("node")).agg(F.max(F.col("aways")[level]).alias("r"))
+        level_balls = table.join(radii, "node").select(F.lit(level).alias("ord"), "node", F.col("centre").alias("m"), "r")
+        balls = level_balls if balls is None else balls.unionByName(level_balls)
+    sizes = materialise(sizes.withColumnRenamed("node", "key"), "leaf-sizes")
+    above = f"explode(transform(sequence(0, {levels - 1}), i -> struct(i AS ord, shiftright(key, ({levels - 1} - i) * {_BITS}) AS node)))"
+    heads = sizes.select("key", F.expr(above).alias("a")).select("key", "a.*").join(balls, ["ord", "node"]).select("key", "ord", "m", "r")
+    stream = _with_headers(rows.withColumnRenamed("node", "key"), heads, sizes, leaf_rows)
+    stream = stream.repartitionByRange("key", "sub").sortWithinPartitions("key", "sub", "ord", "id")
+    id_type = B.spark_type(rows, "id")
+    schema = f"leaf bigint, sub int, balls binary, radii binary, ids array<{id_type}>, mat binary, dim int"
 
-    Equal vectors tie and ties go to the smaller id, so the others can never be among the hits.
-    Vectors that are not frequent pass through untouched.
-    """
-    hot = list(hot_keys(side, ["vec"]))
-    if not hot:
-        return side
-    keyed = side.withColumn("_h", F.xxhash64("vec"))
-    frequent = F.col("_h").isin(hot)
-    place = Window.partitionBy("_h", F.xxhash64(F.lit(7), "vec")).orderBy("id")
-    kept = keyed.where(frequent).withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= copies)
-    return keyed.where(~frequent).drop("_h").unionByName(kept.drop("_h", "_rn"))
-
-
-def cell_blocks(assigned: DataFrame, block_rows: int) -> tuple[DataFrame, list]:
-    """Blocks (cell, sub, ids, mat, dim) and the cell figures (cell, subs, radius), one row per cell."""
-    figures = assigned.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("subs"), F.max("away").alias("radius")
-    ).collect()
-    known = assigned.sparkSession.createDataFrame([(r["cell"], r["subs"]) for r in figures], "cell int, subs int")
-    rows = assigned.join(F.broadcast(known), "cell").withColumn(
-        "sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(key: tuple[int, int] | None, parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            heads, members = _split_headers(pa.concat_tables(parts)) if parts else (None, pa.table({}))
+            if not members.num_rows:  # nothing read yet, or a piece that no id was dealt to
+                return
+            vectors = np.ascontiguousarray(B.vector_array(members.column("vec")))
+            ids = members.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([b"".join(heads.column("m").to_pylist())], pa.binary()),
+                    pa.array([heads.column("r").to_numpy().astype(np.float64).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    pa.array([vectors.tobytes()], pa.binary()), pa.array([vectors.shape[1]], pa.int32()),
+                ],
+                names=["leaf", "sub", "balls", "radii", "ids", "mat", "dim"],
+            )
+
+        current, parts = None, []
+        for key, part in _runs(batches):
+            if key != current:
+                yield from block(current, parts)
+                current, parts = key, []
+            parts.append(part)
+        yield from block(current, parts)
+
+    return materialise(stream.mapInArrow(pack, schema), "cell-leaves")
+
+
+def build_tree(stored: DataFrame, leaf_rows: int = LEAF_ROWS) -> CellTree:
+    """The cell tree of (id, vec). Ids are unique; NULL vectors and those with NaN or infinite elements are left out."""
+    usable = F.col("vec").isNotNull() & F.forall("vec", lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    rows = materialise(
+        stored.where(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False))).select(
+            F.lit(0).cast("bigint").alias("node"), "id", "vec", F.array().cast("array<double>").alias("aways")
+        ), "cell-rows",
     )
-    return materialise(B.pack_rows(rows, ["cell", "sub"]), "cell-blocks"), figures
+    id_type = B.spark_type(rows, "id")
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    cells, levels, centres = -(-rows.count() // leaf_rows), 1, []
+    while FANOUT**levels < cells:
+        levels += 1
+    for _ in range(levels):
+        centres.append(_centres(rows, sizes, leaf_rows))
+        rows = _assign(rows, centres[-1], sizes)
+        sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    return CellTree(_pack(rows, leaf_rows, centres, sizes), centres[-1].select("id", "vec"), levels, id_type)
+
+
+class _Reach:
+    """Which queries can find something in a leaf, worked out down the tree and kept for the next leaf of the same cells."""
+
+    def __init__(self, vectors: np.ndarray, floors: np.ndarray, levels: int):
+        self.vectors, self.floors, self.levels = vectors, floors, levels
+        self.path: list[int] = []
+        self.alive: list[np.ndarray] = []
 
+    def queries(self, leaf: int, balls: np.ndarray, radii: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Rows of the queries; ``worst`` are the similarities of their k-th hits so far."""
+        path = [leaf // FANOUT ** (self.levels - 1 - level) for level in range(self.levels)]
+        same = 0
+        while same < len(self.path) and self.path[same] == path[same]:
+            same += 1
+        self.alive = self.alive[:same]
+        for level in range(same, self.levels):
+            rows = self.alive[-1] if self.alive else np.arange(len(self.vectors))
+            angle = np.arccos(np.clip(self.vectors[rows] @ balls[level], -1.0, 1.0))
+            closest = np.cos(np.clip(angle - radii[level] - _ANGLE_SLACK, 0.0, np.pi))
+            needed = np.maximum(self.floors[rows], worst[rows]) - _SIM_SLACK
+            self.alive.append(rows[closest >= needed])
+        self.path = path
+        return self.alive[-1]
 
-def paired_tiles(queries: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tiles of the listed cell pairs: (qb, q_ids, q_mat, cell, d_ids, d_mat, dim).
 
-    ``pairs`` is (qc, dc, q_subs, groups) with at most MAX_CELLS^2 rows. Both sides are copied to the
-    tiles they take part in and meet in an equi-join on the tile, so a crowded cell is spread too.
+def scan_tree(tree: CellTree, held, floors: np.ndarray, new_best: Callable, floor: float, schema: str, count_tiles: bool = False) -> DataFrame:
+    """Hits of a round's queries, a task's leaves where they lie; or (leaf, sub, queries) for each block, what is multiplied.
+
+    ``floors`` are similarities that each query's k-th hit reaches; ``new_best`` makes the collector of hits.
     """
-    keys = ["qc", "qs", "dc", "dg"]
-    left = queries.join(F.broadcast(pairs.select("qc", "dc", "groups")), F.col("cell") == F.col("qc")).select(
-        "qc", F.col("sub").alias("qs"), "dc", F.explode(F.expr("sequence(0, groups - 1)")).alias("dg"),
-        F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
-    )
-    group = F.floor(F.col("sub") / B.BLOCKS_PER_TASK).cast("int")
-    right = stored.join(F.broadcast(pairs), (F.col("cell") == F.col("dc")) & (group < F.col("groups"))).select(
-        "qc", F.explode(F.expr("sequence(0, q_subs - 1)")).alias("qs"), "dc", group.alias("dg"),
-        F.col("ids").alias("d_ids"), F.col("mat").alias("d_mat"), "dim",
-    )
-    block = F.concat_ws("/", "qc", "qs").alias("qb")
-    return left.join(right, keys).select(block, F.col("qc").alias("cell"), "q_ids", "q_mat", "d_ids", "d_mat", "dim")
-
-
-def pair_table(spark, q_figures: list, d_figures: list, allowed: np.ndarray, first_group_only: bool = False) -> DataFrame:
-    """The allowed cell pairs as a small table."""
-    group = lambda r: 1 if first_group_only else -(-r["subs"] // B.BLOCKS_PER_TASK)
-    i, j = np.nonzero(allowed)
-    table = pa.table(
-        {
-            "qc": pa.array(np.array([r["cell"] for r in q_figures], np.int32)[i]),
-            "dc": pa.array(np.array([r["cell"] for r in d_figures], np.int32)[j]),
-            "q_subs": pa.array(np.array([r["subs"] for r in q_figures], np.int32)[i]),
-            "groups": pa.array(np.array([group(r) for r in d_figures], np.int32)[j]),
-        }
-    )
-    return spark.createDataFrame(table)
-
-
-def reachable(axes: np.ndarray, q_figures: list, d_figures: list, floors: dict[int, float]) -> np.ndarray:
-    """Cell pairs whose members can be at least as similar as the query cell's floor."""
-    if not q_figures or not d_figures:
-        return np.zeros((len(q_figures), len(d_figures)), dtype=bool)
-    q_cells, d_cells = ([r["cell"] for r in f] for f in (q_figures, d_figures))
-    between = np.arccos(np.clip(axes[q_cells] @ axes[d_cells].T, -1.0, 1.0))
-    slack = np.add.outer([r["radius"] for r in q_figures], [r["radius"] for r in d_figures]) + _ANGLE_SLACK
-    closest = np.cos(np.clip(between - slack, 0.0, np.pi))
-    floor = np.array([floors.get(c, -1.0) for c in q_cells])
-    return closest >= floor[:, None] - _SIM_SLACK
+    limits = tree.leaves.sparkSession.sparkContext.broadcast(floors)
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+    levels = tree.levels
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        usable = np.isfinite(vectors).all(axis=1)
+        best = new_best(ids, vectors)
+        reach = _Reach(best.vectors, limits.value[usable], levels)
+        for batch in batches:
+            for row in batch.to_pylist():
+                balls = np.frombuffer(row["balls"]).reshape(levels, -1)
+                rows = reach.queries(row["leaf"], balls, np.frombuffer(row["radii"]), best.worst())
+                if len(rows):
+                    near = B.id_array(row["ids"])
+                    best.add(near, B.matrix(row["mat"], len(near), row["dim"]), rows)
+                if count_tiles:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, ([row["leaf"]], [row["sub"]], [len(rows)]), strict=True)), _tile_schema(names))
+        if not count_tiles and (found := best.batch(floor, names)) is not None:
+            yield found
+
+    tasks = 4 * tree.leaves.sparkSession.sparkContext.defaultParallelism
+    return tree.leaves.coalesce(tasks).mapInArrow(scan, schema)
+
+
+def _tile_schema(names: list[str]) -> pa.Schema:
+    return pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.int64()), strict=True)))

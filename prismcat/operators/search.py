@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import match_grade
@@ -17,8 +16,10 @@ from prismcat.operators import cells as CELL
 from prismcat.operators.groups import first_rows
 from prismcat.session import materialise
 
-# At most this many queries are broadcast (4096 x 1024 doubles = 32 MB).
-BROADCAST_QUERIES = 4096
+# Vectors of the queries that are broadcast together, as doubles.
+ROUND_BYTES = 64 << 20
+# So many queries are fetched before the query side is written.
+FEW_QUERIES = 2048
 # Between card and vector id in the ids of a search for distinct cards.
 CARD_SEPARATOR = "\u0001"
 
@@ -57,15 +58,6 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return result
 
 
-def _merge(old, sims: np.ndarray, ids: np.ndarray, k: int):
-    """Keep the k best of the running result and one more tile, ties by id ascending."""
-    if old is not None:
-        sims, ids = np.hstack([old[0], sims]), np.hstack([old[1], ids])
-        order = np.lexsort((ids, -sims), axis=1)[:, :k]
-        sims, ids = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-    return sims, ids
-
-
 def _best_per_card(sims: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Like ``_best`` over the best column of every card; columns of a card are adjacent from ``starts`` on."""
     sims = np.round(sims, SIM_DECIMALS)
@@ -91,131 +83,114 @@ def _card_part(ids: np.ndarray) -> np.ndarray:
     return np.char.partition(ids, CARD_SEPARATOR)[..., 0]
 
 
-class _Best:
-    """Running k best hits of one block of queries, at most one per card if asked."""
+class Best:
+    """Running k best hits of some queries, at most one per card if asked.
+
+    Queries and stored vectors that hold NaN or an infinite number are nobody's hit and have none.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False):
-        self.ids, self.vectors, self.k, self.exclude_self, self.by_card = ids, vectors, k, exclude_self, by_card
+        usable = np.isfinite(vectors).all(axis=1)
+        self.ids, self.vectors = (ids, vectors) if usable.all() else (ids[usable], vectors[usable])
+        self.k, self.exclude_self, self.by_card = k, exclude_self, by_card
         self.hits = None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Offer stored vectors to all queries, or to those in ``rows`` only."""
+        usable = np.isfinite(vectors).all(axis=1)
+        if not usable.all():
+            ids, vectors = ids[usable], vectors[usable]
+        asked = np.arange(len(self.ids)) if rows is None else rows
+        if not len(ids) or not len(asked):
+            return
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
+        starts = None
         if self.by_card:
             cards = _card_part(ids)
             starts = np.flatnonzero(np.append(True, cards[1:] != cards[:-1]))
-        found = []
-        for part in B.strips(len(self.ids), len(ids)):
-            sims = self.vectors[part] @ vectors.T
-            np.copyto(sims, -np.inf, where=np.isnan(sims))  # NaN and NULL elements never take a hit's place
-            if self.exclude_self:
-                at = np.minimum(np.searchsorted(ids, self.ids[part]), len(ids) - 1)
-                own = np.flatnonzero(ids[at] == self.ids[part])
-                sims[own, at[own]] = -np.inf
-            values, cols = _best_per_card(sims, starts, self.k) if self.by_card else _best(sims, self.k)
-            found.append((values, ids[cols]))
-        new = tuple(np.concatenate(x) for x in zip(*found))
-        if self.by_card and self.hits is not None:
-            both = _without_repeated_cards(tuple(np.hstack(x) for x in zip(self.hits, new)))
-            self.hits = _merge((both[0][:, :0], both[1][:, :0]), *both, self.k)
-        else:
-            self.hits = _merge(self.hits, *new, self.k)
-
-    def frame(self, floor: float) -> pd.DataFrame:
-        """The hits that reach the floor."""
+        for part in B.strips(len(asked), len(ids)):
+            self._offer(asked[part], ids, vectors, starts)
+
+    def _offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, starts: np.ndarray | None) -> None:
+        sims = self.vectors[rows] @ vectors.T
+        if self.exclude_self:
+            at = np.minimum(np.searchsorted(ids, self.ids[rows]), len(ids) - 1)
+            own = np.flatnonzero(ids[at] == self.ids[rows])
+            sims[own, at[own]] = -np.inf
+        values, cols = _best(sims, self.k) if starts is None else _best_per_card(sims, starts, self.k)
+        near = ids[cols]
         if self.hits is None:
-            return pd.DataFrame({"q_id": self.ids[:0], "d_id": self.ids[:0], "similarity": np.empty(0)})
+            self.hits = np.full((len(self.ids), self.k), -np.inf), np.zeros((len(self.ids), self.k), ids.dtype)
+        if near.dtype.itemsize > self.hits[1].dtype.itemsize:  # longer texts than before
+            self.hits = self.hits[0], self.hits[1].astype(near.dtype)
+        values, near = (np.hstack([held[rows], new]) for held, new in zip(self.hits, (values, near), strict=True))
+        if starts is not None:
+            values, near = _without_repeated_cards((values, near))
+        order = np.lexsort((near, -values), axis=1)[:, : self.k]
+        for held, merged in zip(self.hits, (values, near), strict=True):
+            held[rows] = np.take_along_axis(merged, order, 1)
+
+    def worst(self) -> np.ndarray:
+        """Similarity of every query's k-th hit so far, -inf where it has fewer."""
+        return np.full(len(self.ids), -np.inf) if self.hits is None else self.hits[0][:, -1]
+
+    def batch(self, floor: float, names: list[str]) -> pa.RecordBatch | None:
+        """The hits that reach the floor, as (query, stored, similarity)."""
+        if self.hits is None:
+            return None
         sims, near = self.hits
-        frame = pd.DataFrame(
-            {"q_id": np.repeat(self.ids, sims.shape[1]), "d_id": near.ravel(), "similarity": sims.ravel()}
-        )
-        return frame[frame.similarity >= floor]
-
-    def weakest(self) -> float:
-        """Smallest k-th best similarity of the block's queries, -1 if one has fewer than k hits."""
-        if self.hits is None or self.hits[0].shape[1] < self.k:
-            return -1.0
-        return float(max(self.hits[0][:, -1].min(), -1.0))
-
-
-def _block_results(rows, k: int, exclude_self: bool, by_card: bool = False):
-    """(cell, finished block) for every run of tiles with the same query block."""
-    current, best, cell = None, None, None
-    for row in rows:
-        if row.qb != current:
-            if best is not None:
-                yield cell, best
-            ids = B.id_array(row.q_ids)
-            current, cell = row.qb, getattr(row, "cell", None)
-            best = _Best(ids, B.matrix(row.q_mat, len(ids), row.dim), k, exclude_self, by_card)
-        near = B.id_array(row.d_ids)
-        best.add(near, B.matrix(row.d_mat, len(near), row.dim))
-    if best is not None:
-        yield cell, best
-
-
-def _tile_hits(
-    tiles: DataFrame, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool = False
-) -> DataFrame:
-    def kernel(rows) -> Iterator[pd.DataFrame]:
-        for _, best in _block_results(rows, k, exclude_self, by_card):
-            yield best.frame(floor)
+        rows, cols = np.nonzero(sims >= floor)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[rows]), pa.array(near[rows, cols]), pa.array(sims[rows, cols])], names)
 
-    return B.map_tiles(tiles, kernel, schema)
 
+def held_queries(queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of one round's queries."""
+    return B.id_array(queries.column("id").to_numpy()), B.unit_rows(B.vector_array(queries.column("vec")))
 
-def _cell_floors(tiles: DataFrame, k: int, exclude_self: bool) -> dict[int, float]:
-    """Per query cell a similarity that the k-th hit of all its queries reaches."""
-    def kernel(rows) -> Iterator[pd.DataFrame]:
-        for cell, best in _block_results(rows, k, exclude_self):
-            yield pd.DataFrame({"cell": [cell], "floor": [best.weakest()]})
 
-    found = B.map_tiles(tiles, kernel, "cell int, floor double").groupBy("cell").agg(F.min("floor").alias("floor"))
-    return {r["cell"]: r["floor"] for r in found.collect()}  # one row per cell
+def _in_place(stored: DataFrame) -> DataFrame:
+    """The same rows in at most four tasks a core; partitions are put together where they lie."""
+    return stored.coalesce(4 * stored.sparkSession.sparkContext.defaultParallelism)
 
 
-def _scan_stored(
-    stored: DataFrame, queries: pa.Table, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool
-) -> DataFrame:
-    """Read the stored side once, in place; a partition emits k hits per query at its end."""
-    held = stored.sparkSession.sparkContext.broadcast(
-        (B.id_array(queries.column("id").to_numpy()), B.unit_rows(B.vector_array(queries.column("vec"))))
-    )
+def _scan_stored(stored: DataFrame, held, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool) -> DataFrame:
+    """Read the stored side once, where it lies; a task emits k hits per query at its end."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*held.value, k, exclude_self, by_card)
+        best = Best(*held.value, k, exclude_self, by_card)
         for batch in batches:
             if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                best.add(B.id_array(table.column("id").to_numpy()), B.unit_rows(B.vector_array(table.column("vec"))))
-        if best.hits is not None:
-            yield pa.RecordBatch.from_pandas(best.frame(floor)[names], preserve_index=False)
+                best.add(*held_queries(pa.Table.from_batches([batch])))
+        if (found := best.batch(floor, names)) is not None:
+            yield found
 
-    return stored.select("id", "vec").mapInArrow(scan, schema)
+    return _in_place(stored.select("id", "vec")).mapInArrow(scan, schema)
 
 
-def _pruned_hits(
-    queries: DataFrame, stored: DataFrame, same: bool, k: int, exclude_self: bool, floor: float, block_rows: int,
-    cells: int, schema: str,
-) -> DataFrame:
-    """Tile search over cells of similar direction; pairs of cells out of reach are skipped."""
-    axes = CELL.directions(stored, cells)
-    d_cells = CELL.with_cells(stored, axes)
-    d_blocks, d_figures = CELL.cell_blocks(d_cells, block_rows)
-    if same:
-        q_blocks, q_figures = d_blocks, d_figures
-    else:
-        q_blocks, q_figures = CELL.cell_blocks(CELL.with_cells(queries, axes), block_rows)
-    if not q_figures or not d_figures:
-        return queries.sparkSession.createDataFrame([], schema)
-    spark = queries.sparkSession
-    own = np.equal.outer([r["cell"] for r in q_figures], [r["cell"] for r in d_figures])
-    first = CELL.pair_table(spark, q_figures, d_figures, own, first_group_only=True)
-    found = _cell_floors(CELL.paired_tiles(q_blocks, d_blocks, first), k, exclude_self)
-    floors = {r["cell"]: max(found.get(r["cell"], -1.0), floor) for r in q_figures}
-    pairs = CELL.pair_table(spark, q_figures, d_figures, CELL.reachable(axes, q_figures, d_figures, floors))
-    return _tile_hits(CELL.paired_tiles(q_blocks, d_blocks, pairs), k, exclude_self, floor, schema)
+def best_of(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of every query with their rank; Spark cuts each task's rows to k per query before the shuffle."""
+    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("d_id"))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rounds(queries: DataFrame, round_rows: int | None) -> Iterator[tuple[pa.Table, bool]]:
+    """The queries (id, vec) in tables of bounded size, each with whether it is the last.
+
+    Few queries are fetched as they are. More are written once, counted on the way, and dealt out to as many rounds
+    as their bytes need by a hash of the row.
+    """
+    few = queries.limit(1 + min(FEW_QUERIES, round_rows or FEW_QUERIES)).toArrow()
+    if few.num_rows <= min(FEW_QUERIES, round_rows or FEW_QUERIES):
+        yield few, True
+        return
+    seen = Observation()
+    counted = queries.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
+    asked = materialise(counted.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())), "queries")
+    count = -(-seen.get["n"] // (round_rows or max(1, ROUND_BYTES // (8 * max(seen.get["dim"], 1)))))
+    for i in range(count):
+        yield asked.where(F.pmod("_deal", F.lit(count)) == i).select("id", "vec").toArrow(), i == count - 1
 
 
 def candidate_hits(
@@ -224,42 +199,63 @@ def candidate_hits(
     k: int,
     threshold: float | None = None,
     exclude_self: bool = False,
-    block_rows: int = B.BLOCK_ROWS,
-    broadcast_queries: int = BROADCAST_QUERIES,
-    prune: bool = False,
+    round_rows: int | None = None,
     by_card: bool = False,
+    prune: bool = False,
+    leaf_rows: int = CELL.LEAF_ROWS,
 ) -> DataFrame:
     """At least the true top-k per query as (q_id, d_id, similarity); inputs are (id, vec).
 
-    Up to ``broadcast_queries`` queries (checked by fetching one more than that) are broadcast, and
-    the stored side is scanned where it lies, without any shuffle. Otherwise both sides are packed
-    into blocks and joined tile by tile. ``prune`` orders the blocks by direction and leaves out tiles
-    out of reach; it pays when the vectors fall into up to about a thousand groups of similar
-    direction, and costs one more pass over them. All ways are exact. ``by_card`` expects text ids that
-    start with the card and CARD_SEPARATOR, and keeps one hit per card.
+    The stored side stays where it lies. Queries come to it in rounds: the vectors of one round
+    (``ROUND_BYTES``, or ``round_rows`` of them) are broadcast, every task holds the best hits of its own stored
+    rows, and the round's hits are cut to k per query and written before the next one starts; the last round is left
+    to the caller's plan. Any number of queries goes this way. ``prune`` reads a tree of cells in place of the store
+    (see ``cells``), which is built first unless ``stored`` is one already; both ways are exact. ``by_card`` expects
+    text ids that start with the card and CARD_SEPARATOR, and keeps one hit per card.
     """
-    schema = f"q_id {B.spark_type(queries, 'id')}, d_id {B.spark_type(stored, 'id')}, similarity double"
     floor = -1.0 if threshold is None else threshold
-    same = queries is stored
-    queries, stored = (side.where(F.col("vec").isNotNull()).select("id", "vec") for side in (queries, stored))
-    if broadcast_queries > 0:
-        few = queries.limit(broadcast_queries + 1).toArrow()
-        if few.num_rows == 0:
-            return queries.sparkSession.createDataFrame([], schema)
-        if few.num_rows <= broadcast_queries:
-            return _scan_stored(stored, few, k, exclude_self, floor, schema, by_card)
-    blocks = -(-stored.count() // block_rows)
-    if blocks == 0:
-        return queries.sparkSession.createDataFrame([], schema)
-    if not by_card:
-        # k copies of a vector are enough for any query, one more when a query may be one of them
-        reduced = CELL.first_copies(stored, k + 1)
-        same, stored = same and reduced is stored, reduced
+    queries = queries.where(F.col("vec").isNotNull()).select("id", "vec")
+    tree = None
     if prune and not by_card:
-        return _pruned_hits(queries, stored, same, k, exclude_self, floor, block_rows, blocks, schema)
-    packed = materialise(B.pack_blocks(stored, "id", "vec", block_rows), "stored-blocks")
-    asked = packed if same else materialise(B.pack_blocks(queries, "id", "vec", block_rows), "query-blocks")
-    return _tile_hits(B.cross_tiles(asked, packed), k, exclude_self, floor, schema, by_card)
+        tree = stored if isinstance(stored, CELL.CellTree) else CELL.build_tree(stored, leaf_rows)
+        stored = tree.leaves
+    else:
+        stored = stored.where(F.col("vec").isNotNull()).select("id", "vec")
+    id_type = B.spark_type(stored, "id") if tree is None else tree.id_type
+    schema = f"q_id {B.spark_type(queries, 'id')}, d_id {id_type}, similarity double"
+    context = queries.sparkSession.sparkContext
+    found = None
+    for table, last in rounds(queries, round_rows):
+        if not table.num_rows:  # the hash dealt nothing to this round
+            continue
+        held = context.broadcast(held_queries(table))
+        if tree is None:
+            hits = _scan_stored(stored, held, k, exclude_self, floor, schema, by_card)
+        else:
+            floors = _floors(tree, held, k, exclude_self, floor, schema)
+            hits = CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self), floor, schema)
+        if not last:
+            hits = materialise(hits if by_card else best_of(hits, k).drop("rank"), "round-hits")
+            held.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    return queries.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _floors(tree: CELL.CellTree, held, k: int, exclude_self: bool, floor: float, schema: str) -> np.ndarray:
+    """For every query of a round a similarity that its k-th hit reaches: the k-th best of the cells' representatives,
+    which are stored vectors themselves."""
+    hits = best_of(_scan_stored(tree.representatives, held, k, exclude_self, -1.0, schema, False), k)
+    known = {r["q_id"]: r["similarity"] for r in hits.where(F.col("rank") == k).select("q_id", "similarity").collect()}
+    return np.array([max(known.get(i, -1.0), floor) for i in held.value[0].tolist()])
+
+
+def visited_blocks(queries: DataFrame, tree: CELL.CellTree, k: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
+    """(leaf, sub, queries): by how many queries each block of the tree is multiplied in a search; one round of queries."""
+    floor = -1.0 if threshold is None else threshold
+    schema = f"q_id {B.spark_type(queries, 'id')}, d_id {tree.id_type}, similarity double"
+    held = queries.sparkSession.sparkContext.broadcast(held_queries(queries.select("id", "vec").toArrow()))
+    floors = _floors(tree, held, k, exclude_self, floor, schema)
+    return CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self), floor, "leaf bigint, sub int, queries bigint", count_tiles=True)
 
 
 def top_k_similar(
@@ -273,12 +269,9 @@ def top_k_similar(
     """The k most similar stored vectors per query, those below the threshold removed.
 
     ``queries`` and ``stored`` are (id, vec). Result: query_id, stored_id, similarity, distance, rank.
-    Hits are per stored vector. Ties go to the smaller id. Spark cuts the candidates to k per query
-    within each task before the final shuffle.
+    Hits are per stored vector. Ties go to the smaller id.
     """
-    hits = candidate_hits(queries, stored, k, threshold, exclude_self, **plan)
-    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("d_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = best_of(candidate_hits(queries, stored, k, threshold, exclude_self, **plan), k)
     if threshold is not None:
         ranked = ranked.where(F.col("similarity") >= threshold)
     return ranked.select(
@@ -309,8 +302,7 @@ def top_k_cards(
     parts = F.split("d_id", CARD_SEPARATOR, 2)
     hits = hits.select("q_id", "d_id", "similarity", parts[0].alias("_card"))
     best = first_rows(hits, ["q_id", "_card"], [F.desc("similarity"), F.asc("d_id")])
-    place = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("d_id"))
-    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    ranked = best_of(best, k)
     own = F.split("q_id", CARD_SEPARATOR, 2)[1].cast(queries.schema["id"].dataType) if exclude_self else F.col("q_id")
     return ranked.select(
         own.alias("query_id"), F.col("_card").cast(types["print_id"]).alias("print_id"),

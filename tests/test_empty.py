@@ -33,7 +33,7 @@ def test_numbering_and_joins(spark, none):
 
 def test_search_and_pairs(none):
     side = none.select("id", "vec")
-    for plan in ({}, {"broadcast_queries": 0}, {"broadcast_queries": 0, "prune": True}):
+    for plan in ({}, {"round_rows": 2}, {"prune": True}):
         assert S.top_k_similar(side, side, 3, None, **plan).count() == 0
     run = recognise(side, side)
     assert run.matches.count() == 0 and run.grades.count() == 0 and run.summary.first()["best_score"] is None

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismcat.operators import blocks as B
+from prismcat.operators import cells as C
 from prismcat.operators import groups as G
 from prismcat.operators import pairs as P
 from prismcat.operators import search as S
@@ -98,7 +99,7 @@ def brute(base, k, exclude=True):
     return sorted(out)
 
 
-@pytest.mark.parametrize("parts,plan", list(itertools.product([1, 7], [{}, {"broadcast_queries": 0, "block_rows": 8, "prune": True}, {"broadcast_queries": 0, "block_rows": 8, "prune": False}, {"broadcast_queries": 0}])))
+@pytest.mark.parametrize("parts,plan", list(itertools.product([1, 7], [{}, {"round_rows": 40}, {"prune": True, "leaf_rows": 8}, {"prune": True, "leaf_rows": 2, "round_rows": 50}])))
 def test_search_paths_agree(vectors, parts, plan):
     df, base = vectors
     side = df.select("id", "vec").repartition(parts)
@@ -106,7 +107,7 @@ def test_search_paths_agree(vectors, parts, plan):
     assert rows_of(got, "query_id", "stored_id", "rank") == brute(base, 4)
 
 
-@pytest.mark.parametrize("plan", [{}, {"broadcast_queries": 0, "block_rows": 1}])
+@pytest.mark.parametrize("plan", [{}, {"round_rows": 1}, {"prune": True, "leaf_rows": 1}])
 def test_blocks_smaller_than_k(vectors, plan):
     """A block that holds little more than the query itself must not repeat a hit."""
     df, base = vectors
@@ -126,7 +127,7 @@ def test_distinct_cards_look_past_a_crowded_card(vectors):
     for i in np.lexsort((np.arange(90), -sims)):
         best.setdefault(card[i], int(i))
     want = [(c, i, n + 1) for n, (c, i) in enumerate(list(best.items())[:4])]
-    for plan in ({}, {"broadcast_queries": 0, "block_rows": 6}):
+    for plan in ({}, {"round_rows": 1}):
         got = S.top_k_cards(df.where("id = 0").select("id", "vec"), stored, 4, None, **plan).orderBy("rank").collect()
         assert [(r["print_id"], r["stored_id"], r["rank"]) for r in got] == want
 
@@ -134,7 +135,7 @@ def test_distinct_cards_look_past_a_crowded_card(vectors):
 def test_text_ids(vectors):
     df, base = vectors
     side = df.select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), "vec")
-    for plan in ({}, {"broadcast_queries": 0, "block_rows": 16}):
+    for plan in ({}, {"round_rows": 30}, {"prune": True, "leaf_rows": 16}):
         got = S.top_k_similar(side, side, 2, None, exclude_self=True, **plan)
         assert [(int(a), int(b), r) for a, b, r in rows_of(got, "query_id", "stored_id", "rank")] == brute(base, 2)
 
@@ -231,32 +232,45 @@ def clustered(spark):
 
 
 @pytest.mark.parametrize("threshold", [None, 0.9])
-@pytest.mark.parametrize("min_hot", [10, 200_000])
-def test_pruned_search_is_exact(clustered, monkeypatch, threshold, min_hot):
-    from prismcat.operators import cells
-
+@pytest.mark.parametrize("leaf_rows", [4, 12, 400])
+def test_tree_search_is_exact(clustered, threshold, leaf_rows):
+    """A sixth of the vectors are copies of one, so a leaf is crowded whatever its size."""
     df, base = clustered
-    monkeypatch.setattr(cells, "hot_keys", lambda d, keys: hot_keys(d, keys, min_hot))
-    kept = {}
-    original = cells.reachable
-
-    def spy(*args):
-        kept["share"] = original(*args).mean()
-        return original(*args)
-
-    monkeypatch.setattr(cells, "reachable", spy)
-    plan = {"broadcast_queries": 0, "block_rows": 12, "prune": True}
-    got = rows_of(S.top_k_similar(df, df, 3, threshold, exclude_self=True, **plan), "query_id", "stored_id", "rank")
+    got = rows_of(S.top_k_similar(df, df, 3, threshold, exclude_self=True, prune=True, leaf_rows=leaf_rows), "query_id", "stored_id", "rank")
     u = base / np.linalg.norm(base, axis=1, keepdims=True)
     sims = np.round(u @ u.T, 9)
     assert got == [(q, d, r) for q, d, r in brute(base, 3) if threshold is None or sims[q, d] >= threshold]
-    assert kept["share"] < 0.5  # most cell pairs were skipped
 
 
-def test_first_copies_keeps_the_smallest_ids(clustered, monkeypatch):
-    from prismcat.operators import cells
-
-    df, _ = clustered
-    monkeypatch.setattr(cells, "hot_keys", lambda d, keys: hot_keys(d, keys, 10))
-    left = sorted(r["id"] for r in cells.first_copies(df, 2).collect())
-    assert left == [i for i in range(360) if i % 6 or i in (0, 6)]  # 60 copies of row 0
+def test_a_built_tree_serves_other_queries(clustered):
+    df, base = clustered
+    tree = C.build_tree(df, 8)
+    asked = df.where("id % 5 = 0").select((F.col("id") + 1000).alias("id"), "vec")
+    got = rows_of(S.top_k_similar(asked, tree, 2, None, prune=True), "query_id", "stored_id", "rank")
+    assert [(q - 1000, d, r) for q, d, r in got] == [x for x in brute(base, 2, exclude=False) if x[0] % 5 == 0]
+
+
+def test_tree_grows_with_the_vectors(spark):
+    """Leaves keep their size, so the share of blocks a query has to see falls with the number of vectors."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 6))
+    shares, levels = [], []
+    for n in (500, 2500, 12_500):
+        base = centres[rng.integers(0, 40, n)] + 0.15 * rng.normal(size=(n, 6))
+        rows = list(enumerate(base.tolist()))
+        df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+        tree = C.build_tree(df, 8)
+        asked = spark.createDataFrame(rows[:60], "id bigint, vec array<double>")
+        seen = S.visited_blocks(asked, tree, 3, exclude_self=True).agg(F.sum("queries").alias("q"), F.count(F.lit(1)).alias("blocks")).first()
+        assert seen.blocks >= n / 8 and tree.leaves.agg(F.sum(F.size("ids"))).first()[0] == n
+        shares.append(seen.q / seen.blocks / 60)
+        levels.append(tree.levels)
+    assert levels == [2, 2, 3]
+    assert all(after < 2 * before / 3 for before, after in zip(shares, shares[1:]))
+
+
+def test_the_store_is_not_shuffled(vectors):
+    df, _ = vectors
+    stored = df.select("id", "vec").withColumn("vec", F.transform("vec", lambda x: x * 2))
+    plan = S.candidate_hits(df.select("id", "vec"), stored, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
