@@ -96,7 +96,7 @@ def j09(spark, sf) -> DataFrame:
 def j09_tiles(spark, sf) -> DataFrame:
     """Many queries: several rounds over the store, each written before the next."""
     v = _vectors(spark, sf).select("id", "vec")
-    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, round_rows=512)
+    hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, round_rows=1024)
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")
 
 
@@ -266,12 +266,12 @@ SUMMARY = f"""count(*) AS n_pairs, {sql6("avg(cos)", "mean_cos")}, {sql6("avg(1
 STATS = ["mean_cos", "mean_dist", "median_dist", "std_dist"]
 
 
-def _intra_tiles(spark, sf, block_rows=B.BLOCK_ROWS) -> DataFrame:
-    return B.self_tiles(B.pack_group_blocks(emb(spark, sf), "print_id", "emb_id", "emb", block_rows))
+def _intra_blocks(spark, sf, block_rows=B.BLOCK_ROWS) -> DataFrame:
+    return B.pack_group_blocks(emb(spark, sf), "print_id", "emb_id", "emb", block_rows)
 
 
-def _cent_tiles(spark, sf, block_rows=B.BLOCK_ROWS) -> DataFrame:
-    return B.self_tiles(B.pack_blocks(cents(spark, sf, "print_id"), "print_id", "centroid", block_rows))
+def _cent_blocks(spark, sf, block_rows=B.BLOCK_ROWS) -> DataFrame:
+    return B.pack_blocks(cents(spark, sf, "print_id"), "print_id", "centroid", block_rows)
 
 
 def _d_aug(spark, sf):
@@ -285,13 +285,29 @@ def j15(spark, sf) -> DataFrame:
 
 @query("g05_intra_stats", f"WITH {PAIRS} SELECT {SUMMARY} FROM v_pairs")
 def g05(spark, sf) -> DataFrame:
-    return P.pair_summary(_intra_tiles(spark, sf)).select("n_pairs", *[r6(c) for c in STATS])
+    return P.pair_summary(_intra_blocks(spark, sf)).select("n_pairs", *[r6(c) for c in STATS])
 
 
 @query("g05_intra_stats_split_groups", f"WITH {PAIRS} SELECT {SUMMARY} FROM v_pairs")
 def g05_split(spark, sf) -> DataFrame:
     """Every card cut into several blocks, as a hot card would be."""
-    return P.pair_summary(_intra_tiles(spark, sf, 8)).select("n_pairs", *[r6(c) for c in STATS])
+    return P.pair_summary(_intra_blocks(spark, sf, 8)).select("n_pairs", *[r6(c) for c in STATS])
+
+
+MOMENTS = f"""count(*) AS n_pairs, {sql6("avg(cos)", "mean_cos")}, {sql6("avg(1 - cos)", "mean_dist")}, {sql6("stddev_pop(1 - cos)", "std_dist")}"""
+
+
+@query("g05_intra_moments", f"WITH {PAIRS} SELECT {MOMENTS} FROM v_pairs")
+def g05_moments(spark, sf) -> DataFrame:
+    """Count, mean and deviation from summed outer products, without a pass over pairs; every card in several blocks."""
+    return P.pair_summary(_intra_blocks(spark, sf, 8), median=False).select("n_pairs", r6("mean_cos"), r6("mean_dist"), r6("std_dist"))
+
+
+@query("g07_vector_pair_moments", f"""WITH {V_UNIT}, p AS (SELECT round(list_dot_product(a.u, b.u), 9) AS cos FROM v_unit a
+ JOIN v_unit b ON a.emb_id < b.emb_id) SELECT {MOMENTS} FROM p""")
+def g07_moments(spark, sf) -> DataFrame:
+    blocks = B.pack_blocks(emb(spark, sf), "emb_id", "emb", 128)
+    return P.pair_summary(blocks, median=False).select("n_pairs", r6("mean_cos"), r6("mean_dist"), r6("std_dist"))
 
 
 @query("g06_d_aug", f"""WITH {PAIRS} SELECT {sql6("d_aug", "d_aug")} FROM v_daug""")
@@ -301,21 +317,20 @@ def g06(spark, sf) -> DataFrame:
 
 @query("g07_inter_stats", f"WITH {CENT_PAIRS} SELECT {SUMMARY} FROM c_pairs")
 def g07(spark, sf) -> DataFrame:
-    return P.pair_summary(_cent_tiles(spark, sf)).select("n_pairs", *[r6(c) for c in STATS])
+    return P.pair_summary(_cent_blocks(spark, sf)).select("n_pairs", *[r6(c) for c in STATS])
 
 
 @query("g07_vector_pair_stats", f"""WITH {V_UNIT}, p AS (SELECT round(list_dot_product(a.u, b.u), 9) AS cos FROM v_unit a
  JOIN v_unit b ON a.emb_id < b.emb_id) SELECT {SUMMARY} FROM p""")
 def g07_vectors(spark, sf) -> DataFrame:
     """The same statistics over all pairs of vectors, in blocks of 128 rows."""
-    tiles = B.self_tiles(B.pack_blocks(emb(spark, sf), "emb_id", "emb", 128))
-    return P.pair_summary(tiles).select("n_pairs", *[r6(c) for c in STATS])
+    return P.pair_summary(B.pack_blocks(emb(spark, sf), "emb_id", "emb", 128)).select("n_pairs", *[r6(c) for c in STATS])
 
 
 @query("g08_separation", f"""WITH {BOTH}, x AS (SELECT (SELECT avg(1 - cos) FROM v_pairs) d, (SELECT quantile_cont(1 - cos, 0.5) FROM c_pairs) m)
  SELECT {sql6("d", "d_aug")}, {sql6("m", "dist_med")}, {sql6("m / d", "q")}, {sql6("1 - 1.5 * d", "thr_high")}, {sql6("1 - m", "thr_low")} FROM x""")
 def g08(spark, sf) -> DataFrame:
-    s = P.separation(P.pair_summary(_intra_tiles(spark, sf), median=False), P.pair_summary(_cent_tiles(spark, sf)))
+    s = P.separation(P.d_aug(P.intra_means(emb(spark, sf), "print_id")), P.pair_summary(_cent_blocks(spark, sf)))
     return s.select(*[r6(c) for c in s.columns])
 
 
@@ -326,12 +341,12 @@ def _histogram_sql(ctes: str, pairs: str) -> str:
 
 @query("g13_intra_histogram", _histogram_sql(PAIRS, "v_pairs"))
 def g13(spark, sf) -> DataFrame:
-    return P.cosine_histogram(_intra_tiles(spark, sf))
+    return P.cosine_histogram(B.self_tiles(_intra_blocks(spark, sf)))
 
 
 @query("g13_inter_histogram", _histogram_sql(CENT_PAIRS, "c_pairs"))
 def g13_inter(spark, sf) -> DataFrame:
-    return P.cosine_histogram(_cent_tiles(spark, sf))
+    return P.cosine_histogram(B.self_tiles(_cent_blocks(spark, sf)))
 
 
 CARD_PAIRS = BOTH + """, v_sides AS (SELECT card_a AS id, cos FROM c_pairs UNION ALL SELECT card_b, cos FROM c_pairs)"""
@@ -340,7 +355,7 @@ CARD_PAIRS = BOTH + """, v_sides AS (SELECT card_a AS id, cos FROM c_pairs UNION
 @query("j16_inter_pairs_by_card", f"""WITH {CARD_PAIRS} SELECT id AS print_id, count(*) AS n_pairs, {sql6("avg(cos)", "mean_cos")},
  {sql6("min(1 - cos)", "min_dist")} FROM v_sides GROUP BY id""")
 def j16(spark, sf) -> DataFrame:
-    b = P.boundary_by_card(_cent_tiles(spark, sf), "bigint", 0.0)
+    b = P.boundary_by_card(B.self_tiles(_cent_blocks(spark, sf)), "bigint", 0.0)
     return b.select(F.col("id").alias("print_id"), "n_pairs", r6("mean_cos"), r6("min_dist"))
 
 
@@ -348,7 +363,7 @@ def j16(spark, sf) -> DataFrame:
  {sql6("min(1 - cos) - any_value(d_aug)", "min_boundary")}, {sql6("avg(1 - cos) - any_value(d_aug)", "mean_boundary")}
  FROM v_sides, v_daug GROUP BY id""")
 def j17(spark, sf) -> DataFrame:
-    b = P.boundary_by_card(_cent_tiles(spark, sf), "bigint", _d_aug(spark, sf))
+    b = P.boundary_by_card(B.self_tiles(_cent_blocks(spark, sf)), "bigint", _d_aug(spark, sf))
     return b.select(F.col("id").alias("print_id"), "n_critical", r6("min_boundary"), r6("mean_boundary"))
 
 
@@ -366,7 +381,7 @@ def g21(spark, sf) -> DataFrame:
 @query("w11_critical_pairs", f"""WITH {BOTH} SELECT card_a, card_b, {sql6("1 - cos", "dist")}, {sql6("1 - cos - d_aug", "boundary")},
  1 - cos - d_aug < 0 AS critical FROM c_pairs, v_daug ORDER BY 1 - c_pairs.cos, card_a, card_b LIMIT 20""")
 def w11(spark, sf) -> DataFrame:
-    top = P.closest_pairs(_cent_tiles(spark, sf), "bigint", _d_aug(spark, sf), 20)
+    top = P.closest_pairs(B.self_tiles(_cent_blocks(spark, sf)), "bigint", _d_aug(spark, sf), 20)
     return top.select("card_a", "card_b", r6("dist"), r6("boundary"), "critical")
 
 

@@ -13,10 +13,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
 # Rows per block: 16384 float vectors of 1024 dimensions are 64 MB. Bigger blocks mean fewer copies
@@ -106,12 +105,12 @@ def pack_group_blocks(
     rows = df.where(F.col(group_col).isNotNull() & F.col(vec_col).isNotNull()).select(
         F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")
     )
-    # only groups above one block are looked up, so the table joined here is usually tiny or empty
-    large = (
+    # only groups above one block are looked up, so the table joined here is usually tiny or empty; written, its size is known
+    large = materialise(
         rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-        .select("g", F.ceil(F.col("_n") / block_rows).cast("int").alias("nb"))
+        .select("g", F.ceil(F.col("_n") / block_rows).cast("int").alias("nb")), "large-groups",
     )
-    spread = lookup_join(rows, large, ["g"], F.col("id")).withColumn("nb", F.coalesce("nb", F.lit(1)))
+    spread = rows.join(large, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     spread = spread.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     return pack_rows(spread, ["g", "b", "nb"])
 
@@ -122,13 +121,17 @@ def self_tiles(blocks: DataFrame) -> DataFrame:
     ``b_mat`` is empty for a block paired with itself; those tiles need no join, so only groups of
     more than one block are shuffled again, keyed by tile and therefore spread evenly.
     """
-    blocks = materialise(blocks, "blocks")  # read once per branch below and once per pass of the caller
+    seen = Observation()
+    # read once per branch below and once per pass of the caller
+    blocks = materialise(blocks.observe(seen, F.max("nb").alias("nb")), "blocks")
     if "g" not in blocks.columns:
         blocks = blocks.withColumn("g", F.lit(0))
     diag = blocks.select(
         "g", F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat"), F.slice("ids", 1, 0).alias("b_ids"),
         F.lit(b"").alias("b_mat"), "dim",
     )
+    if seen.get["nb"] in (None, 1):
+        return diag
     split = blocks.where("nb > 1")
     lower = split.where("b < nb - 1").select(
         "g", F.col("b").alias("ta"), F.explode(F.expr("sequence(b + 1, nb - 1)")).alias("tb"),

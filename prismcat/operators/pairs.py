@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from prismcat.functions.vectors import SIM_DECIMALS, dot, sum_vector, unit
 from prismcat.operators import blocks as B
 
-_MEDIAN_BINS = 4096
-_MEDIAN_VALUES = 100_000
+# Similarities are compared at SIM_DECIMALS, so a first pass over bins of this many steps leaves a second pass
+# that many cells at most, however many pairs there are.
+_STEPS = 4096
+_STEP = 10.0**-SIM_DECIMALS
+# Distances held before they are counted.
+_HELD = 1 << 19
 
 
 def intra_means(df: DataFrame, key: str, vec: str = "emb") -> DataFrame:
@@ -49,116 +53,151 @@ def _pair_values(rows) -> Iterator[np.ndarray]:
             yield np.round(cos.ravel() if mask is None else cos[mask], SIM_DECIMALS)
 
 
-def _sums_and_bins(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> dict:
-    """One pass: {-1: (pairs, sum, sum of squares) of the cosines, bin: (pairs,) of the distances}.
+def _counted(tiles: DataFrame, cells: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, tuple[int, float, float]]:
+    """One pass over the pairs: how many distances ``cells`` puts into each of ``width`` cells, and the number, sum and
+    sum of squares of the cosines. ``cells`` gets distances in steps; what it puts below 0 doesn't count.
 
-    ``levels`` are (low, width, chosen bin); a distance counts if it falls into the chosen bin of
-    every level but the last, and is binned by the last. At most bins + 1 rows reach the driver.
+    At most ``width`` + 1 rows reach the driver, half a million for bins over all distances.
     """
+
     def kernel(rows) -> Iterator[pd.DataFrame]:
-        counts, total = np.zeros(bins, dtype=np.int64), np.zeros(3)
+        counts, total, held, size = np.zeros(width, np.int64), np.zeros(3), [], 0
+
+        def count() -> None:
+            cell = cells(np.rint((1.0 - np.concatenate(held)) / _STEP).astype(np.int64))
+            counts[:] += np.bincount(cell[cell >= 0], minlength=width)
+
         for v in _pair_values(rows):
             total += len(v), v.sum(), v @ v
-            counts += np.bincount(_narrow(1.0 - v, levels, bins)[1], minlength=bins)
+            held.append(v)
+            size += len(v)
+            if size >= _HELD:
+                count()
+                held, size = [], 0
+        if held:
+            count()
         hit = np.flatnonzero(counts)
-        yield pd.DataFrame(
-            {
-                "bin": np.append(-1, hit), "n": np.append(int(total[0]), counts[hit]),
-                "s": np.append(total[1], np.zeros(len(hit))), "ss": np.append(total[2], np.zeros(len(hit))),
-            }
-        )
-
-    found = B.map_tiles(tiles, kernel, "bin bigint, n bigint, s double, ss double").groupBy("bin").agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
-    )
-    return {r["bin"]: (r["n"], r["s"], r["ss"]) for r in found.orderBy("bin").collect()}
+        zeros = np.zeros(len(hit))
+        yield pd.DataFrame({"cell": np.append(-1, hit), "n": np.append(int(total[0]), counts[hit]), "s": np.append(total[1], zeros), "ss": np.append(total[2], zeros)})
 
+    found = B.map_tiles(tiles, kernel, "cell bigint, n bigint, s double, ss double")
+    table = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).toArrow()
+    cell, n, s, ss = (table.column(c).to_numpy() for c in ("cell", "n", "s", "ss"))
+    counts = np.zeros(width, np.int64)
+    counts[cell[cell >= 0]] = n[cell >= 0]
+    total = cell < 0
+    return counts, (int(n[total].sum()), float(s[total].sum()), float(ss[total].sum()))
 
-def _narrow(dist: np.ndarray, levels: list[tuple[float, float, int]], bins: int):
-    """Keep the distances that fall into the chosen bin of every fixed level; bin them by the last."""
-    pos = np.zeros(len(dist), dtype=np.int64)
-    for low, width, chosen in levels:
-        pos = np.clip(np.floor((dist - low) / width), 0, bins - 1).astype(np.int64)
-        if chosen >= 0:
-            keep = pos == chosen
-            dist, pos = dist[keep], pos[keep]
-    return dist, pos
 
+def _place(counts: np.ndarray, rank: int) -> tuple[int, int]:
+    """(cell, rank within it) of a 0-based rank among counted cells."""
+    upto = np.cumsum(counts)
+    cell = int(np.searchsorted(upto, rank, side="right"))
+    return cell, rank - int(upto[cell] - counts[cell])
 
-def _value_counts(tiles: DataFrame, levels: list[tuple[float, float, int]], bins: int) -> DataFrame:
-    def kernel(rows) -> Iterator[pd.DataFrame]:
-        held: dict[float, int] = {}
-        for v in _pair_values(rows):
-            kept, _ = _narrow(1.0 - v, levels, bins)
-            for v, n in zip(*np.unique(np.round(kept, SIM_DECIMALS), return_counts=True)):
-                held[float(v)] = held.get(float(v), 0) + int(n)
-        yield pd.DataFrame({"dist": list(held), "n": list(held.values())}).astype(
-            {"dist": "float64", "n": "int64"}
-        )
 
-    found = B.map_tiles(tiles, kernel, "dist double, n bigint")
-    return found.groupBy("dist").agg(F.sum("n").alias("n"))
+def _steps_at(tiles: DataFrame, bins: np.ndarray, ranks: list[int]) -> list[int]:
+    """Distances in steps at 0-based ranks, by one more pass over the pairs of the bins that hold them."""
+    places = [_place(bins, rank) for rank in ranks]
+    chosen = np.unique([cell for cell, _ in places])
+    width = 2 * _STEPS  # rounding can leave a distance a few steps below 0, so a bin gets half a bin more on either side
+
+    def cells(steps: np.ndarray) -> np.ndarray:
+        bin_of = np.clip(steps // _STEPS, 0, None)
+        at = np.minimum(np.searchsorted(chosen, bin_of), len(chosen) - 1)
+        return np.where(chosen[at] == bin_of, at * width + steps - bin_of * _STEPS + _STEPS // 2, -1)
 
+    counts, _ = _counted(tiles, cells, width * len(chosen))
+    grid = counts.reshape(-1, width)
+    return [cell * _STEPS + _place(grid[np.searchsorted(chosen, cell)], inner)[0] - _STEPS // 2 for cell, inner in places]
 
-def _order_statistics(tiles: DataFrame, ranks: list[int], counts: dict, levels: list[tuple[float, float, int]]) -> list[float]:
-    """Exact values of the given 0-based ranks among the distances that ``counts`` describes.
 
-    The bin of a rank is either small enough to look at its distinct values, or binned again; only
-    counts reach the driver. Adjacent ranks nearly always share a bin and therefore a pass.
+def pair_moments(blocks: DataFrame) -> DataFrame:
+    """n_pairs, s and ss (sums of the cosines and of their squares) over all pairs within a group; no pair is formed across blocks.
+
+    The sum over pairs of (u.v)^2 is half of |M|^2 - sum |u|^4, where M is the sum of the outer products u u'. A group
+    of one block is done where it lies, by its products if that is less work; of a larger group every task sends the
+    rows of M. ``blocks`` are those of ``blocks.pack_blocks`` or ``pack_group_blocks``.
     """
-    low, width, _ = levels[-1]
-    by_bin: dict[int, list[int]] = {}
-    for rank in ranks:
-        for number, (n, *_) in counts.items():
-            if number < 0:
+    if "g" not in blocks.columns:
+        blocks = blocks.withColumn("g", F.lit(0))
+    group_type = B.spark_type(blocks, "g")
+
+    def kernel(rows) -> Iterator[pd.DataFrame]:
+        # ord -1: sums of the vectors; ord -2: a finished group's sums; from 0 on the rows of M
+        done = np.zeros(3)
+        held: dict = {}
+        for row in rows:
+            u = B.matrix(row.mat, len(row.ids), row.dim)
+            own = np.einsum("ij,ij->i", u, u)
+            figures = np.array([len(u), own.sum(), own @ own])
+            if row.nb == 1:
+                total = u.sum(0)
+                products = u @ u.T if len(u) < row.dim else u.T @ u
+                done += len(u) * (len(u) - 1) / 2, (total @ total - figures[1]) / 2, ((products**2).sum() - figures[2]) / 2
                 continue
-            if rank < n:
-                by_bin.setdefault(number, []).append(rank)
-                break
-            rank -= n
-    found = []
-    for number, inner in by_bin.items():
-        path = [*levels[:-1], (low, width, number)]
-        # values are rounded, so a bin narrower than one rounding step holds a handful of distinct ones
-        if counts[number][0] <= _MEDIAN_VALUES or width <= 10.0**-SIM_DECIMALS:
-            values = _value_counts(tiles, path, _MEDIAN_BINS).orderBy("dist").collect()
-            upto = np.cumsum([r["n"] for r in values])
-            found += [values[int(np.searchsorted(upto, rank, side="right"))]["dist"] for rank in inner]
-        else:
-            deeper = [*path, (low + number * width, width / _MEDIAN_BINS, -1)]
-            found += _order_statistics(tiles, inner, _sums_and_bins(tiles, deeper, _MEDIAN_BINS), deeper)
-    return found
-
-
-def pair_summary(tiles: DataFrame, median: bool = True, approx: bool = False) -> DataFrame:
-    """n_pairs, mean_cos, mean_dist, median_dist, std_dist over all pairs of the tiles (one row).
-
-    The median is exact; ``approx`` stops after the first pass and answers with the middle of its bin.
+            before = held.get(row.g)
+            new = figures, u.sum(0), u.T @ u
+            held[row.g] = new if before is None else tuple(a + b for a, b in zip(before, new, strict=True))
+            if len(held) > 1:  # blocks of a group usually follow each other
+                yield from send(held, row.g)
+        yield from send(held, None)
+        yield pd.DataFrame({"g": [None], "ord": [-2], "v": [done.tolist()]})
+
+    def send(held: dict, keep) -> Iterator[pd.DataFrame]:
+        for g in [g for g in held if keep is None or g != keep]:
+            figures, total, outer = held.pop(g)
+            values = [figures.tolist(), total.tolist(), *outer.tolist()]
+            yield pd.DataFrame({"g": [g] * len(values), "ord": [-3, -1, *range(len(outer))], "v": values})
+
+    parts = B.map_tiles(blocks.select("g", "nb", "ids", "mat", "dim"), kernel, f"g {group_type}, ord int, v array<double>")
+    summed = parts.groupBy("g", "ord").agg(sum_vector(F.col("v")).alias("v"))
+    one = summed.select(
+        "g", F.when(F.col("ord") == -2, F.col("v")).alias("done"), F.when(F.col("ord") == -3, F.col("v")).alias("figures"),
+        F.when(F.col("ord") == -1, dot(F.col("v"), F.col("v"))).alias("total"), F.when(F.col("ord") >= 0, dot(F.col("v"), F.col("v"))).alias("outer"),
+    )
+    groups = one.groupBy("g").agg(F.max("done").alias("done"), F.max("figures").alias("f"), F.max("total").alias("total"), F.sum("outer").alias("outer"))
+    n = F.col("f")[0]
+    values = [n * (n - 1) / 2, (F.col("total") - F.col("f")[1]) / 2, (F.col("outer") - F.col("f")[2]) / 2]
+    return groups.agg(*[
+        F.coalesce(F.sum(F.coalesce(F.col("done")[i], F.lit(0.0)) + F.coalesce(v, F.lit(0.0))), F.lit(0.0)).alias(name)
+        for i, (name, v) in enumerate(zip(("n_pairs", "s", "ss"), values, strict=True))
+    ]).select(F.col("n_pairs").cast("bigint").alias("n_pairs"), "s", "ss")
+
+
+def pair_summary(blocks: DataFrame, median: bool = True, approx: bool = False) -> DataFrame:
+    """n_pairs, mean_cos, mean_dist, median_dist, std_dist over all pairs within the blocks' groups (one row).
+
+    Without the median nothing but the vectors' moments is summed up. The median is exact and takes two passes over
+    the pairs, whatever their number: one into bins, one over the bins it lies in. ``approx`` stops after the first
+    and answers with the middle of its bin.
     """
-    level = (0.0, 2.0 / _MEDIAN_BINS, -1)
-    counts = _sums_and_bins(tiles, [level], _MEDIAN_BINS)
-    n, s, ss = counts.get(-1, (0, 0.0, 0.0))
-    spark = tiles.sparkSession
     schema = "n_pairs bigint, mean_cos double, mean_dist double, median_dist double, std_dist double"
+    spark = blocks.sparkSession
+    if not median:
+        moments = pair_moments(blocks).head()
+        n, s, ss = moments["n_pairs"], moments["s"], moments["ss"]
+    else:
+        tiles = B.self_tiles(blocks)
+        bins, (n, s, ss) = _counted(tiles, lambda steps: np.clip(steps // _STEPS, 0, None), int(2 / _STEP) // _STEPS + 2)
     if n == 0:
         return spark.createDataFrame([(0, None, None, None, None)], schema)
     mean = s / n
     std = max(ss / n - mean * mean, 0.0) ** 0.5
-    ranks = [(n - 1) // 2, n // 2]
-    if not median:
-        middle = None
-    elif approx:
-        upto = np.cumsum([c[0] for number, c in counts.items() if number >= 0])
-        numbers = [number for number in counts if number >= 0]
-        middle = (numbers[int(np.searchsorted(upto, ranks[0], side="right"))] + 0.5) * level[1]
-    else:
-        middle = sum(_order_statistics(tiles, ranks, counts, [level])) / 2
+    middle = None
+    if median and approx:
+        middle = (_place(bins, (n - 1) // 2)[0] + 0.5) * _STEPS * _STEP
+    elif median:
+        middle = sum(_steps_at(tiles, bins, [(n - 1) // 2, n // 2])) / 2 * _STEP
     return spark.createDataFrame([(n, mean, 1.0 - mean, middle, std)], schema)
 
 
 def separation(intra: DataFrame, inter: DataFrame) -> DataFrame:
-    """Q = median inter distance / mean intra distance, and the advised thresholds (one row)."""
-    d = intra.select("mean_dist").scalar()
+    """Q = median inter distance / mean intra distance, and the advised thresholds (one row).
+
+    ``intra`` is the result of ``d_aug``, ``inter`` that of ``pair_summary``.
+    """
+    d = intra.select("d_aug").scalar()
     m = inter.select("median_dist").scalar()
     one = intra.select(d.alias("d_aug"), m.alias("dist_med"))
     return one.select(
@@ -189,23 +228,22 @@ def boundary_by_card(tiles: DataFrame, id_type: str, d: float | Column) -> DataF
     """
     marked = tiles.withColumn("d", B.scalar_double(d))
 
-    def side(ids: np.ndarray, dist: np.ndarray, use: np.ndarray, axis: int, d: float) -> pd.DataFrame:
-        n = use.sum(axis=axis)
-        frame = pd.DataFrame(
-            {
-                "id": ids, "n": n, "s": np.where(use, dist, 0.0).sum(axis=axis),
-                "lo": np.where(use, dist, np.inf).min(axis=axis), "critical": (use & (dist < d)).sum(axis=axis),
-            }
-        )
-        return frame[n > 0]
-
     def kernel(rows) -> Iterator[pd.DataFrame]:
-        for row in rows:
-            for ids_a, ids_b, cos, mask in B.tile_strips(row):
+        for row in rows:  # one row for each card of a tile, however many strips it takes
+            left, below, ids = [], None, None
+            for ids_a, ids, cos, mask in B.tile_strips(row):
                 dist = 1.0 - np.round(cos, SIM_DECIMALS)
                 use = np.ones(dist.shape, dtype=bool) if mask is None else mask
-                yield side(ids_a, dist, use, 1, row.d)
-                yield side(ids_b, dist, use, 0, row.d)
+                known, close = np.where(use, dist, 0.0), np.where(use, dist, np.inf)
+                critical = use & (dist < row.d)
+                left.append((ids_a, use.sum(1), known.sum(1), close.min(1), critical.sum(1)))
+                new = use.sum(0), known.sum(0), close.min(0), critical.sum(0)
+                below = new if below is None else (below[0] + new[0], below[1] + new[1], np.minimum(below[2], new[2]), below[3] + new[3])
+            if below is None:
+                continue
+            both = (np.concatenate(x) for x in zip(*left, (ids, *below), strict=True))
+            frame = pd.DataFrame(dict(zip(("id", "n", "s", "lo", "critical"), both, strict=True)))
+            yield frame[frame.n > 0]
 
     schema = f"id {id_type}, n bigint, s double, lo double, critical bigint"
     return B.map_tiles(marked, kernel, schema).groupBy("id").agg(

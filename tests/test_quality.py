@@ -59,10 +59,10 @@ def test_threshold_is_inclusive_and_missing_hits_score_zero(spark):
 
 def test_pair_statistics_without_pairs(spark):
     df = vectors(spark, [(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])])
-    none = P.pair_summary(self_tiles(pack_group_blocks(df, "g", "id", "vec")))
+    none = P.pair_summary(pack_group_blocks(df, "g", "id", "vec"))
     assert tuple(none.first()) == (0, None, None, None, None)
     assert P.d_aug(P.intra_means(df, "g", "vec")).first()["d_aug"] == 0.0
-    assert P.separation(none, none).first()["q"] is None
+    assert P.separation(P.d_aug(P.intra_means(df, "g", "vec")), none).first()["q"] is None
     single = self_tiles(pack_blocks(df.where("id = 1"), "id", "vec"))
     assert P.closest_pairs(single, "bigint", 0.0).count() == 0
 

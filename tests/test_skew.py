@@ -146,8 +146,8 @@ def test_pair_statistics(vectors, block_rows):
     u = base / np.linalg.norm(base, axis=1, keepdims=True)
     groups = [r["g"] for r in df.orderBy("id").collect()]
     cos = [u[i] @ u[j] for i, j in itertools.combinations(range(90), 2) if groups[i] == groups[j]]
-    tiles = B.self_tiles(B.pack_group_blocks(df, "g", "id", "vec", block_rows))
-    got = P.pair_summary(tiles).first()
+    blocks = B.pack_group_blocks(df, "g", "id", "vec", block_rows)
+    got = P.pair_summary(blocks).first()
     dist = 1 - np.array(cos)
     assert got["n_pairs"] == len(cos)
     assert [got[c] for c in ("mean_cos", "median_dist", "std_dist")] == pytest.approx(
@@ -158,14 +158,35 @@ def test_pair_statistics(vectors, block_rows):
     assert per["hot"] == pytest.approx(np.mean(hot_cos))
 
 
-def test_median_narrows_to_duplicates(vectors, monkeypatch):
-    """With a tiny limit the median search has to refine its bins several times."""
+@pytest.mark.parametrize("steps", [1, 7, 4096])
+def test_median_takes_two_passes(vectors, monkeypatch, steps):
+    """Whatever the width of the bins, also where the two middle distances lie in different ones."""
     df, base = vectors
-    monkeypatch.setattr(P, "_MEDIAN_VALUES", 3)
+    monkeypatch.setattr(P, "_STEPS", steps)
+    monkeypatch.setattr(P, "_STEP", 1e-3)
+    monkeypatch.setattr(P, "SIM_DECIMALS", 3)
+    passes = []
+    original = P._counted
+    monkeypatch.setattr(P, "_counted", lambda *a: passes.append(1) or original(*a))
     u = base / np.linalg.norm(base, axis=1, keepdims=True)
-    dist = 1 - (u @ u.T)[np.triu_indices(90, 1)]
-    tiles = B.self_tiles(B.pack_blocks(df, "id", "vec", 30))
-    assert P.pair_summary(tiles).first()["median_dist"] == pytest.approx(np.median(dist), abs=1e-8)
+    for rows in (90, 60, 3, 2):
+        dist = 1 - np.round((u[:rows] @ u[:rows].T)[np.triu_indices(rows, 1)], 3)
+        blocks = B.pack_blocks(df.where(F.col("id") < rows), "id", "vec", 30)
+        assert P.pair_summary(blocks).first()["median_dist"] == pytest.approx(np.median(dist), abs=1e-8)
+    assert len(passes) == 8
+
+
+@pytest.mark.parametrize("block_rows", [3, 16, 1000])
+def test_moments_without_pairs_across_blocks(vectors, block_rows):
+    """Groups of one block and of many; blocks of fewer and of more rows than dimensions."""
+    df, base = vectors
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    groups = [r["g"] for r in df.orderBy("id").collect()]
+    for blocks, same in ((B.pack_group_blocks(df, "g", "id", "vec", block_rows), True), (B.pack_blocks(df, "id", "vec", block_rows), False)):
+        cos = np.array([u[i] @ u[j] for i, j in itertools.combinations(range(90), 2) if not same or groups[i] == groups[j]])
+        got = P.pair_moments(blocks).first()
+        assert got["n_pairs"] == len(cos)
+        assert (got["s"], got["ss"]) == (pytest.approx(cos.sum(), abs=1e-8), pytest.approx((cos**2).sum(), abs=1e-8))
 
 
 def test_closest_pairs_and_boundaries(vectors):
