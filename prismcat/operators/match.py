@@ -6,32 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.functions.columns import base_name, blank_to_null, normal_name
+from prismcat.operators.containment import contained_names
 from prismcat.operators.numbering import with_global_index
 from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
 
-def _substrings(text: str):
-    """All distinct non-empty substrings of a short name."""
-    n = F.length(F.col(text))
-    starts = F.sequence(F.lit(1), n)
-    every = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(F.col(text), i, m)),
-        )
-    )
-    return F.explode(F.array_distinct(every))
-
-
 def match_names(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(query_id, query_name) against (ref_id, ref_name): exact normalised name, else containment.
 
-    Containment runs both ways and the smallest catalogue key wins. It is exact without comparing
-    pairs: every name is listed under its substrings, the catalogue side is reduced to one smallest
-    key per substring, and an equi-join finds the names that equal a substring. Cost is linear in
-    the number of names (times the square of a name's length), whatever the names share.
-    Query names are reduced to distinct names first.
+    Containment runs both ways and the smallest catalogue key wins. Query names are reduced to distinct names
+    first, and catalogue names to distinct keys; ``containment`` finds names in names without comparing pairs.
     """
     q = queries.select("query_id", normal_name(F.col("query_name")).alias("q"))
     keys = (
@@ -40,26 +25,13 @@ def match_names(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.min("ref_id").alias("ref_id"))
     )
     names = q.where(blank_to_null(F.col("q")).isNotNull()).select("q").distinct()
-    # both are read by several branches below
-    keys, names = materialise(keys, "name-keys"), materialise(names, "names")
-    exact = names.join(keys, F.col("q") == F.col("key")).select("q", F.col("key").alias("exact_key"))
-    rest = names.join(exact.select("q"), "q", "left_anti")
-
-    # catalogue key contains the query
-    inside = keys.select("key", _substrings("key").alias("q")).groupBy("q").agg(F.min("key").alias("outer_key"))
-    outer = rest.join(inside, "q").select("q", "outer_key")
-    # query contains the catalogue key
-    pieces = rest.select("q", _substrings("q").alias("key"))
-    pieces = lookup_join(pieces, keys.select("key"), ["key"], F.col("q"), "inner")
-    inner = pieces.groupBy("q").agg(F.min("key").alias("inner_key"))
-
-    chosen = (
-        names.join(exact, "q", "left").join(outer, "q", "left").join(inner, "q", "left")
-        .select(
-            "q", F.coalesce("exact_key", F.least("outer_key", "inner_key")).alias("key"),
-            F.when(F.col("exact_key").isNotNull(), "exact")
-            .when(F.coalesce("outer_key", "inner_key").isNotNull(), "contains").alias("how"),
-        )
+    keys = materialise(keys, "name-keys")
+    names = materialise(names.join(keys.select(F.col("key").alias("q"), F.col("key").alias("exact_key")), "q", "left"), "names")
+    rest = names.where(F.col("exact_key").isNull())
+    near = contained_names(rest.select(F.col("q").alias("name")), keys.select(F.col("key").alias("name")))
+    chosen = names.join(near.withColumnRenamed("name", "q"), "q", "left").select(
+        "q", F.coalesce("exact_key", F.least("outer", "inner")).alias("key"),
+        F.when(F.col("exact_key").isNotNull(), "exact").when(F.coalesce("outer", "inner").isNotNull(), "contains").alias("how"),
     )
     resolved = chosen.join(keys, "key", "left").select("q", "how", "ref_id", F.col("key").alias("ref_key"))
     return lookup_join(q, resolved, ["q"], F.col("query_id")).select(
