@@ -67,6 +67,37 @@ def s01_array(spark, sf) -> DataFrame:
     return K.flatten_cards(files.read_cards(spark, path, "array_lines")).select(*FLAT_COLUMNS)
 
 
+@query("s01_bulk_json_array", FLAT_SQL)
+def s01_one_array(spark, sf) -> DataFrame:
+    """One array in one file, read in splits of 64 kB."""
+    path = scratch_path(spark, "bulk-one-array")
+    text = table(spark, sf, "part").selectExpr(*base._columns(_RAW)).select(F.concat(F.to_json(F.struct("*")), F.lit(", ")).alias("value"))
+    last = spark.createDataFrame([("[",), ("null]",)], "value string")
+    lines = last.where("value = '['").withColumn("n", F.lit(0)).unionByName(text.withColumn("n", F.lit(1))).unionByName(last.where("value <> '['").withColumn("n", F.lit(2)))
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", " ").text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    try:  # the elements are written before the reader returns
+        raw = files.read_cards(spark, path, "array")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return K.flatten_cards(raw.where("id IS NOT NULL")).select(*FLAT_COLUMNS)
+
+
+@query("u01_upsert_buckets", """SELECT p_partkey AS print_id, CASE WHEN p_partkey % 50 = 7 THEN 'new ' || p_name ELSE p_name END AS name,
+ CASE WHEN p_partkey % 50 = 7 THEN 'late' END AS note FROM part UNION ALL SELECT -1, 'added', 'late'""")
+def u01_buckets(spark, sf) -> DataFrame:
+    """Two batches into a keyed table; the second changes some rows, adds one and a column."""
+    from prismcat.sources.keyed import read_keyed, upsert_keyed
+
+    path = scratch_path(spark, "keyed")
+    part = table(spark, sf, "part").selectExpr("p_partkey AS print_id", "p_name AS name")
+    upsert_keyed(part, path, ["print_id"], [F.col("name")])
+    late = part.where("print_id % 50 = 7").selectExpr("print_id", "'new ' || name AS name", "'late' AS note")
+    upsert_keyed(late.unionByName(spark.createDataFrame([(-1, "added", "late")], late.schema)), path, ["print_id"], [F.col("name")])
+    return read_keyed(spark, path).select("print_id", "name", "note")
+
+
 @query("s02_latest_snapshot", """WITH n AS (SELECT page_id, 'dump' || (page_id % 5) || '_cards-' || CAST(20240000 + page_id AS VARCHAR) || '.json' AS f FROM pages)
  SELECT split_part(f, '-', 1) AS type, max(f) AS file_name, 'bulk/' || max(f) AS path FROM n GROUP BY 1""")
 def s02(spark, sf) -> DataFrame:
@@ -373,7 +404,7 @@ def g19_errors(spark, sf) -> DataFrame:
 @query("u01_last_record_of_a_file", """SELECT CAST(p_partkey AS VARCHAR) AS print_id, p_name || ' 2' AS name FROM part""")
 def u01_file_order(spark, sf) -> DataFrame:
     """Two records of every card in one file: the later one wins."""
-    from prismcat.sources.store import current_snapshot
+    from prismcat.sources.keyed import read_keyed
     from prismcat.streaming.catalogue_stream import card_stream, fold_into_catalogue
 
     folder, target = scratch_path(spark, "twice"), scratch_path(spark, "stream-table")
@@ -382,7 +413,7 @@ def u01_file_order(spark, sf) -> DataFrame:
     ).repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey", "n")
     both.selectExpr("CAST(p_partkey AS STRING) AS id", "p_name || n AS name", "image_uris").write.json(folder)
     fold_into_catalogue(card_stream(spark, folder), target, scratch_path(spark, "stream-progress"), []).awaitTermination()
-    return current_snapshot(spark, target)[1].select("print_id", "name")
+    return read_keyed(spark, target).select("print_id", "name")
 
 
 @query("u02_schema_evolution", """SELECT CAST(c_custkey AS VARCHAR) AS print_id, c_name AS name, CAST(NULL AS DOUBLE) AS cmc, CAST(NULL AS VARCHAR) AS lang, c_acctbal FROM customer""")
@@ -507,11 +538,11 @@ def ingest_catalogue(spark, sf) -> DataFrame:
 @query("stream_catalogue", f"""SELECT CAST(p_partkey AS VARCHAR) AS print_id, p_name AS name FROM part WHERE p_partkey % 3 IN (0, 1) AND ({URI_SQL}) IS NOT NULL""")
 def stream_catalogue(spark, sf) -> DataFrame:
     """The same records arriving as JSON-lines files, folded in by micro-batches."""
-    from prismcat.sources.store import current_snapshot
+    from prismcat.sources.keyed import read_keyed
     from prismcat.streaming.catalogue_stream import card_stream, fold_into_catalogue
 
     folder = _dump_lines(spark, sf)
     target = scratch_path(spark, "stream-table")
     run = fold_into_catalogue(card_stream(spark, folder), target, scratch_path(spark, "stream-progress"), C.PRINT_LANGUAGES)
     run.awaitTermination()
-    return current_snapshot(spark, target)[1].select("print_id", "name")
+    return read_keyed(spark, target).select("print_id", "name")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from prismcat.functions.columns import base_name, by_alias, normal_header
 from prismcat.operators.numbering import with_global_index
 from prismcat.schemas import CARD_RAW
+from prismcat.sources.json_arrays import read_array_elements
 
 _CORRUPT = "_corrupt_record"
 
@@ -16,17 +17,16 @@ _CORRUPT = "_corrupt_record"
 def read_cards(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Bulk card records; text that is no card object ends up in ``_corrupt_record``.
 
-    ``array``: one JSON array per file, read as one value (one task per file, below 2 GB).
-    ``array_lines``: an array written with one object per line, as bulk dumps are; split like any
-    text file. ``lines``: JSON lines. Use one of the latter two for big files.
+    ``array``: one JSON array per file, however it is laid out; big files are read by many tasks.
+    ``array_lines``: an array written with one object per line, as bulk dumps often are, which saves a pass.
+    ``lines``: JSON lines.
     """
     schema = T.StructType([*CARD_RAW.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     if layout == "lines":
         return spark.read.schema(schema).options(**options).json(path)
     if layout == "array":
-        whole = spark.read.text(path, wholetext=True)
-        items = whole.select(F.explode(F.from_json("value", "array<string>")).alias("item"))
+        items = read_array_elements(spark, path)
     elif layout == "array_lines":
         body = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
         items = spark.read.text(path).select(body.alias("item")).where(F.col("item") != "")

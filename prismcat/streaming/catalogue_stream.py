@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prismcat.functions.columns import IMAGE_VARIANTS
-from prismcat.operators.catalogue import flatten_cards, importable, upsert
-from prismcat.schemas import CARD_RAW, CARDS
-from prismcat.sources.store import current_snapshot, write_snapshot
+from prismcat.operators.catalogue import flatten_cards, importable
+from prismcat.schemas import CARD_RAW
+from prismcat.sources.keyed import BUCKETS, upsert_keyed
 
 
 def card_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -22,27 +22,21 @@ def card_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 
 def fold_into_catalogue(
-    raw: DataFrame, table: str, checkpoint: str, languages: list[str], variants: list[str] = IMAGE_VARIANTS
+    raw: DataFrame, table: str, checkpoint: str, languages: list[str], variants: list[str] = IMAGE_VARIANTS, buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Upsert every micro-batch into the snapshot table; stops when all waiting files are done.
+    """Upsert every micro-batch into the keyed table; stops when all waiting files are done.
 
-    Snapshot numbers follow the batch number, so a batch that is replayed after a failure finds its
-    own snapshot already written and does nothing. Within a batch the last file wins, and within a
-    file the last record.
+    A batch rewrites the buckets that its cards fall into, not the catalogue. Versions follow the batch number, so a
+    batch that is replayed after a failure finds its own version already written and does nothing. Within a batch
+    the last file wins, and within a file the last record.
     """
-    place = ["_source_file", "_source_start", "_source_row"]
+    place = ("_source_file", "_source_start", "_source_row")
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        found = current_snapshot(spark, table)
-        if found is not None and found[0] >= number + 1:
-            return
         # a split of a file is read in order by one task
         placed = batch.withColumn("_source_row", F.monotonically_increasing_id())
-        flat = flatten_cards(importable(placed, languages, variants).drop("image_uri"), keep=place)
-        target = spark.createDataFrame([], CARDS) if found is None else found[1]
-        merged = upsert(target, flat, ["print_id"], [F.desc(c) for c in place]).drop(*place)
-        write_snapshot(merged, table, number + 1)
+        flat = flatten_cards(importable(placed, languages, variants).drop("image_uri"), keep=list(place))
+        upsert_keyed(flat, table, ["print_id"], [F.desc(c) for c in place], place, number + 1, buckets)
 
     return (
         raw.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

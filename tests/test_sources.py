@@ -12,7 +12,7 @@ from prismcat import schemas
 from prismcat.functions import columns as C
 from prismcat.operators import catalogue as K
 from prismcat.session import scratch_path
-from prismcat.sources import files, images, reports, store
+from prismcat.sources import files, images, keyed, reports, store
 from prismcat.streaming.catalogue_stream import card_stream, fold_into_catalogue
 
 
@@ -117,7 +117,7 @@ def test_last_record_of_a_file_wins(spark, tmp_path):
     src.mkdir()
     write(src / "1.json", "\n".join(json.dumps({**CARDS[0], "name": n}) for n in ("x", "z", "y")))
     fold_into_catalogue(card_stream(spark, str(src)), str(tmp_path / "t"), str(tmp_path / "p"), []).awaitTermination()
-    assert [r["name"] for r in store.current_snapshot(spark, str(tmp_path / "t"))[1].collect()] == ["y"]
+    assert [r["name"] for r in keyed.read_keyed(spark, str(tmp_path / "t")).collect()] == ["y"]
 
 
 def test_quality_upsert_keeps_other_cards(spark, folder):
@@ -170,11 +170,57 @@ def test_stream_folds_files_and_survives_a_replay(spark, tmp_path):
     write(src / "2.json", json.dumps({**CARDS[0], "name": "Alpha 2"}))
     write(src / "3.json", json.dumps({"id": "e", "lang": "en", "name": "New", "image_uris": {"large": "u"}}))
     fold_into_catalogue(card_stream(spark, str(src)), table, progress, C.PRINT_LANGUAGES).awaitTermination()
-    number, rows = store.current_snapshot(spark, table)
+    number, rows = keyed.last_version(spark, table), keyed.read_keyed(spark, table)
     assert {r["print_id"]: r["name"] for r in rows.collect()} == {"a": "Alpha 2", "b": "Faces", "e": "New"}
-    # a replay of everything starts at batch 0 again: its snapshots exist, so nothing changes
+    # a replay of everything starts at batch 0 again: its versions exist, so nothing changes
     fold_into_catalogue(card_stream(spark, str(src)), table, str(tmp_path / "other"), C.PRINT_LANGUAGES).awaitTermination()
-    assert store.current_snapshot(spark, table)[0] == number
+    assert keyed.last_version(spark, table) == number
+
+
+def files_below(folder):
+    return {os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.startswith("part-")}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, folder):
+    first = spark.range(500).selectExpr("id", "'old' AS v")
+    keyed.upsert_keyed(first, folder, ["id"], [F.col("v")], buckets=16)
+    before = files_below(f"{folder}/data")
+    keyed.upsert_keyed(spark.createDataFrame([(7, "a"), (7, "b"), (1000, "c")], "id bigint, v string"), folder, ["id"], [F.desc("v")])
+    assert before <= files_below(f"{folder}/data") and len(files_below(f"{folder}/data") - before) <= 2
+    got = {r["id"]: r["v"] for r in keyed.read_keyed(spark, folder).collect()}
+    assert got == {**{i: "old" for i in range(500)}, 7: "b", 1000: "c"}
+    keyed.expire_versions(spark, folder)
+    assert len(before - files_below(f"{folder}/data")) in (1, 2)
+    assert {r["id"]: r["v"] for r in keyed.read_keyed(spark, folder).collect()} == got
+
+
+def test_a_batch_that_failed_leaves_no_trace(spark, folder, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "id bigint, v string")
+    keyed.upsert_keyed(rows((1, "a"), (2, "a")), folder, ["id"], [F.col("v")], version=1)
+    real = keyed._manifest
+
+    def lost(*args):
+        monkeypatch.setattr(keyed, "_manifest", real)
+        raise OSError("executor lost")
+
+    # the rows of version 2 are written, its manifest isn't
+    rows((9, "half")).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{folder}/data/version=000000002")
+    assert {r["id"] for r in keyed.read_keyed(spark, folder).collect()} == {1, 2}
+    monkeypatch.setattr(keyed, "_manifest", lost)
+    with pytest.raises(OSError):
+        keyed.upsert_keyed(rows((2, "b")), folder, ["id"], [F.col("v")], version=2)
+    for _ in range(2):  # the replay, and one more of what is there already
+        assert keyed.upsert_keyed(rows((2, "b"), (3, "c")), folder, ["id"], [F.col("v")], version=2) == 2
+    assert sorted(map(tuple, keyed.read_keyed(spark, folder).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_keyed_tables_take_empty_batches_and_null_keys(spark, folder):
+    rows = lambda *r: spark.createDataFrame(r, "id bigint, v string")
+    assert keyed.upsert_keyed(rows(), folder, ["id"], [F.col("v")]) == 1
+    with pytest.raises(FileNotFoundError):
+        keyed.read_keyed(spark, folder)
+    keyed.upsert_keyed(rows((None, "n"), (1, None)), folder, ["id"], [F.col("v")])
+    assert sorted(map(tuple, keyed.read_keyed(spark, folder).collect()), key=str) == [(1, None), (None, "n")]
 
 
 def png(path, rgb):
