@@ -2,9 +2,9 @@
 
 Words are counted over all training documents. Very frequent words are classes of their own, the others
 share classes by their ending: P(text) = P(classes) * product of P(word | class). Baum-Welch passes sum
-expected counts over all tasks; the scaled forward recursion gives the exact likelihood. Documents run in
-segments side by side: each segment's transfer matrix joins it with its neighbours, so segments of a document
-see exactly what an unbroken recursion would. Counts of rare words are joined, not broadcast.
+expected counts over all tasks; the scaled forward recursion gives the exact likelihood. Documents run side by side,
+token by token; long ones in segments, whose transfer matrices join them with their neighbours, so that segments of a
+document see exactly what an unbroken recursion would. Counts of rare words are joined, not broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ PASSES = 6
 # Most words with a class of their own, classes by ending, and words whose counts go to every task.
 OWN, ENDINGS, HEAD = 1024, 1024, 1 << 17
 END = b"\n"
-_SEGMENT, _TOKENS, _FLUSH = 64, 1 << 18, 300_000
+_SEGMENT, _TOKENS, _FLUSH = 64, 1 << 19, 300_000
+# Longer sequences are cut into segments; the others run token by token, many at a time.
+_LONG = 2048
 _ADD = 0.01
 
 
@@ -106,6 +108,7 @@ class Hmm:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.of_class = np.ascontiguousarray(emit.T)  # (class, state)
 
     @classmethod
     def first(cls, weight: np.ndarray, states: int, seed: int = 7) -> Hmm:
@@ -122,8 +125,60 @@ class Hmm:
         return cls(norm(start), norm(move), norm(emit))
 
 
+class _Rows:
+    """Sequences worked on side by side, the longest first; all that belongs to one position lies together."""
+
+    def __init__(self, model: Hmm, sequences: list[np.ndarray]):
+        self.model = model
+        lengths = np.array([len(s) for s in sequences])
+        self.order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[self.order]
+        self.active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # sequences that reach a position
+        self.offset = np.cumsum(self.active) - self.active
+        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.x = np.empty(len(position), np.int64)
+        self.x[self.offset[position] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
+        self.row = np.arange(len(self.x)) - np.repeat(self.offset, self.active)
+
+    def forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State shares after each token, its scale, and the emissions divided by the scales."""
+        emitted = self.model.of_class[self.x]
+        shares, scales, ones = np.empty_like(emitted), np.empty(len(self.x)), np.ones(len(self.model.start))
+        now = np.broadcast_to(self.model.start, (self.active[0], len(ones)))
+        for t, (at, n) in enumerate(zip(self.offset.tolist(), self.active.tolist(), strict=True)):
+            step = (now[:n] @ self.model.move if t else now) * emitted[at : at + n]
+            scale = step @ ones
+            step /= scale[:, None]
+            shares[at : at + n], scales[at : at + n], now = step, scale, step
+        emitted /= scales[:, None]
+        return shares, scales, emitted
+
+    def log_likelihood(self) -> np.ndarray:
+        """Of each sequence, in the order given."""
+        out = np.empty(len(self.order))
+        out[self.order] = np.bincount(self.row, np.log(self.forward()[1]), len(self.order))
+        return out
+
+    def expected(self) -> np.ndarray:
+        """Expected counts of starts, transitions and emissions, flat."""
+        shares, _, emitted = self.forward()
+        size = self.model.emit.shape[1]
+        behind, back = np.ones_like(shares), self.model.move.T.copy()
+        for t in reversed(range(1, len(self.active))):
+            at, n, before = self.offset[t], self.active[t], self.offset[t - 1]
+            came = emitted[at : at + n]
+            came *= behind[at : at + n]
+            behind[before : before + n] = came @ back
+        first = self.active[0]
+        previous = np.repeat(self.offset[:-1], self.active[1:]) + self.row[first:]
+        move = shares[previous].T @ emitted[first:] * self.model.move
+        shares *= behind
+        emit = [np.bincount(self.x, shares[:, s], size) for s in range(shares.shape[1])]
+        return np.concatenate([shares[:first].sum(0), move.ravel(), *emit])
+
+
 class _Batch:
-    """Sequences cut into segments that are worked on side by side."""
+    """Long sequences cut into segments that are worked on side by side."""
 
     def __init__(self, model: Hmm, sequences: list[np.ndarray]):
         self.model = model
@@ -140,7 +195,7 @@ class _Batch:
         self.x = self.x.T.copy()
         self.opening = np.zeros(n, bool)
         self.opening[self.first] = True
-        self.e = model.emit.T[self.x]  # (position, segment, state)
+        self.e = model.of_class[self.x]  # (position, segment, state)
         self.order = np.argsort(-self.pieces, kind="stable")
 
     def transfer(self) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +238,10 @@ class _Batch:
             total[on] += np.log(scale) + logs[seg]
         return before, total
 
+    def log_likelihood(self) -> np.ndarray:
+        """Of each sequence."""
+        return self.chain(*self.transfer())[1]
+
     def after(self, p: np.ndarray) -> np.ndarray:
         """Backward message behind each segment."""
         k = len(self.model.start)
@@ -252,12 +311,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield keys, sequences
 
 
+def _by_length(sequences: list[np.ndarray]) -> Iterator[tuple[type, list[int]]]:
+    """The way to work on them and which of the sequences go that way."""
+    for kind, part in ((_Rows, [i for i, s in enumerate(sequences) if len(s) <= _LONG]), (_Batch, [i for i, s in enumerate(sequences) if len(s) > _LONG])):
+        if part:
+            yield kind, part
+
+
 def _expect(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for _, sequences in _groups(batches):
-            counts = _Batch(model.value, sequences).expected()
-            total = counts if total is None else total + counts
+            for kind, part in _by_length(sequences):
+                counts = kind(model.value, [sequences[i] for i in part]).expected()
+                total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
 
@@ -266,8 +333,10 @@ def _expect(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 def sequence_log10(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each class sequence."""
-    batch = _Batch(model, sequences)
-    return batch.chain(*batch.transfer())[1] / math.log(10)
+    out = np.empty(len(sequences))
+    for kind, part in _by_length(sequences):
+        out[part] = kind(model, [sequences[i] for i in part]).log_likelihood()
+    return out / math.log(10)
 
 
 def _likelihood(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -233,6 +233,65 @@ def test_expected_counts_and_training():
     assert hmm.sequence_log10(better, sequences).sum() > hmm.sequence_log10(model, sequences).sum()
 
 
+def test_both_ways_of_working_agree():
+    rng = np.random.default_rng(9)
+    model = hmm.Hmm(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(30), 4))
+    sequences = [rng.integers(0, 30, n).astype(np.uint16) for n in (1, 1, 2, 64, 65, 7, 400, 90, 2048)]
+    rows, batch = hmm._Rows(model, sequences), hmm._Batch(model, sequences)
+    assert rows.log_likelihood() == pytest.approx(batch.log_likelihood(), abs=1e-8)
+    assert hmm._Rows(model, sequences).expected() == pytest.approx(batch.expected(), abs=1e-8)
+
+
+def test_lm_query_equals_plain_recursions(spark):
+    """Counts, Baum-Welch and scaled forward recursion of the query, one token after another."""
+    texts = {r.doc_id: (r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    words = {i: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))] + [hmm.END] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    counts = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
+    known, _ = hmm.word_classes(spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long"))
+    own = {w: i for w, i in known.index.items() if i < known.own}
+    classes = {i: [own[w] if w in own else known.ending(w) for w in ws] for i, ws in words.items()}
+    shared = collections.defaultdict(list)
+    for w, c in counts.items():
+        if w not in own:
+            shared[known.ending(w)].append(c)
+    norm = {c: sum(shared[c]) + len(shared[c]) + 1 for ws in classes.values() for c in ws}
+    model = hmm.Hmm.first(known.weight, hmm.STATES)
+
+    def forward(x):
+        alpha, scales, now = [], [], None
+        for c in x:
+            now = (model.start if now is None else now @ model.move) * model.emit[:, c]
+            scales.append(now.sum())
+            now = now / scales[-1]
+            alpha.append(now)
+        return alpha, scales
+
+    for _ in range(hmm.PASSES):
+        start, move, emit = np.zeros(hmm.STATES), np.zeros_like(model.move), np.zeros_like(model.emit)
+        for i, x in classes.items():
+            if held[i]:
+                continue
+            alpha, scales = forward(x)
+            beta = np.ones(hmm.STATES)
+            for t in range(len(x) - 1, -1, -1):
+                emit[:, x[t]] += alpha[t] * beta
+                if t:
+                    came = model.emit[:, x[t]] * beta / scales[t]
+                    move += np.outer(alpha[t - 1], came) * model.move
+                    beta = model.move @ came
+            start += alpha[0] * beta
+        model = hmm.Hmm.from_counts(np.concatenate([start, move.ravel(), emit.ravel()]), hmm.STATES)
+    n, v = sum(counts.values()), len(counts)
+    for r in QUERIES["op5_lm_score"](spark, SF).collect():
+        ws = words[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(w in counts for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
+        rest = sum(math.log10((counts[w] + 1) / norm[c]) for w, c in zip(ws, classes[r.doc_id], strict=True) if w not in own)
+        assert r.score == pytest.approx(sum(map(math.log10, forward(classes[r.doc_id])[1])) + rest, rel=1e-7)
+
+
 def test_scores_with_rare_words(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(["the cat sat", "the dog sat on the mat", None, "a zebra", "The cat"] * 8)]
     got = hmm.score_documents(frame(spark, rows), passes=1, own=1, head=2).collect()
