@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ PASSES = 6
 OWN, ENDINGS, HEAD = 1024, 1024, 1 << 17
 END = b"\n"
 _SEGMENT, _TOKENS, _FLUSH = 64, 1 << 19, 300_000
-# Longer sequences are cut into segments; the others run token by token, many at a time.
-_LONG = 2048
+# Sequences up to each of these lengths run token by token, many of like length at a time; longer ones in segments.
+_LENGTHS = (1024, 16_384)
 _ADD = 0.01
 
 
@@ -83,11 +85,11 @@ def _encode(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             rows = []
             for text in batch.column("_text").to_pylist():
                 words = tokens(text)
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                at = np.array(list(map(get, words, repeat(-1))), np.int64)
                 frequent = at >= 0
                 classes = np.empty(len(words), np.uint16)
                 classes[frequent] = known.cls[at[frequent]]
-                rare = [words[i] for i in np.flatnonzero(~frequent)]
+                rare = [words[i] for i in np.flatnonzero(~frequent).tolist()]
                 classes[~frequent] = [known.ending(w) for w in rare]
                 counted = known.log_count[at[frequent]]
                 shared = at[frequent] >= known.own
@@ -294,26 +296,26 @@ class _Batch:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Row keys and class sequences, a bounded number of tokens at a time (a longer sequence comes alone)."""
-    keys: list[int] = []
-    sequences: list[np.ndarray] = []
-    size = 0
+    """Row keys and class sequences of like length, a bounded number of tokens at a time (a longer sequence comes alone)."""
+    held: list[tuple[list[int], list[np.ndarray]]] = [([], []) for _ in range(len(_LENGTHS) + 1)]
+    sizes = [0] * len(held)
     for batch in batches:
         for key, raw in zip(batch.column("_row").to_pylist(), batch.column("classes").to_pylist(), strict=True):
             sequence = np.frombuffer(raw, np.uint16)
-            if sequences and size + len(sequence) > _TOKENS:
-                yield keys, sequences
-                keys, sequences, size = [], [], 0
-            keys.append(key)
-            sequences.append(sequence)
-            size += len(sequence)
-    if sequences:
-        yield keys, sequences
+            kind = bisect_left(_LENGTHS, len(sequence))
+            if held[kind][0] and sizes[kind] + len(sequence) > _TOKENS:
+                yield held[kind]
+                held[kind], sizes[kind] = ([], []), 0
+            held[kind][0].append(key)
+            held[kind][1].append(sequence)
+            sizes[kind] += len(sequence)
+    yield from (group for group in held if group[0])
 
 
 def _by_length(sequences: list[np.ndarray]) -> Iterator[tuple[type, list[int]]]:
     """The way to work on them and which of the sequences go that way."""
-    for kind, part in ((_Rows, [i for i, s in enumerate(sequences) if len(s) <= _LONG]), (_Batch, [i for i, s in enumerate(sequences) if len(s) > _LONG])):
+    long = [i for i, s in enumerate(sequences) if len(s) > _LENGTHS[-1]]
+    for kind, part in ((_Rows, [i for i, s in enumerate(sequences) if len(s) <= _LENGTHS[-1]]), (_Batch, long)):
         if part:
             yield kind, part
 
