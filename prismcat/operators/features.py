@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from prismcat.functions.columns import blank_to_null, first_truthy
 from prismcat.functions.vectors import doubles, euclid
-from prismcat.operators.numbering import exact_quantiles, with_global_index, with_group_index
+from prismcat.operators.numbering import exact_quantiles, with_global_index
+from prismcat.operators.skew import MIN_HOT_ROWS, lookup_join
 from prismcat.session import materialise
 
 
@@ -40,15 +41,18 @@ def class_index(df: DataFrame, key: str) -> DataFrame:
     return with_global_index(df.select(key).distinct(), [F.col(key)], "class_idx")
 
 
-def triplets(listing: DataFrame, seed: int = 42) -> DataFrame:
+def triplets(listing: DataFrame, seed: int = 42, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """As many (anchor, positive, negative) rows as images in the listing (print_id, path).
 
     Picks are hashes of the triplet number, so they repeat exactly. The positive differs from the
     anchor when its class has more than one image; the negative comes from another class. Fewer than
-    two classes is an error. Images are looked up by (class, position), which spreads a big class.
+    two classes is an error. Images are numbered once in the order of class and path, so a class is a stretch of
+    numbers and an image is looked up by its number; numbers that very many triplets pick, as those of the only
+    image of a class, are salted.
     """
-    images = materialise(with_group_index(listing, ["print_id"], [F.col("path")], "pos"), "triplet-images")
-    sizes = images.groupBy("print_id").agg(F.count(F.lit(1)).alias("size"))
+    listing = listing.select("print_id", "path")
+    images = materialise(with_global_index(listing, [F.col("print_id"), F.col("path")], "at"), "triplet-images")
+    sizes = images.groupBy("print_id").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("start"))
     classes = materialise(with_global_index(sizes, [F.col("print_id")], "cls"), "triplet-classes")
     figures = classes.agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("n")).collect()[0]
     n_classes, n_images = figures["k"], figures["n"] or 0
@@ -66,22 +70,24 @@ def triplets(listing: DataFrame, seed: int = 42) -> DataFrame:
     def add_class(df: DataFrame, prefix: str) -> DataFrame:
         side = classes.select(
             F.col("cls").alias(f"{prefix}_cls"), F.col("print_id").alias(f"{prefix}_id"),
-            F.col("size").alias(f"{prefix}_size"),
+            F.col("size").alias(f"{prefix}_size"), F.col("start").alias(f"{prefix}_start"),
         )
         return df.join(side, f"{prefix}_cls")
 
-    def add_path(df: DataFrame, card: str, pos: str, name: str) -> DataFrame:
-        side = images.select(F.col("print_id").alias(card), F.col("pos").alias(pos), F.col("path").alias(name))
-        return df.join(side, [card, pos])
-
     rows = add_class(add_class(base, "a"), "n")
     rows = rows.withColumn("a_pos", pick("anchor", F.col("a_size")))
     step = F.when(F.col("a_size") > 1, 1 + pick("positive", F.greatest(F.col("a_size") - 1, F.lit(1)))).otherwise(0)
-    rows = rows.withColumn("p_pos", (F.col("a_pos") + step) % F.col("a_size"))
-    rows = rows.withColumn("n_pos", pick("negative", F.col("n_size")))
-    rows = add_path(rows, "a_id", "a_pos", "anchor")
-    rows = add_path(rows, "a_id", "p_pos", "positive")
-    rows = add_path(rows, "n_id", "n_pos", "negative")
+    rows = rows.withColumns(
+        {
+            "anchor_at": F.col("a_start") + F.col("a_pos"), "positive_at": F.col("a_start") + (F.col("a_pos") + step) % F.col("a_size"),
+            "negative_at": F.col("n_start") + pick("negative", F.col("n_size")),
+        }
+    ).select("triplet", "a_id", "n_id", "a_cls", "anchor_at", "positive_at", "negative_at")
+    drawn = materialise(rows, "triplet-picks")
+    rows = drawn
+    for name in ("anchor", "positive", "negative"):
+        side = images.select(F.col("at").alias(f"{name}_at"), F.col("path").alias(name))
+        rows = lookup_join(rows, side, [f"{name}_at"], F.col("triplet"), "inner", min_rows, count_on=drawn)
     return rows.select(
         "triplet", F.col("a_id").alias("print_id"), F.col("n_id").alias("negative_print_id"),
         "anchor", "positive", "negative", F.col("a_cls").alias("label"),

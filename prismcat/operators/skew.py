@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/MAX_HOT of all rows, so there are never more than
-# MAX_HOT hot keys.
-MAX_HOT = 1000
+# A key is hot when it holds more rows than one piece should, and is cut into pieces of that many.
 MIN_HOT_ROWS = 200_000
+# Most hot keys that are looked for; the others are below 1/MAX_HOT of the rows. A broadcast row for each (16 bytes).
+MAX_HOT = 50_000
 # Counters of the frequent-items sketch; its error stays well below 1/MAX_HOT of the rows.
-_TRACKED = 10_000
+_TRACKED = 500_000
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -19,28 +19,16 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> dict[int, int]:
-    """Hash of every hot key -> number of pieces to split it into (each about 1/MAX_HOT of the table).
+    """Hash of every hot key -> number of pieces to split it into, of about ``min_rows`` each.
 
     One pass over the key columns with a frequent-items sketch: tasks send their counters, no key is
     shuffled, and at most MAX_HOT entries come back. Finding one key too many or too few changes the
     balance of a join, never its result.
     """
-    found = df.select(key_hash(keys).alias("_h")).agg(
-        F.expr(f"approx_top_k(_h, {MAX_HOT}, {_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+    found = df.select(key_hash(keys).alias("_h")).agg(F.expr(f"approx_top_k(_h, {MAX_HOT}, {_TRACKED})").alias("top")).select(
+        F.filter("top", lambda t: t["count"] > min_rows).alias("top")
     ).head()
-    total = found["n"]
-    return {
-        r["item"]: -(-r["count"] * MAX_HOT // total)
-        for r in found["top"] or [] if r["count"] > min_rows and r["count"] * MAX_HOT > total
-    }
-
-
-def _pieces(keys: list[str], hot: dict[int, int]) -> Column:
-    """Number of pieces of a row's key, 1 unless it is hot."""
-    table = F.map_from_arrays(
-        F.array(*[F.lit(h).cast("bigint") for h in hot]), F.array(*[F.lit(n).cast("int") for n in hot.values()])
-    )
-    return F.coalesce(F.try_element_at(table, key_hash(keys)), F.lit(1))
+    return {r["item"]: -(-r["count"] // min_rows) for r in found["top"] or []}
 
 
 def lookup_join(
@@ -64,6 +52,13 @@ def lookup_join(
     hot = hot_keys(facts if count_on is None else count_on, keys, min_rows)
     if not hot:
         return facts.join(lookup, keys, how)
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), _pieces(keys, hot)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), _pieces(keys, hot) - 1)))
+    # at most MAX_HOT rows
+    pieces = F.broadcast(facts.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _pieces int"))
+
+    def with_pieces(side: DataFrame) -> DataFrame:
+        return side.withColumn("_key", key_hash(keys)).join(pieces, F.col("_key") == F.col("_hot"), "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+
+    helpers = ("_key", "_hot", "_pieces")
+    left = with_pieces(facts).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_pieces")).cast("int")).drop(*helpers)
+    right = with_pieces(lookup).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop(*helpers)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
