@@ -119,11 +119,10 @@ def g15_values(spark, sf) -> DataFrame:
  concat_ws(chr(9), coalesce(name, ''), coalesce(set_code, ''), coalesce(collector_number, ''), CAST(e.print_id AS VARCHAR)) AS metadata_line
  FROM v_emb e LEFT JOIN v_cards k ON k.print_id = e.print_id""")
 def s09(spark, sf) -> DataFrame:
-    """Both files written, read back and matched up by line."""
+    """Both files written in one job, read back and matched line by line."""
     fields = cards(spark, sf).select("print_id", "name", "set_code", "collector_number")
     rows = emb(spark, sf).join(fields, "print_id", "left")
     lines = reports.projector_lines(rows, [F.col("emb_id")])
     folder = scratch_path(spark, "projector")
     reports.write_projector(lines, folder)
-    written = spark.read.text(f"{folder}/vectors").select(F.col("value").alias("vector_line")).distinct()
-    return lines.join(written, "vector_line", "left_semi").select("line", "vector_line", "metadata_line")
+    return reports.read_projector(spark, folder).where("line >= 0")

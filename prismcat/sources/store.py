@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +19,21 @@ from prismcat.operators.catalogue import upsert
 def decode_blob(blob: Column, dim: int) -> Column:
     """Little-endian float32 bytes to a vector; a wrong length is an error."""
 
-    @F.pandas_udf("array<float>")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            vectors = [None if b is None else np.frombuffer(b, dtype="<f4") for b in batch]
-            wrong = next((v.size for v in vectors if v is not None and v.size != dim), None)
-            if wrong is not None:
-                raise ValueError(f"embedding has dimension {wrong}, expected {dim}")
-            yield pd.Series(vectors)
+            known = pc.is_valid(batch).to_numpy(zero_copy_only=False)
+            filled = pc.fill_null(batch, b"")
+            sizes = pc.binary_length(filled).to_numpy(zero_copy_only=False)
+            wrong = sizes[known & (sizes != 4 * dim)]
+            if len(wrong):
+                raise ValueError(f"embedding has dimension {wrong[0] / 4:g}, expected {dim}")
+            # the bytes of a batch are one stretch of memory, vector behind vector
+            offsets = np.frombuffer(filled.buffers()[1], np.int32)[filled.offset : filled.offset + len(filled) + 1]
+            data = filled.buffers()[2]
+            flat = np.frombuffer(data[int(offsets[0]) : int(offsets[-1])], "<f4") if known.any() else np.empty(0, "<f4")
+            ends = np.concatenate([[0], np.cumsum(np.where(known, dim, 0))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=pa.array(~known))
 
     return decode(blob)
 
@@ -33,10 +41,14 @@ def decode_blob(blob: Column, dim: int) -> Column:
 def encode_blob(vec: Column) -> Column:
     """Vector to little-endian float32 bytes, for exchange with blob stores."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            flat = batch.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            ends = 4 * np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            yield pc.if_else(pc.is_valid(batch), blobs, pa.scalar(None, pa.binary()))
 
     return encode(vec)
 

@@ -140,17 +140,25 @@ def test_projector_files_align(spark, folder):
         "id", "CASE WHEN id % 10 = 0 THEN NULL ELSE array(cast(id as float), cast(0.5 as float)) END AS emb",
         "'n' || id || '\t' AS name", "CASE WHEN id % 2 = 0 THEN 's' END AS set_code", "'1' AS collector_number", "id AS print_id",
     )
-    reports.write_projector(reports.projector_lines(rows, [F.col("id")]), folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        reports.write_projector(reports.projector_lines(rows, [F.col("id")]), folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
     def lines(name):
-        parts = sorted(p for p in os.listdir(f"{folder}/{name}") if p.startswith("part-"))
-        return [line for p in parts for line in open(f"{folder}/{name}/{p}").read().splitlines()]
+        parts = sorted(p for p in os.listdir(f"{folder}/file={name}") if p.startswith("part-"))
+        return [line for p in parts for line in open(f"{folder}/file={name}/{p}").read().splitlines()]
 
     vectors, meta = lines("vectors"), lines("metadata")
     assert meta[0] == "name\tset_code\tcollector_number\tprint_id" and len(vectors) == len(meta) - 1 == 270
     for v, m in zip(vectors, meta[1:]):
         assert float(v.split("\t")[0]) == float(m.split("\t")[3])
     assert vectors[0] == "1.00000000\t0.50000000"
+    back = sorted(map(tuple, reports.read_projector(spark, folder).collect()))
+    assert back == [(-1, None, meta[0]), *((i, v, m) for i, (v, m) in enumerate(zip(vectors, meta[1:])))]
+    numbers = [{p.split("-")[1] for p in os.listdir(f"{folder}/file={n}") if p.startswith("part-")} for n in ("vectors", "metadata")]
+    assert numbers[0] == numbers[1] and len(numbers[0]) > 1
     limited = reports.projector_lines(rows, [F.col("id")], limit=5)
     assert limited.count() == 5
 
