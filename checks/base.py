@@ -118,7 +118,8 @@ def pixel_images(spark: SparkSession, sf: str) -> DataFrame:
     Dimension p gives the blue byte of pixel p, dimensions p+21 and p+42 (mod 64) green and red.
     """
     level = "cast(floor((greatest(-0.5D, least(0.5D, cast(e as double))) + 0.5D) * 255) as int)"
-    t = table(spark, sf, "embeddings").selectExpr(
+    # dealt out before there are pixels, as a folder scan deals out files
+    t = table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id").selectExpr(
         "vec_id", "label", f"transform(embedding, e -> {level}) AS v"
     )
     shifted = t.select(

@@ -203,12 +203,25 @@ def i04i(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.blur(img, 1.0))
 
 
-@query("i04j_rotation")
+def _sampled(sy: str, sx: str) -> str:
+    """Pixels looked up at fractional places between four neighbours; what lies outside is white."""
+    return f"""s AS (SELECT label, vec_id, y, x, {sy} AS sy, {sx} AS sx FROM p0),
+ n AS (SELECT label, vec_id, y, x, floor(sy) + a AS ny, floor(sx) + b AS nx, (CASE a WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END)
+  * (CASE b WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w FROM s, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+ p AS (SELECT n.label, n.vec_id, n.y, n.x, sum(w * coalesce(q.r, 255)) AS r, sum(w * coalesce(q.g, 255)) AS g, sum(w * coalesce(q.b, 255)) AS b
+  FROM n LEFT JOIN p0 q ON q.label = n.label AND q.vec_id = n.vec_id AND q.y = n.ny AND q.x = n.nx GROUP BY ALL)"""
+
+
+_TURNED = _sampled("3.5 + (y - 3.5) * cos(radians(5)) + (x - 3.5) * sin(radians(5))", "3.5 + (x - 3.5) * cos(radians(5)) - (y - 3.5) * sin(radians(5))")
+_NARROWED = _sampled("y::DOUBLE", "(x - (1 - y / 7.0::DOUBLE)) / greatest(7 - 2 * (1 - y / 7.0::DOUBLE), 1) * 7")
+
+
+@query("i04j_rotation", _effect_sql("r", "g", "b", _TURNED))
 def i04j(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.rotate(img, 5.0, 255.0))
 
 
-@query("i04k_perspective")
+@query("i04k_perspective", _effect_sql("r", "g", "b", _NARROWED))
 def i04k(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.trapezoid(img, 1.0, 255.0))
 

@@ -130,13 +130,6 @@ def range_hints(reference: DataFrame, camera: DataFrame) -> DataFrame:
     )
 
 
-def balanced(images: DataFrame) -> DataFrame:
-    """Spread images evenly before work that takes far longer than moving them (augmentation)."""
-    spark = images.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return images.repartition(parts, "origin")
-
-
 def _with_seeds(images: DataFrame, n: int, seed: int) -> DataFrame:
     """One seed per variant from the path, so a retried task draws the same effects again."""
     seeds = F.transform(
@@ -146,7 +139,10 @@ def _with_seeds(images: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def augment_images(images: DataFrame, n: int, cfg: dict | None = None, seed: int = 42) -> DataFrame:
-    """The original (variant 0) and n camera-like variants of every image."""
+    """The original (variant 0) and n camera-like variants of every image.
+
+    Pixels stay in the task that read them; ``image_splits`` keeps the tasks of a folder scan small.
+    """
     settings = cfg or P.camera_config()
 
     def one(row, rgb):
@@ -154,7 +150,7 @@ def augment_images(images: DataFrame, n: int, cfg: dict | None = None, seed: int
             out = rgb if variant == 0 else P.camera_like(rgb, int(s), settings)
             yield (*_struct_row(row.origin, out), variant)
 
-    return map_images(_with_seeds(balanced(images), n, seed), one, IMAGE_STRUCT + ", variant int")
+    return map_images(_with_seeds(images, n, seed), one, IMAGE_STRUCT + ", variant int")
 
 
 def effect_images(images: DataFrame, effect: Callable, seed: int = 42) -> DataFrame:
@@ -187,7 +183,7 @@ def variant_tensors(
             yield row.origin, variant, P.normalise(P.to_tensor(view)).ravel().astype(np.float32)
 
     schema = "origin string, variant int, tensor array<float>"
-    return map_images(_with_seeds(balanced(images), n, seed), one, schema)
+    return map_images(_with_seeds(images, n, seed), one, schema)
 
 
 def encode(

@@ -16,7 +16,7 @@ from prismcat.operators.catalogue import backfill_logical_id, upsert
 from prismcat.operators.groups import expected_vectors, export_audit, export_records
 from prismcat.schemas import embedding_key, image_key
 from prismcat.session import materialise
-from prismcat.sources.images import read_images
+from prismcat.sources.images import image_splits, read_images
 from prismcat.sources.store import read_store, replace_mode
 
 
@@ -115,7 +115,8 @@ def run_export(
     upserted.
     """
     readable, unreadable = read_images(spark, folder)
-    encoded = materialise(encoded_variants(readable, make_model, settings, size_hw, box), "encoded")
+    with image_splits(spark):
+        encoded = materialise(encoded_variants(readable, make_model, settings, size_hw, box), "encoded")
     rows = export_rows(encoded, cards, settings, root)
     replace_mode(rows, store_path, settings.mode, dim)
     written = read_store(spark, store_path).where(F.col("mode") == settings.mode)

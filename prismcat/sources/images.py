@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,23 @@ from prismcat.sources.files import list_files
 _GLOB = "*.{" + ",".join([*IMAGE_SUFFIXES, *[s.upper() for s in IMAGE_SUFFIXES]]) + "}"
 IMAGE_STRUCT = "origin string, height int, width int, nChannels int, mode int, data binary"
 
+# Bytes of image files that one task reads for work that takes far longer than reading (augmentation, encoding).
+SPLIT_BYTES = 8 << 20
+
+
+@contextmanager
+def image_splits(spark: SparkSession, split_bytes: int = SPLIT_BYTES) -> Iterator[None]:
+    """Folder scans of the jobs run inside are dealt out by file size, ``split_bytes`` to a task, so no image is shuffled."""
+    keys = {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.openCostInBytes": str(split_bytes // 64)}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def only_images(listing: DataFrame) -> DataFrame:
     """The paths with an image suffix, in any case."""
