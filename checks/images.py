@@ -226,6 +226,53 @@ def i04k(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.trapezoid(img, 1.0, 255.0))
 
 
+def _hex_sql(where: str = "true") -> str:
+    return f"string_agg(printf('%02X%02X%02X', CAST(b * 255 AS INT), CAST(g * 255 AS INT), CAST(r * 255 AS INT)), '' ORDER BY y, x) FILTER ({where})"
+
+
+def _with_bytes(after: DataFrame, spark, sf) -> DataFrame:
+    """(origin, pairs, code): each byte of a changed picture next to the original one, and all its bytes in hex."""
+    level = lambda c: F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.conv(F.substring(F.hex(c), 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    before = pixel_images(spark, sf).select("origin", level(F.col("data")).alias("old"))
+    now = after.select("origin", level(F.col("data")).alias("new"), F.hex("data").alias("code"))
+    return now.join(before, "origin").select("origin", F.arrays_zip("old", "new").alias("pairs"), "code")
+
+
+@query("i04g_noise_limits", f"""WITH {V_PIXELS} SELECT {ORIGIN_SQL} AS origin, {_hex_sql()} AS without, true AS near, true AS changed FROM v_px GROUP BY label, vec_id""")
+def i04g_limits(spark, sf) -> DataFrame:
+    """No deviation leaves every byte; a deviation of 0.02 moves some and none by more than six times as much."""
+    quiet = I.effect_images(pixel_images(spark, sf), lambda img, rng: P.noise(img, 0.0, rng)).select("origin", F.hex("data").alias("without"))
+    loud = _with_bytes(I.effect_images(pixel_images(spark, sf), lambda img, rng: P.noise(img, 0.02, rng)), spark, sf)
+    near = F.forall("pairs", lambda p: F.abs(p["old"] - p["new"]) <= 6 * 0.02 * 255 + 1)
+    changed = F.exists("pairs", lambda p: p["old"] != p["new"])
+    return quiet.join(loud, "origin").select("origin", "without", near.alias("near"), changed.alias("changed"))
+
+
+@query("i04l_shadow_limits", f"""WITH {V_PIXELS} SELECT {ORIGIN_SQL} AS origin, {_hex_sql("y >= 6")} AS lower_rows, true AS explained, true AS right_size FROM v_px GROUP BY label, vec_id""")
+def i04l_limits(spark, sf) -> DataFrame:
+    """Bytes are the old ones or darkened by the fixed share, in 4 to 16 pixels; the lower rows are out of reach."""
+    both = _with_bytes(I.effect_images(pixel_images(spark, sf), lambda img, rng: P.shadow(img, rng)), spark, sf)
+    dark = lambda p: F.floor(p["old"] * 180 / 255 + 1e-6)
+    moved = F.size(F.filter("pairs", lambda p: p["old"] != p["new"]))
+    return both.select(
+        "origin", F.substring("code", 289, 96).alias("lower_rows"), F.forall("pairs", lambda p: (p["new"] == p["old"]) | (p["new"] == dark(p))).alias("explained"),
+        (moved <= 3 * 16).alias("right_size"),
+    )
+
+
+@query("i05_plain_views", f"""WITH {V_PIXELS}, t AS (SELECT label, vec_id, 0 AS c, y, x, (r - 0.485) / 0.229 AS v FROM v_px UNION ALL
+ SELECT label, vec_id, 1, y, x, (g - 0.456) / 0.224 FROM v_px UNION ALL SELECT label, vec_id, 2, y, x, (b - 0.406) / 0.225 FROM v_px)
+ SELECT {ORIGIN_SQL} AS origin, CAST(c * 64 + y * 8 + x AS INT) AS pos, {sql6("CAST(CAST(v AS FLOAT) AS DOUBLE)", "value")}, true AS in_range FROM t""")
+def i05_plain(spark, sf) -> DataFrame:
+    """Views with every draw switched off are the normalised pictures; with them on they stay in the range of bytes."""
+    plain = I.training_views(pixel_images(spark, sf), {"size": (8, 8)}).select("origin", F.posexplode("tensor").alias("pos", "value"))
+    drawn = I.training_views(pixel_images(spark, sf), VIEW).select("origin", F.posexplode("tensor").alias("pos", "drawn"))
+    low, high = (F.when(F.col("pos") < 64, a).when(F.col("pos") < 128, b).otherwise(c) for a, b, c in (
+        (-0.485 / 0.229, -0.456 / 0.224, -0.406 / 0.225), (0.515 / 0.229, 0.544 / 0.224, 0.594 / 0.225)))
+    inside = (F.col("drawn") >= low - 1e-5) & (F.col("drawn") <= high + 1e-5)
+    return plain.join(drawn, ["origin", "pos"]).select("origin", "pos", F.round(F.col("value").cast("double"), 6).alias("value"), inside.alias("in_range"))
+
+
 @query("i04l_shadow")
 def i04l(spark, sf) -> DataFrame:
     return _effect(spark, sf, lambda img, rng: P.shadow(img, rng))
