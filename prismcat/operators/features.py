@@ -83,11 +83,12 @@ def triplets(listing: DataFrame, seed: int = 42, min_rows: int = MIN_HOT_ROWS) -
             "negative_at": F.col("n_start") + pick("negative", F.col("n_size")),
         }
     ).select("triplet", "a_id", "n_id", "a_cls", "anchor_at", "positive_at", "negative_at")
-    drawn = materialise(rows, "triplet-picks")
-    rows = drawn
+    # classes are drawn evenly, so no number is picked much more often than a class is
+    crowded = 2 * n_images > min_rows * n_classes
+    drawn = rows = materialise(rows, "triplet-picks") if crowded else rows
     for name in ("anchor", "positive", "negative"):
-        side = images.select(F.col("at").alias(f"{name}_at"), F.col("path").alias(name))
-        rows = lookup_join(rows, side, [f"{name}_at"], F.col("triplet"), "inner", min_rows, count_on=drawn)
+        side, key = images.select(F.col("at").alias(f"{name}_at"), F.col("path").alias(name)), [f"{name}_at"]
+        rows = lookup_join(rows, side, key, F.col("triplet"), "inner", min_rows, count_on=drawn) if crowded else rows.join(side, key)
     return rows.select(
         "triplet", F.col("a_id").alias("print_id"), F.col("n_id").alias("negative_print_id"),
         "anchor", "positive", "negative", F.col("a_cls").alias("label"),
