@@ -6,15 +6,20 @@ set of the benchmark's windows; hits are verified word by word. Only hits are sh
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.llm.common import lower_ascii, numbered, unused
+from prismcat.operators.skew import lookup_join
 from prismcat.session import materialise
 
 WINDOW = 10
-# Above this number of distinct windows (about 30 MB) the set is no longer broadcast by hint.
-BROADCAST_WINDOWS = 200_000
+# Most windows, and bytes of their rows, that one round broadcasts.
+ROUND_WINDOWS = 1_000_000
+ROUND_BYTES = 256 << 20
 # Words of a long document that are scanned in one row.
 STRETCH = 4096
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,34 +32,55 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows: their hash ``h``, length ``n``, words ``gram`` and the ``items`` they are from."""
-    items = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    items = items.withColumn("n", F.least(F.size("w"), F.lit(window)))
-    grams = items.select("item", "n", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))")).alias("gram"))
-    grams = grams.groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
-    return grams.select(F.xxhash64("gram").alias("h"), "n", "gram", "items")
+def benchmark_windows(
+    benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (number ``w``, hash ``h``, length ``n``, words ``gram``), and the items (``w``, ``item``) they are from.
 
+    A window that very many items share is one row of the first table and spread rows of the second.
+    """
+    items = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
+    items = items.withColumn("n", F.least(F.size("words"), F.lit(window)))
+    grams = F.explode(F.expr("transform(sequence(1, size(words) - n + 1), i -> slice(words, i, n))"))
+    placed = materialise(items.select("item", "n", grams.alias("gram")).distinct(), "leak-grams")
+    windows = numbered(placed.select(F.xxhash64("gram").alias("h"), "n", "gram").distinct(), "leak-windows", "w")
+    owned = lookup_join(placed.filter("item IS NOT NULL"), windows.select("w", "n", "gram"), ["n", "gram"], F.col("item"), "inner")
+    return windows, materialise(owned.select("w", "item"), "leak-owners")
 
-def find_hits(texts: DataFrame, windows: DataFrame, text_col: str = "_text", stretch: int = STRETCH) -> DataFrame:
-    """``_row``, ``at`` (word position from 0), ``n``, ``items`` of each verified window in ``texts``.
 
-    Long documents are scanned in stretches that overlap by one word less than the longest window;
-    a window belongs to the stretch it starts in.
-    """
-    lengths = [row.n for row in windows.select("n").distinct().collect()]  # at most WINDOW numbers
-    if not lengths:
-        return texts.sparkSession.createDataFrame([], "_row long, at long, n int, items array<long>")
+def _round_hits(texts: DataFrame, windows: DataFrame, lengths: list[int], text_col: str, stretch: int) -> DataFrame:
+    """Verified hits of one round's windows, found where the texts lie."""
     reach = stretch + max(lengths) - 1
-    cut = texts.select("_row", words(F.col(text_col)).alias("w")).select(
-        "_row", F.posexplode(F.expr(f"transform(sequence(0, greatest(size(w) - 1, 0), {stretch}), s -> slice(w, s + 1, {reach}))")).alias("part", "s")
+    cut = texts.select("_row", words(F.col(text_col)).alias("words")).select(
+        "_row", F.posexplode(F.expr(f"transform(sequence(0, greatest(size(words) - 1, 0), {stretch}), s -> slice(words, s + 1, {reach}))")).alias("part", "s")
     )
     sized = cut.select("*", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("length")).filter("size(s) >= length")
     starts = f"sequence(1, least(size(s) - length + 1, {stretch}))"
     probes = sized.select("_row", "part", "s", "length", F.posexplode(F.expr(f"transform({starts}, i -> xxhash64(slice(s, i, length)))")).alias("i", "h"))
-    side = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
-    found = probes.join(side, "h").filter("n = length AND gram = slice(s, i + 1, length)")
-    return found.select("_row", (F.col("part").cast("long") * stretch + F.col("i")).alias("at"), "n", "items")
+    found = probes.join(F.broadcast(windows), "h").filter("n = length AND gram = slice(s, i + 1, length)")
+    return found.select("_row", (F.col("part").cast("long") * stretch + F.col("i")).alias("at"), "n", "w")
+
+
+def find_hits(
+    texts: DataFrame, windows: DataFrame, text_col: str = "_text", stretch: int = STRETCH,
+    round_windows: int = ROUND_WINDOWS, round_bytes: int = ROUND_BYTES,
+) -> DataFrame:
+    """``_row``, ``at`` (word position from 0), ``n``, ``w`` (number of the window) of each verified window in ``texts``.
+
+    The windows come in rounds of at most about ``round_windows`` and ``round_bytes``, each broadcast by itself,
+    so no word of a text is ever shuffled whatever the benchmark's size; a round's hits are written before the next.
+    Long documents are scanned in stretches that overlap by one word less than the longest window;
+    a window belongs to the stretch it starts in.
+    """
+    weight = F.expr("aggregate(gram, 64L, (b, x) -> b + octet_length(x) + 16)")
+    size = windows.agg(F.collect_set("n").alias("lengths"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("b")).head()
+    if not size.n:
+        return texts.sparkSession.createDataFrame([], "_row long, at long, n int, w long")
+    rounds = max(math.ceil(size.n / round_windows), math.ceil(size.b / round_bytes))
+    parts = (windows.filter(F.pmod(F.xxhash64("w"), F.lit(rounds)) == r) for r in range(rounds))
+    # at most WINDOW different lengths
+    hits = [materialise(_round_hits(texts, part, size.lengths, text_col, stretch), "leak-hits") for part in parts]
+    return reduce(DataFrame.unionByName, hits)
 
 
 def covered_words(hits: DataFrame) -> DataFrame:
@@ -80,9 +106,10 @@ def contamination(
         .withColumn("n_words", F.size(words(F.col("_text"))).cast("long")),
         "leak-texts",
     )
-    windows = materialise(benchmark_windows(benchmark, item_col, item_text, window), "leak-windows")
-    hits = materialise(find_hits(texts, windows), "leak-hits")
-    items = hits.select("_row", F.explode("items").alias("item")).distinct().groupBy("_row").agg(
+    windows, owners = benchmark_windows(benchmark, item_col, item_text, window)
+    hits = find_hits(texts, windows)
+    met = hits.select("_row", "w").distinct()
+    items = lookup_join(met, owners, ["w"], F.col("_row"), "inner").select("_row", "item").distinct().groupBy("_row").agg(
         F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("list")
     )
     found = materialise(covered_words(hits).join(items, "_row", "left"), "leak-found")
@@ -106,9 +133,8 @@ def decontaminate(
     """
     key, spans_col, pattern = (unused(docs, c) for c in ("_row", "_spans", "_pattern"))
     kept_docs = numbered(docs, "leak-docs", key)
-    windows = materialise(benchmark_windows(benchmark, item_col, item_text, window), "leak-windows")
-    hits = find_hits(kept_docs.select(F.col(key).alias("_row"), F.col(text_col).alias("_text")), windows)
-    hits = materialise(hits, "leak-hits").withColumnRenamed("_row", key)
+    windows, _ = benchmark_windows(benchmark, item_col, item_text, window)
+    hits = find_hits(kept_docs.select(F.col(key).alias("_row"), F.col(text_col).alias("_text")), windows).withColumnRenamed("_row", key)
     if remove == "documents":
         return kept_docs.join(hits.select(key).distinct(), key, "left_anti").select(*docs.columns)
     spans = hits.groupBy(key).agg(F.collect_set(F.struct("at", "n")).alias(spans_col))
