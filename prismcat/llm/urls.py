@@ -1,7 +1,8 @@
 """URL filter whose block decisions reach the aliases of a page.
 
-An address is host and path. Allow and block rules fit a host with all its subdomains and a path prefix;
-the longest rule decides. Redirects (refresh) and canonical links join addresses into components, and an
+An address is host and path in their normal form: without the scheme's own port, dot segments resolved, an empty
+path being /. Rules fit a host with all its subdomains and a path prefix, read in a page's url as it is written;
+the longest rule decides. All redirects (refresh) and canonical links of a page join addresses into components, and an
 address without a rule of its own is blocked when any alias is blocked by rule. An explicit rule, allow
 or block, always stands before what aliases bring in.
 """
@@ -30,22 +31,39 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def _targets(host: Column, path: Column, html: Column) -> Column:
-    """Addresses that a page names as its canonical form or redirects to, relative ones resolved."""
+def normal_host(url: Column) -> Column:
+    """Host without the port that its scheme has anyway."""
+    port = F.when(url.rlike("(?i)^http://"), r":(?:80)?$").when(url.rlike("(?i)^https://"), r":(?:443)?$").otherwise(r":$")
+    return F.regexp_replace(host_of(url), port, F.lit(""))
+
+
+def normal_path(path: Column) -> Column:
+    """Path with ``.`` and ``..`` segments resolved; empty: /. One pass over the path for each ``..`` in it."""
+    ended = F.concat(path, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    plain = F.regexp_replace(ended, r"/(?:\./)+", "/")
+    up = r"/(?!\.\./)[^/]*/\.\.(?=/)"
+    left = F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(plain, F.lit(r"/\.\.(?=/)"))), plain, lambda p, _: F.regexp_replace(p, up, ""))
+    return F.when(path == "", "/").when(path.contains("/."), F.regexp_replace(left, r"^(?:/\.\.)+(?=/)", "")).otherwise(path)
+
+
+def _targets(url: Column, html: Column) -> Column:
+    """Addresses that a page names as its canonical forms or redirects to, relative ones resolved, in their normal form."""
+    host, path = normal_host(F.coalesce(url, F.lit(""))), path_of(url)
 
     def address(link: Column) -> Column:
         bare = F.regexp_extract(link, r"^[^?#]*", 0)
+        scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]*:", 0)
+        whole = F.when(bare.startswith("//"), F.concat(scheme, link)).otherwise(link)
+        folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
         return (
-            F.when(link == "", F.lit(None))
-            .when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(host_of(link), path_of(link)))
-            .when(bare.startswith("//"), F.concat(host_of(F.concat(F.lit("x:"), link)), path_of(F.concat(F.lit("x:"), link))))
-            .when(bare.startswith("/"), F.concat(host, bare))
-            .when(bare == "", F.lit(None))
-            .otherwise(F.concat(host, F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", ""), bare))
+            F.when(bare == "", F.lit(None))
+            .when(whole.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(normal_host(whole), normal_path(path_of(whole))))
+            .when(bare.startswith("/"), F.concat(host, normal_path(bare)))
+            .otherwise(F.concat(host, normal_path(F.concat(folder, bare))))
         )
 
     html = F.coalesce(html, F.lit(""))
-    links = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
+    links = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
     return F.filter(F.transform(links, address), lambda a: a.isNotNull())
 
 
@@ -76,10 +94,12 @@ def url_filter(
     rule_table = spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, rule_host string, rule_path string")
     url, html = F.col(url_col), F.col(html_col)
     known = numbered(
-        pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), html.alias("_html"))
-        .select("_id", "host", "path", _targets(F.col("host"), F.col("path"), F.col("_html")).alias("targets")),
+        pages.select(
+            F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"),
+            F.concat(normal_host(F.coalesce(url, F.lit(""))), normal_path(path_of(url))).alias("address"), _targets(url, html).alias("targets"),
+        ),
         "url-pages",
-    ).withColumn("address", F.concat("host", "path"))
+    )
     judged = materialise(known.drop("targets").join(decide(known, rule_table, "_row"), "_row", "left"), "url-judged")
     links = known.filter("host != ''").select(F.col("address").alias("a"), F.explode("targets").alias("b")).filter("a != b")
     aliases = materialise(components(links), "url-aliases")
