@@ -22,9 +22,10 @@ ROUND_WINDOWS = 1_000_000
 ROUND_BYTES = 256 << 20
 # Words of a long document that are scanned in one row.
 STRETCH = 4096
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The complement of [\x00-\x2F\x3A-\x60\x7B-\x7F], as ranges: Java reads these ten times as fast as the negated class.
+_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 # The same words where A-Z are not lower-cased yet.
-_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CASED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -103,7 +104,7 @@ def contamination(
     """
     texts = numbered(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .withColumn("n_words", F.size(words(F.col("_text"))).cast("long")),
+        .withColumn("n_words", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(_CASED)).cast("long")),
         "leak-texts",
     )
     windows, owners = benchmark_windows(benchmark, item_col, item_text, window)

@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import duck
 from prismcat.llm import hmm, quality, secrets, simhash
 from prismcat.llm.components import components
-from prismcat.llm.decontaminate import _round_hits, benchmark_windows, contamination, decontaminate, find_hits
+from prismcat.llm.decontaminate import _round_hits, benchmark_windows, contamination, decontaminate, find_hits, words
 from prismcat.llm.exact import exact_dedup
 from prismcat.llm.lines import line_dedup, line_report
 from prismcat.llm.mixing import mix
@@ -313,6 +314,14 @@ def test_scores_with_rare_words(spark):
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
 
 
+def test_words_are_the_stated_ones(spark):
+    marks = [chr(c) for c in [*range(1, 400), 0x2028, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    texts = ["".join(marks), " ".join(marks), "", " -- ", "Ab9é漢 x"]
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    got = [r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(words(F.col("t")).alias("w")).collect()]
+    assert got == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower)) for t in texts]
+
+
 def test_windows_come_in_rounds(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(30)]
