@@ -58,7 +58,9 @@ def _round_hits(texts: DataFrame, windows: DataFrame, lengths: list[int], text_c
     sized = cut.select("*", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("length")).filter("size(s) >= length")
     starts = f"sequence(1, least(size(s) - length + 1, {stretch}))"
     probes = sized.select("_row", "part", "s", "length", F.posexplode(F.expr(f"transform({starts}, i -> xxhash64(slice(s, i, length)))")).alias("i", "h"))
-    found = probes.join(F.broadcast(windows), "h").filter("n = length AND gram = slice(s, i + 1, length)")
+    # no equalities, so that the join's key is the hash alone and words are compared for its hits only
+    same = "n <= length AND n >= length AND forall(zip_with(gram, slice(s, i + 1, length), (a, b) -> a <=> b), x -> x)"
+    found = probes.join(F.broadcast(windows), "h").filter(same)
     return found.select("_row", (F.col("part").cast("long") * stretch + F.col("i")).alias("at"), "n", "w")
 
 
