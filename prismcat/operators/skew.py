@@ -52,13 +52,21 @@ def lookup_join(
     hot = hot_keys(facts if count_on is None else count_on, keys, min_rows)
     if not hot:
         return facts.join(lookup, keys, how)
-    # at most MAX_HOT rows
-    pieces = F.broadcast(facts.sparkSession.createDataFrame(list(hot.items()), "_hot bigint, _pieces int"))
+    # at most MAX_HOT rows; the helper columns have names that neither side has, as keys may be called anything
+    of, item, parts, salt = (_unused(name, facts, lookup) for name in ("_of", "_hot", "_pieces", "_salt"))
+    pieces = F.broadcast(facts.sparkSession.createDataFrame(list(hot.items()), f"{item} bigint, {parts} int"))
 
     def with_pieces(side: DataFrame) -> DataFrame:
-        return side.withColumn("_key", key_hash(keys)).join(pieces, F.col("_key") == F.col("_hot"), "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        return side.withColumn(of, key_hash(keys)).join(pieces, F.col(of) == F.col(item), "left").withColumn(parts, F.coalesce(parts, F.lit(1)))
 
-    helpers = ("_key", "_hot", "_pieces")
-    left = with_pieces(facts).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_pieces")).cast("int")).drop(*helpers)
-    right = with_pieces(lookup).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop(*helpers)
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left = with_pieces(facts).withColumn(salt, F.pmod(F.xxhash64(spread_by), F.col(parts)).cast("int")).drop(of, item, parts)
+    right = with_pieces(lookup).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(of, item, parts)
+    return left.join(right, [*keys, salt], how).drop(salt)
+
+
+def _unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no table has such a column; Spark doesn't tell upper from lower case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

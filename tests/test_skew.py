@@ -65,6 +65,28 @@ def test_lookup_join_equals_plain_join(spark, hot, how):
     assert rows_of(salted.select(*plain.columns), *key) == rows_of(plain, *key)
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_join_takes_any_column_names(spark, how):
+    """Keys and other columns may be called like the helper columns of a join with hot keys."""
+    facts = spark.range(1000).selectExpr("id AS row_id", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'k' || id % 9 END AS _key", "id % 3 AS _SALT", "id AS _hot", "1 AS tier")
+    lookup = spark.createDataFrame([("a", 1, "x", 5), ("k3", 1, "y", 6)], "_key string, tier int, _of string, _pieces int")
+    got = lookup_join(facts, lookup, ["tier", "_key"], F.col("row_id"), how, min_rows=100)
+    plain = facts.join(lookup, ["tier", "_key"], how)
+    assert got.columns == plain.columns
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in plain.columns]
+    assert rows_of(got, *key) == rows_of(plain, *key)
+
+
+def test_inventory_with_many_rows_of_one_key(spark):
+    """So many rows without any key, or with the same one, that their key is cut into pieces."""
+    from prismcat.operators.catalogue import resolve_inventory
+
+    catalogue = spark.createDataFrame([(1, "L1", "a", "s", 2.0), (2, "L1", "b", "s", 1.0)], "print_id bigint, logical_id string, name string, set_code string, price double")
+    asked = spark.range(900).selectExpr("id AS row_id", "IF(id % 3 = 0, 2, CAST(NULL AS BIGINT)) AS print_id", "IF(id % 3 = 1, 'L1', NULL) AS logical_id", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS set_code")
+    plain, cut = (rows_of(resolve_inventory(asked, catalogue, [F.col("price")], min_rows=n), "row_id", F.coalesce("tier", F.lit(0)), F.coalesce("resolved_print_id", F.lit(0))) for n in (200_000, 100))
+    assert plain == cut == [(i, *((1, 2), (2, 2), (0, 0))[i % 3]) for i in range(900)]
+
+
 def test_hot_key_is_spread(spark, hot):
     lookup = spark.range(0, 30).selectExpr("id AS k", "'v' || id AS v")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
