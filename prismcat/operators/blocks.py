@@ -21,6 +21,10 @@ from prismcat.session import materialise
 # Rows per block: 16384 float vectors of 1024 dimensions are 64 MB. Bigger blocks mean fewer copies
 # in the tile shuffle (each block is sent once per block of the other side).
 BLOCK_ROWS = 16384
+# Blocks of a group are put together into so many panels at most before they are paired, so that a vector is sent
+# so many times however many blocks there are; a panel above PANEL_BYTES is cut again, as two of them lie in a task.
+MAX_PANELS = 24
+PANEL_BYTES = 64 << 20
 # Elements of a similarity strip held at once (8 bytes each).
 STRIP_ELEMENTS = 1_000_000
 
@@ -119,20 +123,22 @@ def self_tiles(blocks: DataFrame) -> DataFrame:
     """All tiles of unordered pairs within a group: (g, a_ids, a_mat, b_ids, b_mat, dim).
 
     ``b_mat`` is empty for a block paired with itself; those tiles need no join, so only groups of
-    more than one block are shuffled again, keyed by tile and therefore spread evenly.
+    more than one block are shuffled again, keyed by tile and therefore spread evenly. Many small blocks are put
+    together into panels first: what is sent grows with the vectors, not with the number of pairs of blocks.
     """
     seen = Observation()
     # read once per branch below and once per pass of the caller
-    blocks = materialise(blocks.observe(seen, F.max("nb").alias("nb")), "blocks")
+    blocks = materialise(blocks.observe(seen, F.max("nb").alias("nb"), F.max(F.length("mat")).alias("bytes")), "blocks")
     if "g" not in blocks.columns:
         blocks = blocks.withColumn("g", F.lit(0))
-    diag = blocks.select(
-        "g", F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat"), F.slice("ids", 1, 0).alias("b_ids"),
-        F.lit(b"").alias("b_mat"), "dim",
-    )
-    if seen.get["nb"] in (None, 1):
+    most = seen.get["nb"] or 1
+    diag = _own_tiles(blocks if most == 1 else blocks.where("nb = 1"))
+    if most == 1:
         return diag
     split = blocks.where("nb > 1")
+    each = min(-(-most // MAX_PANELS), max(1, PANEL_BYTES // max(seen.get["bytes"], 1)))
+    if each > 1:
+        split = _panels(split, each)
     lower = split.where("b < nb - 1").select(
         "g", F.col("b").alias("ta"), F.explode(F.expr("sequence(b + 1, nb - 1)")).alias("tb"),
         F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat"),
@@ -142,7 +148,38 @@ def self_tiles(blocks: DataFrame) -> DataFrame:
         F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim",
     )
     off = lower.join(upper, ["g", "ta", "tb"]).select("g", "a_ids", "a_mat", "b_ids", "b_mat", "dim")
-    return diag.unionByName(off)
+    return diag.unionByName(_own_tiles(split)).unionByName(off)
+
+
+def _own_tiles(blocks: DataFrame) -> DataFrame:
+    """Each block paired with itself."""
+    return blocks.select(
+        "g", F.col("ids").alias("a_ids"), F.col("mat").alias("a_mat"), F.slice("ids", 1, 0).alias("b_ids"),
+        F.lit(b"").alias("b_mat"), "dim",
+    )
+
+
+def _panels(blocks: DataFrame, each: int) -> DataFrame:
+    """Larger blocks (g, b, nb, ids, mat, dim) of ``each`` neighbouring ones; the vectors are shuffled once."""
+    numbered = blocks.select(
+        "g", F.floor(F.col("b") / each).cast("int").alias("panel"), F.ceil(F.col("nb") / each).cast("int").alias("nb"), "b", "ids", "mat", "dim"
+    )
+    schema = f"g {spark_type(blocks, 'g')}, b int, nb int, ids {spark_type(blocks, 'ids')}, mat binary, dim int"
+
+    def together(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("b")
+        dims = parts.column("dim").unique().to_pylist()
+        if len(dims) > 1:
+            raise ValueError(f"vectors of {min(dims)} and of {max(dims)} elements in one column")
+        ids = parts.column("ids").combine_chunks().flatten()
+        columns = [
+            parts.column("g").slice(0, 1).combine_chunks(), parts.column("panel").slice(0, 1).combine_chunks(), parts.column("nb").slice(0, 1).combine_chunks(),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b"".join(parts.column("mat").to_pylist())], pa.binary()),
+            pa.array(dims, pa.int32()),
+        ]
+        return pa.table(columns, names=["g", "b", "nb", "ids", "mat", "dim"])
+
+    return materialise(numbered.groupBy("g", "panel").applyInArrow(together, schema), "panels")
 
 
 def id_array(values) -> np.ndarray:

@@ -53,27 +53,42 @@ def _pair_values(rows) -> Iterator[np.ndarray]:
             yield np.round(cos.ravel() if mask is None else cos[mask], SIM_DECIMALS)
 
 
-def _counted(tiles: DataFrame, cells: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, tuple[int, float, float]]:
+def _counted(
+    tiles: DataFrame, cells: Callable[[np.ndarray], np.ndarray], width: int, between: tuple[float, float] | None = None
+) -> tuple[np.ndarray, tuple[int, float, float]]:
     """One pass over the pairs: how many distances ``cells`` puts into each of ``width`` cells, and the number, sum and
-    sum of squares of the cosines. ``cells`` gets distances in steps; what it puts below 0 doesn't count.
+    sum of squares of the cosines. ``cells`` gets distances in steps, as whole floats; what it puts below 0 doesn't count.
 
+    With ``between`` only cosines of this closed range are looked at, and the figures are theirs.
     At most ``width`` + 1 rows reach the driver, half a million for bins over all distances.
     """
 
+    scale = float(round(1.0 / _STEP))
+
     def kernel(rows) -> Iterator[pd.DataFrame]:
         counts, total, held, size = np.zeros(width, np.int64), np.zeros(3), [], 0
 
         def count() -> None:
-            cell = cells(np.rint((1.0 - np.concatenate(held)) / _STEP).astype(np.int64))
-            counts[:] += np.bincount(cell[cell >= 0], minlength=width)
+            cell = cells(scale - (held[0] if len(held) == 1 else np.concatenate(held)))
+            cell = cell if between is None else cell[cell >= 0]
+            counts[:] += np.bincount(cell, minlength=width)
 
-        for v in _pair_values(rows):
-            total += len(v), v.sum(), v @ v
-            held.append(v)
-            size += len(v)
-            if size >= _HELD:
-                count()
-                held, size = [], 0
+        for row in rows:
+            for _, _, cos, mask in B.tile_strips(row):
+                use = mask
+                if between is not None:
+                    use = (cos >= between[0]) & (cos <= between[1])
+                    use = use if mask is None else use & mask
+                v = cos.ravel() if use is None else cos[use]
+                if not len(v):
+                    continue
+                np.rint(np.multiply(v, scale, out=v), out=v)  # cosines in steps, rounded as np.round does
+                total += len(v), v.sum() / scale, (v @ v) / scale**2
+                held.append(v)
+                size += len(v)
+                if size >= _HELD:
+                    count()
+                    held, size = [], 0
         if held:
             count()
         hit = np.flatnonzero(counts)
@@ -102,12 +117,15 @@ def _steps_at(tiles: DataFrame, bins: np.ndarray, ranks: list[int]) -> list[int]
     chosen = np.unique([cell for cell, _ in places])
     width = 2 * _STEPS  # rounding can leave a distance a few steps below 0, so a bin gets half a bin more on either side
 
-    def cells(steps: np.ndarray) -> np.ndarray:
+    def cells(distances: np.ndarray) -> np.ndarray:
+        steps = distances.astype(np.int64)
         bin_of = np.clip(steps // _STEPS, 0, None)
         at = np.minimum(np.searchsorted(chosen, bin_of), len(chosen) - 1)
         return np.where(chosen[at] == bin_of, at * width + steps - bin_of * _STEPS + _STEPS // 2, -1)
 
-    counts, _ = _counted(tiles, cells, width * len(chosen))
+    # cosines of the chosen bins, a step more on either side
+    low, high = 1.0 - ((chosen[-1] + 1) * _STEPS + 1) * _STEP, np.inf if chosen[0] == 0 else 1.0 - (chosen[0] * _STEPS - 1) * _STEP
+    counts, _ = _counted(tiles, cells, width * len(chosen), (low, high))
     grid = counts.reshape(-1, width)
     return [cell * _STEPS + _place(grid[np.searchsorted(chosen, cell)], inner)[0] - _STEPS // 2 for cell, inner in places]
 
@@ -179,7 +197,8 @@ def pair_summary(blocks: DataFrame, median: bool = True, approx: bool = False) -
         n, s, ss = moments["n_pairs"], moments["s"], moments["ss"]
     else:
         tiles = B.self_tiles(blocks)
-        bins, (n, s, ss) = _counted(tiles, lambda steps: np.clip(steps // _STEPS, 0, None), int(2 / _STEP) // _STEPS + 2)
+        # a distance just below 0 goes into the first bin
+        bins, (n, s, ss) = _counted(tiles, lambda distances: (distances * (1.0 / _STEPS)).astype(np.int64), int(2 / _STEP) // _STEPS + 2)
     if n == 0:
         return spark.createDataFrame([(0, None, None, None, None)], schema)
     mean = s / n

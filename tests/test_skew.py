@@ -340,3 +340,27 @@ def test_the_store_is_not_shuffled(vectors):
     stored = df.select("id", "vec").withColumn("vec", F.transform("vec", lambda x: x * 2))
     plan = S.candidate_hits(df.select("id", "vec"), stored, 3)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_many_small_blocks_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Each vector lies in one tile a panel at most, each pair in one tile; the statistics are those of all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(900, 6))
+    base[700:] = base[0]  # a median among ties
+    df = spark.createDataFrame([(i, "hot" if i < 600 or i >= 700 else f"g{i % 30}", [float(x) for x in v]) for i, v in enumerate(base)], "id bigint, g string, vec array<double>")
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    group = np.array([r["g"] for r in df.orderBy("id").collect()])
+    i, j = np.triu_indices(len(base), 1)
+    cos = np.round(unit @ unit.T, 9)[i, j]
+    for blocks, wanted in ((B.pack_blocks(df, "id", "vec", 4), cos), (B.pack_group_blocks(df, "g", "id", "vec", 4), cos[group[i] == group[j]])):
+        tiles = B.self_tiles(blocks).select("g", "a_ids", "b_ids")
+        sent = tiles.select("g", F.explode(F.concat("a_ids", "b_ids")).alias("id")).groupBy("id").count().agg(F.max("count")).first()[0]
+        assert sent <= B.MAX_PANELS  # 225 blocks of 4 rows before
+        pairs = tiles.select(F.expr("CASE WHEN size(b_ids) = 0 THEN size(a_ids) * (size(a_ids) - 1) / 2 ELSE size(a_ids) * size(b_ids) END").alias("n"))
+        assert pairs.agg(F.sum("n")).first()[0] == len(wanted)
+        got = P.pair_summary(blocks).first()
+        assert got["n_pairs"] == len(wanted)
+        assert tuple(got)[1:] == pytest.approx((wanted.mean(), 1 - wanted.mean(), np.median(1 - wanted), (1 - wanted).std()), abs=1e-9)
+    monkeypatch.setattr(B, "PANEL_BYTES", 10 * 4 * 6 * 8)  # panels of about ten blocks
+    small = B.self_tiles(B.pack_blocks(df, "id", "vec", 4)).agg(F.max(F.length("a_mat"))).first()[0]
+    assert 4 * 6 * 8 < small <= 2 * 10 * 4 * 6 * 8
