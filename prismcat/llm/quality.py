@@ -1,9 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over bytes as they are, but for white space. Its n-gram counts are summed over all tasks and
-joined, sharded by context, with the counts of their contexts; lower orders count continuations. The sample
-that it is fitted on bounds the model, so that documents are scored where they are. A document is rejected
-when its perplexity is above the quantile of the trusted documents of its language that the model hasn't seen.
+joined, sharded by context, with the counts of their contexts; lower orders count continuations. It is fitted on three
+quarters of all trusted documents and grows with the different strings of five bytes in them only, so that documents are
+scored where they are. A document is rejected when its perplexity is above the quantile of the other quarter in its language.
 """
 
 from __future__ import annotations
@@ -17,21 +17,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismcat.llm.common import prepare, unused
+from prismcat.llm.common import arrow_batches, prepare, unused
 from prismcat.session import materialise
 
 ORDER = 5
 SYMBOLS = 256
 QUANTILE = 0.98
-# Trusted documents that the model is fitted on, at most; chosen by a hash of the id.
-MAX_TRUSTED = 20_000
+# Ids that are broadcast to pick the documents of the fit, at most; more are joined by a shuffle.
+_FEW_IDS = 4_000_000
 # Languages with fewer trusted documents outside the fit are judged by the quantile of all languages together.
 MIN_TRUSTED = 30
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _STRETCH = 1 << 20
 # n-grams that a task counts at once, and bins of a perplexity's logarithm.
-_AT_ONCE = 1 << 22
+_AT_ONCE = 1 << 21
 _BINS = 1000
+# Texts that a Python worker gets at once: 10,000 rows would hold some 20 MB of text several times over.
+_BATCH = "2m"
 
 
 def ngram_codes(text: bytes, order: int = ORDER) -> Iterator[np.ndarray]:
@@ -69,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[pd.DataFrame, pd.DataFrame]]:
     """Per order from 1: discounted shares of the seen n-grams (gram, share) and back-off weights (ctx, gamma).
 
-    ``counts`` (gram, c) has no more rows than the fitted sample has bytes.
+    ``counts`` (gram, c) has a row for each different string of ``order`` bytes.
     """
     levels = []
     for k in range(order, 0, -1):
@@ -124,10 +126,10 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality = 1 AND toxic = 0").select(F.col(id_col).alias("_trusted")).dropna().distinct()
 
 
-def trusted_sample(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_TRUSTED) -> DataFrame:
-    """Ids that the model is fitted on: three quarters of the trusted ones, at most ``limit``, chosen by a hash of the id."""
+def trusted_sample(labels: DataFrame, id_col: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """Ids that the model is fitted on: three quarters of the trusted ones, by a hash of the id; a ``limit`` leaves out more of them."""
     fit = trusted_ids(labels, id_col).filter(F.pmod(F.xxhash64("_trusted"), F.lit(4)) != 0)
-    return fit.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
+    return fit if limit is None else fit.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
 
 
 def perplexity_model(trusted: DataFrame) -> Callable[[Column], Column]:
@@ -172,23 +174,26 @@ def quantiles(known: DataFrame, quantile: float) -> DataFrame:
 
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED, whole: bool = True,
+    quantile: float = QUANTILE, max_trusted: int | None = None, whole: bool = True,
 ) -> tuple[DataFrame, tuple[str, str, str]]:
     """``docs`` with perplexity, threshold and whether it stays, and the names of these three columns.
 
     Without ``whole`` the rows have the id only, and are scored once.
     """
     prepare(docs.sparkSession)
-    sample = materialise(trusted_sample(labels, limit=max_trusted), "quality-sample")  # bounded, so it may be broadcast
-    fit = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_trusted"), "left_semi")
-    perplexity = perplexity_model(fit)
+    sample = materialise(trusted_sample(labels, limit=max_trusted), "quality-sample")
+    of_fit = F.broadcast(sample) if sample.count() <= _FEW_IDS else sample
+    fit = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(of_fit, F.col("_id") == F.col("_trusted"), "left_semi")
+    with arrow_batches(docs.sparkSession, _BATCH):
+        perplexity = perplexity_model(fit)
     names = tuple(unused(docs, c) for c in ("perplexity", "threshold", "keep"))
     of, q, empty = unused(docs, "_of"), unused(docs, "_q"), unused(docs, "_empty")
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     blank = F.length(F.coalesce(F.col(text_col), F.lit(""))) == 0
-    narrow = materialise(docs.select(F.col(id_col), lang.alias(of), blank.alias(empty), perplexity(F.col(text_col)).alias(names[0])), "quality-scores")
+    with arrow_batches(docs.sparkSession, _BATCH):
+        narrow = materialise(docs.select(F.col(id_col), lang.alias(of), blank.alias(empty), perplexity(F.col(text_col)).alias(names[0])), "quality-scores")
     # the quantiles are taken from all trusted documents that the model hasn't seen
-    unseen = trusted_ids(labels).join(F.broadcast(sample), "_trusted", "left_anti")
+    unseen = trusted_ids(labels).join(sample, "_trusted", "left_anti")
     known = narrow.select(F.col(id_col).alias("_id"), F.col(of).alias("_of"), F.col(names[0]).alias("_p")).filter("_p IS NOT NULL")
     known = materialise(known.join(unseen, F.col("_id") == F.col("_trusted"), "left_semi").select("_of", "_p"), "quality-known")
     overall = quantiles(known.select(F.lit("").alias("_of"), "_p"), quantile).first()

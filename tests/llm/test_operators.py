@@ -418,6 +418,14 @@ def test_quality_thresholds_are_of_all_trusted(spark):
         assert all(got[i].threshold == pytest.approx(np.quantile(known, quality.QUANTILE)) for i in got if rows[i][2] == lang)
 
 
+def test_quality_model_is_fitted_on_all_but_the_held_out(spark):
+    """However many labels there are, three quarters of the trusted ids are fitted on and none is left aside."""
+    ids = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 6 = 0 AS INT) AS toxic")
+    fit, held = quality.trusted_sample(ids), quality.trusted_ids(ids).filter(F.pmod(F.xxhash64("_trusted"), F.lit(4)) == 0)
+    assert fit.count() + held.count() == 50_000 and abs(fit.count() - 37_500) < 500
+    assert fit.join(held, "_trusted").count() == 0
+
+
 def test_mix_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 90)), "en", [None, "b", "a", "a", "a", "a"][i % 6]) for i in range(1500)]
     got = mix(frame(spark, rows)).collect()
