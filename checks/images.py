@@ -232,10 +232,11 @@ def _hex_sql(where: str = "true") -> str:
 
 def _with_bytes(after: DataFrame, spark, sf) -> DataFrame:
     """(origin, pairs, code): each byte of a changed picture next to the original one, and all its bytes in hex."""
-    level = lambda c: F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.conv(F.substring(F.hex(c), 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
-    before = pixel_images(spark, sf).select("origin", level(F.col("data")).alias("old"))
-    now = after.select("origin", level(F.col("data")).alias("new"), F.hex("data").alias("code"))
-    return now.join(before, "origin").select("origin", F.arrays_zip("old", "new").alias("pairs"), "code")
+    # a list of byte codes is taken from the hex text once per picture; the join carries the pictures as they are
+    level = lambda c: F.transform(F.regexp_extract_all(F.hex(c), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
+    before = pixel_images(spark, sf).select("origin", F.col("data").alias("was"))
+    both = after.select("origin", "data").join(before, "origin")
+    return both.select("origin", F.arrays_zip(level(F.col("was")).alias("old"), level(F.col("data")).alias("new")).alias("pairs"), F.hex("data").alias("code"))
 
 
 @query("i04g_noise_limits", f"""WITH {V_PIXELS} SELECT {ORIGIN_SQL} AS origin, {_hex_sql()} AS without, true AS near, true AS changed FROM v_px GROUP BY label, vec_id""")

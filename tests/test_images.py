@@ -157,3 +157,19 @@ def test_export_job(spark, tmp_path):
         assert len({r["image_id"] for r in run.images.collect()}) == 2
         known = run.images
     assert read_store(spark, out).count() == 8
+
+
+def test_bytes_are_listed_once_per_picture(spark):
+    """The hex text of a picture isn't built again for each of its bytes; the lists are its bytes."""
+    from checks import images as checked
+    from checks.base import pixel_images
+
+    sf = "/root/testdata/sf0.001"
+    pictures = pixel_images(spark, sf)
+    both = checked._with_bytes(pictures.withColumn("data", pictures["data"]), spark, sf)
+    assert "substring(hex" not in both._jdf.queryExecution().optimizedPlan().toString()
+    data = {r["origin"]: bytes(r["data"]) for r in pictures.collect()}
+    rows = both.collect()
+    assert len(rows) == len(data)
+    assert all([p["old"] for p in r["pairs"]] == [p["new"] for p in r["pairs"]] == list(data[r["origin"]]) for r in rows)
+    assert all(r["code"] == data[r["origin"]].hex().upper() for r in rows)
