@@ -14,7 +14,7 @@ from prismcat.operators import catalogue as K
 from prismcat.operators import features as X
 from prismcat.operators import groups as G
 from prismcat.operators import match as M
-from prismcat.session import scratch_path
+from prismcat.session import materialise, scratch_path
 from prismcat.sources import files
 
 # Raw card records built from ``part``, in the bulk schema.
@@ -72,6 +72,7 @@ def s01_one_array(spark, sf) -> DataFrame:
     """One array in one file, read in splits of 64 kB."""
     path = scratch_path(spark, "bulk-one-array")
     text = table(spark, sf, "part").selectExpr(*base._columns(_RAW)).select(F.concat(F.to_json(F.struct("*")), F.lit(", ")).alias("value"))
+    text = materialise(text, "bulk-records")  # by all tasks; the one that writes the file only copies them
     last = spark.createDataFrame([("[",), ("null]",)], "value string")
     lines = last.where("value = '['").withColumn("n", F.lit(0)).unionByName(text.withColumn("n", F.lit(1))).unionByName(last.where("value <> '['").withColumn("n", F.lit(2)))
     lines.coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", " ").text(path)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from prismcat.session import materialise
 
 _QUOTE, _BACKSLASH, _COMMA, _OPEN, _CLOSE = (ord(c) for c in "\"\\,[]")
+# Splits that a task reads one after the other, at most, where there are more than four a core.
+_SPLITS_PER_TASK = 128
 _NESTING = np.zeros(256, np.int8)
 _NESTING[[ord("["), ord("{")]], _NESTING[[ord("]"), ord("}")]] = 1, -1
 
@@ -123,6 +125,12 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rest(current, cutter))
 
 
+def _grouped(text: DataFrame) -> DataFrame:
+    """The same splits, several in a task where there are more than four a core: a task and its files cost more than a small split."""
+    splits, wide = text.rdd.getNumPartitions(), 4 * text.sparkSession.sparkContext.defaultParallelism
+    return text.coalesce(max(1, min(splits, max(wide, -(-splits // _SPLITS_PER_TASK)))))
+
+
 def read_array_elements(spark: SparkSession, path: str) -> DataFrame:
     """(item): the text of every element of the JSON array that each file holds, as it stands.
 
@@ -132,6 +140,7 @@ def read_array_elements(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", "}").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
+    text = _grouped(text)
     figures = text.mapInArrow(_figures, "file string, start bigint, part bigint, odd bigint, outside bigint, inside bigint, is_array boolean")
     figures = materialise(figures, "json-splits")  # a row for each batch of lines, without their text
     before = Window.partitionBy("file").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)

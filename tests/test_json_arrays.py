@@ -67,3 +67,19 @@ def test_odd_files(spark, tmp_path, small_splits):
         (tmp_path / f"x{i}.json").write_text(text, encoding="utf-8")
     small_splits(3)
     assert read(spark, tmp_path) == sorted(json.dumps(v) for _, want in ODD for v in want)
+
+
+def test_many_splits_share_a_task(spark, tmp_path, small_splits):
+    """Far more splits than cores: the passes write no file for each of them, and every element is read once."""
+    from prismcat.sources import json_arrays
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps([{"id": i, "t": "x" * (i % 90)} for i in range(3000)]))
+    small_splits(300)
+    text = spark.read.option("lineSep", "}").text(str(tmp_path / "in"))
+    assert text.rdd.getNumPartitions() > 400
+    most = max(4 * spark.sparkContext.defaultParallelism, -(-text.rdd.getNumPartitions() // 128))
+    elements = read_array_elements(spark, str(tmp_path / "in"))
+    assert len({f for f in elements.inputFiles()}) <= 2 * most
+    assert json_arrays._grouped(text).rdd.getNumPartitions() <= most
+    assert sorted(json.loads(r["item"])["id"] for r in elements.collect()) == list(range(3000))
