@@ -94,7 +94,7 @@ def j09(spark, sf) -> DataFrame:
 @query("j09_topk_similarity_tiles", f"""WITH {HITS} SELECT q AS query_id, d AS stored_id, {sql6("s", "similarity")},
  {sql6("1 - s", "distance")}, CAST(rk AS INT) AS "rank" FROM hits""")
 def j09_tiles(spark, sf) -> DataFrame:
-    """Many queries: several rounds over the store, each written before the next."""
+    """Many queries: a task takes them up in several rounds over its part of the store."""
     v = _vectors(spark, sf).select("id", "vec")
     hits = S.top_k_similar(v, v, 3, FLOOR, exclude_self=True, round_rows=1024)
     return hits.select("query_id", "stored_id", r6("similarity"), r6("distance"), "rank")

@@ -200,9 +200,9 @@ def matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
     return unit_rows(np.frombuffer(data, dtype=kind).reshape(rows, dim))
 
 
-def strips(rows: int, columns: int) -> Iterator[slice]:
-    """Row ranges whose similarity strip stays below STRIP_ELEMENTS."""
-    step = max(1, STRIP_ELEMENTS // max(columns, 1))
+def strips(rows: int, columns: int, most: int | None = None) -> Iterator[slice]:
+    """Row ranges whose similarity strip stays below STRIP_ELEMENTS, of ``most`` rows if given."""
+    step = max(1, min(STRIP_ELEMENTS // max(columns, 1), most or rows))
     for start in range(0, rows, step):
         yield slice(start, min(start + step, rows))
 

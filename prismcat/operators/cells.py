@@ -228,7 +228,7 @@ class _Reach:
 
 
 def scan_tree(tree: CellTree, held, floors: np.ndarray, new_best: Callable, floor: float, schema: str, count_tiles: bool = False) -> DataFrame:
-    """Hits of a round's queries, a task's leaves where they lie; or (leaf, sub, queries) for each block, what is multiplied.
+    """Hits of a delivery's queries, a task's leaves where they lie; or (leaf, sub, queries) for each block, what is multiplied.
 
     ``floors`` are similarities that each query's k-th hit reaches; ``new_best`` makes the collector of hits.
     """

@@ -84,15 +84,15 @@ def _card_part(ids: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """Running k best hits of some queries, at most one per card if asked.
+    """Running k best hits of some queries, at most one per card if asked; ``round_rows`` queries are multiplied at a time.
 
     Queries and stored vectors that hold NaN or an infinite number are nobody's hit and have none.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False, round_rows: int | None = None):
         usable = np.isfinite(vectors).all(axis=1)
         self.ids, self.vectors = (ids, vectors) if usable.all() else (ids[usable], vectors[usable])
-        self.k, self.exclude_self, self.by_card = k, exclude_self, by_card
+        self.k, self.exclude_self, self.by_card, self.round_rows = k, exclude_self, by_card, round_rows
         self.hits = None
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -109,7 +109,7 @@ class Best:
         if self.by_card:
             cards = _card_part(ids)
             starts = np.flatnonzero(np.append(True, cards[1:] != cards[:-1]))
-        for part in B.strips(len(asked), len(ids)):
+        for part in B.strips(len(asked), len(ids), self.round_rows):
             self._offer(asked[part], ids, vectors, starts)
 
     def _offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, starts: np.ndarray | None) -> None:
@@ -145,7 +145,7 @@ class Best:
 
 
 def held_queries(queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of one round's queries."""
+    """Ids and unit vectors of one delivery's queries."""
     return B.id_array(queries.column("id").to_numpy()), B.unit_rows(B.vector_array(queries.column("vec")))
 
 
@@ -154,12 +154,14 @@ def _in_place(stored: DataFrame) -> DataFrame:
     return stored.coalesce(4 * stored.sparkSession.sparkContext.defaultParallelism)
 
 
-def _scan_stored(stored: DataFrame, held, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool) -> DataFrame:
+def _scan_stored(
+    stored: DataFrame, held, k: int, exclude_self: bool, floor: float, schema: str, by_card: bool, round_rows: int | None = None
+) -> DataFrame:
     """Read the stored side once, where it lies; a task emits k hits per query at its end."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(*held.value, k, exclude_self, by_card)
+        best = Best(*held.value, k, exclude_self, by_card, round_rows)
         for batch in batches:
             if batch.num_rows:
                 best.add(*held_queries(pa.Table.from_batches([batch])))
@@ -175,22 +177,29 @@ def best_of(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rounds(queries: DataFrame, round_rows: int | None) -> Iterator[tuple[pa.Table, bool]]:
-    """The queries (id, vec) in tables of bounded size, each with whether it is the last.
+def best_cards(hits: DataFrame, k: int) -> DataFrame:
+    """The k best cards (``_card``) of every query, each by its best hit, with their rank."""
+    hits = hits.select("q_id", "d_id", "similarity", F.split("d_id", CARD_SEPARATOR, 2)[0].alias("_card"))
+    return best_of(first_rows(hits, ["q_id", "_card"], [F.desc("similarity"), F.asc("d_id")]), k)
+
+
+def deliveries(queries: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
+    """The queries (id, vec) in tables of ``ROUND_BYTES`` at most, each with whether it is the last.
 
-    Few queries are fetched as they are. More are written once, counted on the way, and dealt out to as many rounds
-    as their bytes need by a hash of the row.
+    Few queries are fetched as they are. More are written once, counted on the way, and dealt out to as many deliveries
+    as their bytes need by a hash of the row. What comes to the driver are the queries and a bounded number of
+    task results for each delivery.
     """
-    few = queries.limit(1 + min(FEW_QUERIES, round_rows or FEW_QUERIES)).toArrow()
-    if few.num_rows <= min(FEW_QUERIES, round_rows or FEW_QUERIES):
+    few = queries.limit(1 + FEW_QUERIES).toArrow()
+    if few.num_rows <= FEW_QUERIES:
         yield few, True
         return
     seen = Observation()
     counted = queries.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
     asked = materialise(counted.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())), "queries")
-    count = -(-seen.get["n"] // (round_rows or max(1, ROUND_BYTES // (8 * max(seen.get["dim"], 1)))))
+    count = -(-seen.get["n"] // max(1, ROUND_BYTES // (8 * max(seen.get["dim"], 1))))
     for i in range(count):
-        yield asked.where(F.pmod("_deal", F.lit(count)) == i).select("id", "vec").toArrow(), i == count - 1
+        yield _in_place(asked.where(F.pmod("_deal", F.lit(count)) == i).select("id", "vec")).toArrow(), i == count - 1
 
 
 def candidate_hits(
@@ -206,10 +215,11 @@ def candidate_hits(
 ) -> DataFrame:
     """At least the true top-k per query as (q_id, d_id, similarity); inputs are (id, vec).
 
-    The stored side stays where it lies. Queries come to it in rounds: the vectors of one round
-    (``ROUND_BYTES``, or ``round_rows`` of them) are broadcast, every task holds the best hits of its own stored
-    rows, and the round's hits are cut to k per query and written before the next one starts; the last round is left
-    to the caller's plan. Any number of queries goes this way. ``prune`` reads a tree of cells in place of the store
+    The stored side stays where it lies. Queries come to it in deliveries: the vectors of one (``ROUND_BYTES``) are
+    broadcast, every task takes them up in rounds of ``round_rows`` (all that fit a product, if not given) and holds the
+    best hits of its own stored rows, and the hits are cut to k per query and written before the next delivery starts;
+    the last one is left to the caller's plan. So jobs follow the bytes of the queries, not the number of rounds, and any
+    number of queries goes this way. ``prune`` reads a tree of cells in place of the store
     (see ``cells``), which is built first unless ``stored`` is one already; both ways are exact. ``by_card`` expects
     text ids that start with the card and CARD_SEPARATOR, and keeps one hit per card.
     """
@@ -225,24 +235,24 @@ def candidate_hits(
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {id_type}, similarity double"
     context = queries.sparkSession.sparkContext
     found = None
-    for table, last in rounds(queries, round_rows):
-        if not table.num_rows:  # the hash dealt nothing to this round
+    for table, last in deliveries(queries):
+        if not table.num_rows:  # the hash dealt nothing to this delivery
             continue
         held = context.broadcast(held_queries(table))
         if tree is None:
-            hits = _scan_stored(stored, held, k, exclude_self, floor, schema, by_card)
+            hits = _scan_stored(stored, held, k, exclude_self, floor, schema, by_card, round_rows)
         else:
             floors = _floors(tree, held, k, exclude_self, floor, schema)
-            hits = CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self), floor, schema)
+            hits = CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self, round_rows=round_rows), floor, schema)
         if not last:
-            hits = materialise(hits if by_card else best_of(hits, k).drop("rank"), "round-hits")
+            hits = materialise((best_cards if by_card else best_of)(hits, k).select("q_id", "d_id", "similarity"), "round-hits")
             held.unpersist()
         found = hits if found is None else found.unionByName(hits)
     return queries.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def _floors(tree: CELL.CellTree, held, k: int, exclude_self: bool, floor: float, schema: str) -> np.ndarray:
-    """For every query of a round a similarity that its k-th hit reaches: the k-th best of the cells' representatives,
+    """For every query of a delivery a similarity that its k-th hit reaches: the k-th best of the cells' representatives,
     which are stored vectors themselves."""
     hits = best_of(_scan_stored(tree.representatives, held, k, exclude_self, -1.0, schema, False), k)
     known = {r["q_id"]: r["similarity"] for r in hits.where(F.col("rank") == k).select("q_id", "similarity").collect()}
@@ -250,7 +260,7 @@ def _floors(tree: CELL.CellTree, held, k: int, exclude_self: bool, floor: float,
 
 
 def visited_blocks(queries: DataFrame, tree: CELL.CellTree, k: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """(leaf, sub, queries): by how many queries each block of the tree is multiplied in a search; one round of queries."""
+    """(leaf, sub, queries): by how many queries each block of the tree is multiplied in a search; one delivery of queries."""
     floor = -1.0 if threshold is None else threshold
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {tree.id_type}, similarity double"
     held = queries.sparkSession.sparkContext.broadcast(held_queries(queries.select("id", "vec").toArrow()))
@@ -298,15 +308,11 @@ def top_k_cards(
     """
     types = {c: stored.schema[c].dataType for c in ("id", "print_id")}
     asked = _card_ids(queries) if exclude_self else queries.select("id", "vec")
-    hits = candidate_hits(asked, _card_ids(stored), k, threshold, exclude_self, by_card=True, **plan)
-    parts = F.split("d_id", CARD_SEPARATOR, 2)
-    hits = hits.select("q_id", "d_id", "similarity", parts[0].alias("_card"))
-    best = first_rows(hits, ["q_id", "_card"], [F.desc("similarity"), F.asc("d_id")])
-    ranked = best_of(best, k)
+    ranked = best_cards(candidate_hits(asked, _card_ids(stored), k, threshold, exclude_self, by_card=True, **plan), k)
     own = F.split("q_id", CARD_SEPARATOR, 2)[1].cast(queries.schema["id"].dataType) if exclude_self else F.col("q_id")
     return ranked.select(
         own.alias("query_id"), F.col("_card").cast(types["print_id"]).alias("print_id"),
-        parts[1].cast(types["id"]).alias("stored_id"), "similarity", (1.0 - F.col("similarity")).alias("distance"), "rank",
+        F.split("d_id", CARD_SEPARATOR, 2)[1].cast(types["id"]).alias("stored_id"), "similarity", (1.0 - F.col("similarity")).alias("distance"), "rank",
     )
 
 

@@ -335,6 +335,31 @@ def test_tree_grows_with_the_vectors(spark):
     assert all(after < 2 * before / 3 for before, after in zip(shares, shares[1:]))
 
 
+@pytest.mark.parametrize("by_card", [False, True])
+def test_queries_are_fetched_by_bytes_not_by_rounds(vectors, monkeypatch, by_card):
+    """However small the rounds, jobs and fetches follow the bytes of the queries; both sizes give the same hits."""
+    df, base = vectors
+    written = []
+    original = S.materialise
+    monkeypatch.setattr(S, "materialise", lambda rows, label: written.append(label) or original(rows, label))
+    monkeypatch.setattr(S, "FEW_QUERIES", 10)
+    side = df.select("id", "vec", (F.col("id") if by_card else F.lit("x")).alias("print_id"))
+    search = S.top_k_cards if by_card else S.top_k_similar
+    for round_bytes, deliveries in ((64 << 20, 1), (30 * 8 * base.shape[1], 3)):
+        monkeypatch.setattr(S, "ROUND_BYTES", round_bytes)
+        written.clear()
+        got = search(side if by_card else side.drop("print_id"), side, 4, None, exclude_self=True, round_rows=2)
+        if by_card:  # one vector a card, ties by the card as text
+            u = base / np.linalg.norm(base, axis=1, keepdims=True)
+            sims = np.round(u @ u.T, 9)
+            np.fill_diagonal(sims, -np.inf)
+            want = [(i, j, r + 1) for i, row in enumerate(sims) for r, j in enumerate(sorted(range(90), key=lambda j: (-row[j], str(j)))[:4])]
+        else:
+            want = brute(base, 4)
+        assert rows_of(got, "query_id", "stored_id", "rank") == sorted(want)
+        assert written == ["queries"] + ["round-hits"] * (deliveries - 1)  # 45 rounds before
+
+
 def test_the_store_is_not_shuffled(vectors):
     df, _ = vectors
     stored = df.select("id", "vec").withColumn("vec", F.transform("vec", lambda x: x * 2))
