@@ -31,6 +31,12 @@ _BITS = 5
 FANOUT = 1 << _BITS
 # Vectors of one cell that a task assigns to the cells below it.
 _PIECE_ROWS = 200_000
+# Leaves of a file of the tree at least, as long as files are fewer than tasks.
+_PART_LEAVES = 64
+# Vectors of neighbouring leaves that a search multiplies together.
+_FAMILY_ROWS = 1024
+# Share of them from which on a query is multiplied with all.
+_WIDE = 0.9
 # Slack for rounding: on angles, and on similarities (which are compared at 9 decimals).
 _ANGLE_SLACK, _SIM_SLACK = 1e-6, 1e-8
 
@@ -138,8 +144,8 @@ def _assign(rows: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
     return materialise(stream.mapInArrow(assign, schema), "cell-rows")
 
 
-def _pack(rows: DataFrame, leaf_rows: int, centres: list[DataFrame], sizes: DataFrame) -> DataFrame:
-    """Leaf blocks in tree order, each with the balls of the cells it lies in."""
+def _pack(rows: DataFrame, leaf_rows: int, centres: list[DataFrame], sizes: DataFrame, parts: int) -> DataFrame:
+    """Leaf blocks in tree order, in ``parts`` files, each block with the balls of the cells it lies in."""
     levels = len(centres)
     balls = None
     for level, table in enumerate(centres):
@@ -151,7 +157,7 @@ def _pack(rows: DataFrame, leaf_rows: int, centres: list[DataFrame], sizes: Data
     above = f"explode(transform(sequence(0, {levels - 1}), i -> struct(i AS ord, shiftright(key, ({levels - 1} - i) * {_BITS}) AS node)))"
     heads = sizes.select("key", F.expr(above).alias("a")).select("key", "a.*").join(balls, ["ord", "node"]).select("key", "ord", "m", "r")
     stream = _with_headers(rows.withColumnRenamed("node", "key"), heads, sizes, leaf_rows)
-    stream = stream.repartitionByRange("key", "sub").sortWithinPartitions("key", "sub", "ord", "id")
+    stream = stream.repartitionByRange(parts, "key", "sub").sortWithinPartitions("key", "sub", "ord", "id")
     id_type = B.spark_type(rows, "id")
     schema = f"leaf bigint, sub int, balls binary, radii binary, ids array<{id_type}>, mat binary, dim int"
 
@@ -199,57 +205,105 @@ def build_tree(stored: DataFrame, leaf_rows: int = LEAF_ROWS) -> CellTree:
         centres.append(_centres(rows, sizes, leaf_rows))
         rows = _assign(rows, centres[-1], sizes)
         sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
-    return CellTree(_pack(rows, leaf_rows, centres, sizes), centres[-1].select("id", "vec"), levels, id_type)
+    # a number that is stated isn't lowered by adaptive execution: a small store can still keep all cores busy for many queries
+    spark = stored.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = min(most, 1 + cells // _PART_LEAVES)
+    return CellTree(_pack(rows, leaf_rows, centres, sizes, parts), centres[-1].select("id", "vec"), levels, id_type)
+
+
+def _within(cosines: np.ndarray, needed: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Which balls (columns) can hold a vector as similar as each query (row) needs; ``cosines`` are those to the centres.
+
+    That is ``angle <= arccos(needed) + radius``, compared by its cosine so that no angle is worked out for each pair.
+    """
+    wanted, radii = np.arccos(np.clip(needed - _SIM_SLACK, -1.0, 1.0))[:, None], radii + _ANGLE_SLACK
+    least = np.cos(wanted) * np.cos(radii) - np.sin(wanted) * np.sin(radii)
+    return (cosines >= least) | (wanted + radii >= np.pi)
 
 
 class _Reach:
-    """Which queries can find something in a leaf, worked out down the tree and kept for the next leaf of the same cells."""
+    """Which queries can find something below a cell, worked out down the tree and kept for the next cells below the same ones."""
 
-    def __init__(self, vectors: np.ndarray, floors: np.ndarray, levels: int):
-        self.vectors, self.floors, self.levels = vectors, floors, levels
+    def __init__(self, vectors: np.ndarray, levels: int):
+        self.vectors, self.levels = vectors, levels
         self.path: list[int] = []
         self.alive: list[np.ndarray] = []
 
-    def queries(self, leaf: int, balls: np.ndarray, radii: np.ndarray, worst: np.ndarray) -> np.ndarray:
-        """Rows of the queries; ``worst`` are the similarities of their k-th hits so far."""
-        path = [leaf // FANOUT ** (self.levels - 1 - level) for level in range(self.levels)]
+    def _of(self, rows: np.ndarray) -> np.ndarray:
+        return self.vectors if len(rows) == len(self.vectors) else self.vectors[rows]
+
+    def above(self, first: int, last: int, balls: np.ndarray, radii: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Rows of the queries that reach the smallest cell above both leaves, which has these balls above it; ``worst`` is what they need."""
+        path = []
+        for level in range(self.levels - 1):
+            cells = {leaf // FANOUT ** (self.levels - 1 - level) for leaf in (first, last)}
+            if len(cells) > 1:
+                break
+            path += cells
         same = 0
-        while same < len(self.path) and self.path[same] == path[same]:
+        while same < min(len(self.path), len(path)) and self.path[same] == path[same]:
             same += 1
         self.alive = self.alive[:same]
-        for level in range(same, self.levels):
+        for level in range(same, len(path)):
             rows = self.alive[-1] if self.alive else np.arange(len(self.vectors))
-            angle = np.arccos(np.clip(self.vectors[rows] @ balls[level], -1.0, 1.0))
-            closest = np.cos(np.clip(angle - radii[level] - _ANGLE_SLACK, 0.0, np.pi))
-            needed = np.maximum(self.floors[rows], worst[rows]) - _SIM_SLACK
-            self.alive.append(rows[closest >= needed])
+            cosines = (self._of(rows) @ balls[level])[:, None]
+            self.alive.append(rows[_within(cosines, worst[rows], radii[level : level + 1])[:, 0]])
         self.path = path
-        return self.alive[-1]
+        return self.alive[-1] if self.alive else np.arange(len(self.vectors))
+
+    def leaves(self, rows: np.ndarray, centres: np.ndarray, radii: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """(query, leaf) marks of what each of ``rows`` can reach among leaves with these balls."""
+        marks = np.empty((len(rows), len(centres)), bool)
+        for part in B.strips(len(rows), len(centres)):
+            marks[part] = _within(self.vectors[rows[part]] @ centres.T, worst[rows[part]], radii)
+        return marks
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Neighbouring blocks with a common cell two levels above, about _FAMILY_ROWS vectors at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (size >= _FAMILY_ROWS or row["leaf"] // FANOUT**2 != held[-1]["leaf"] // FANOUT**2):
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += len(row["ids"])
+    if held:
+        yield held
 
 
 def scan_tree(tree: CellTree, held, floors: np.ndarray, new_best: Callable, floor: float, schema: str, count_tiles: bool = False) -> DataFrame:
     """Hits of a delivery's queries, a task's leaves where they lie; or (leaf, sub, queries) for each block, what is multiplied.
 
-    ``floors`` are similarities that each query's k-th hit reaches; ``new_best`` makes the collector of hits.
+    ``floors`` are similarities that each query's k-th hit reaches; ``new_best`` makes the collector of hits. Neighbouring leaves
+    are taken together: one product with their centres tells who reaches which. Queries that reach most of their vectors are
+    multiplied with all of them at once, which costs less than a product for each leaf.
     """
     limits = tree.leaves.sparkSession.sparkContext.broadcast(floors)
     names = [part.split(" ")[0] for part in schema.split(", ")]
     levels = tree.levels
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        usable = np.isfinite(vectors).all(axis=1)
-        best = new_best(ids, vectors)
-        reach = _Reach(best.vectors, limits.value[usable], levels)
-        for batch in batches:
-            for row in batch.to_pylist():
-                balls = np.frombuffer(row["balls"]).reshape(levels, -1)
-                rows = reach.queries(row["leaf"], balls, np.frombuffer(row["radii"]), best.worst())
-                if len(rows):
-                    near = B.id_array(row["ids"])
-                    best.add(near, B.matrix(row["mat"], len(near), row["dim"]), rows)
-                if count_tiles:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, ([row["leaf"]], [row["sub"]], [len(rows)]), strict=True)), _tile_schema(names))
+        best = new_best(*held.value, limits.value)
+        reach = _Reach(best.vectors, levels)
+        for family in _families(batches):
+            worst = best.worst()
+            balls, radii = (np.stack([np.frombuffer(row[c]).reshape(levels, -1) for row in family]) for c in ("balls", "radii"))
+            leaves = [row["leaf"] for row in family]
+            rows = reach.above(min(leaves), max(leaves), balls[0], radii[0, :, 0], worst)
+            marks = reach.leaves(rows, balls[:, -1], radii[:, -1, 0], worst)
+            sizes = np.array([len(row["ids"]) for row in family])
+            wide = marks @ sizes >= _WIDE * sizes.sum()
+            parts = [(family, wide)] + [([row], marks[:, i] & ~wide) for i, row in enumerate(family)]
+            for taken, asked in parts:
+                if asked.any():
+                    near = [B.id_array(row["ids"]) for row in taken]
+                    best.add(np.concatenate(near), np.concatenate([B.matrix(row["mat"], len(i), row["dim"]) for row, i in zip(taken, near, strict=True)]), rows[asked])
+            if count_tiles:
+                columns = leaves, [row["sub"] for row in family], (marks | wide[:, None]).sum(axis=0).tolist()
+                yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), _tile_schema(names))
         if not count_tiles and (found := best.batch(floor, names)) is not None:
             yield found
 

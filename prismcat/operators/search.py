@@ -86,12 +86,19 @@ def _card_part(ids: np.ndarray) -> np.ndarray:
 class Best:
     """Running k best hits of some queries, at most one per card if asked; ``round_rows`` queries are multiplied at a time.
 
-    Queries and stored vectors that hold NaN or an infinite number are nobody's hit and have none.
+    ``floors`` are similarities that each query's k-th hit is known to reach; what lies below is nobody's hit. Queries and
+    stored vectors that hold NaN or an infinite number are nobody's hit and have none.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False, round_rows: int | None = None):
+    def __init__(
+        self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, by_card: bool = False, round_rows: int | None = None,
+        floors: np.ndarray | None = None,
+    ):
         usable = np.isfinite(vectors).all(axis=1)
-        self.ids, self.vectors = (ids, vectors) if usable.all() else (ids[usable], vectors[usable])
+        self.floors = np.full(len(ids), -np.inf) if floors is None else floors
+        self.ids, self.vectors = ids, vectors
+        if not usable.all():
+            self.ids, self.vectors, self.floors = ids[usable], vectors[usable], self.floors[usable]
         self.k, self.exclude_self, self.by_card, self.round_rows = k, exclude_self, by_card, round_rows
         self.hits = None
 
@@ -118,6 +125,12 @@ class Best:
             at = np.minimum(np.searchsorted(ids, self.ids[rows]), len(ids) - 1)
             own = np.flatnonzero(ids[at] == self.ids[rows])
             sims[own, at[own]] = -np.inf
+        # most queries find nothing among these vectors that is as good as what they have
+        promising = np.flatnonzero(sims.max(axis=1) >= self.worst(rows) - 2 * 10.0**-SIM_DECIMALS)
+        if not len(promising):
+            return
+        if len(promising) < len(rows):
+            rows, sims = rows[promising], sims[promising]
         values, cols = _best(sims, self.k) if starts is None else _best_per_card(sims, starts, self.k)
         near = ids[cols]
         if self.hits is None:
@@ -131,16 +144,16 @@ class Best:
         for held, merged in zip(self.hits, (values, near), strict=True):
             held[rows] = np.take_along_axis(merged, order, 1)
 
-    def worst(self) -> np.ndarray:
-        """Similarity of every query's k-th hit so far, -inf where it has fewer."""
-        return np.full(len(self.ids), -np.inf) if self.hits is None else self.hits[0][:, -1]
+    def worst(self, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Similarity of the queries' k-th hits so far, or their floor; -inf where a query has neither."""
+        return self.floors[rows] if self.hits is None else np.maximum(self.hits[0][rows, -1], self.floors[rows])
 
     def batch(self, floor: float, names: list[str]) -> pa.RecordBatch | None:
-        """The hits that reach the floor, as (query, stored, similarity)."""
+        """The hits that reach ``floor`` and their query's own, as (query, stored, similarity)."""
         if self.hits is None:
             return None
         sims, near = self.hits
-        rows, cols = np.nonzero(sims >= floor)
+        rows, cols = np.nonzero(sims >= np.maximum(self.floors, floor)[:, None])
         return pa.RecordBatch.from_arrays([pa.array(self.ids[rows]), pa.array(near[rows, cols]), pa.array(sims[rows, cols])], names)
 
 
@@ -243,7 +256,7 @@ def candidate_hits(
             hits = _scan_stored(stored, held, k, exclude_self, floor, schema, by_card, round_rows)
         else:
             floors = _floors(tree, held, k, exclude_self, floor, schema)
-            hits = CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self, round_rows=round_rows), floor, schema)
+            hits = CELL.scan_tree(tree, held, floors, lambda *q: Best(*q[:2], k, exclude_self, round_rows=round_rows, floors=q[2]), floor, schema)
         if not last:
             hits = materialise((best_cards if by_card else best_of)(hits, k).select("q_id", "d_id", "similarity"), "round-hits")
             held.unpersist()
@@ -254,9 +267,16 @@ def candidate_hits(
 def _floors(tree: CELL.CellTree, held, k: int, exclude_self: bool, floor: float, schema: str) -> np.ndarray:
     """For every query of a delivery a similarity that its k-th hit reaches: the k-th best of the cells' representatives,
     which are stored vectors themselves."""
-    hits = best_of(_scan_stored(tree.representatives, held, k, exclude_self, -1.0, schema, False), k)
-    known = {r["q_id"]: r["similarity"] for r in hits.where(F.col("rank") == k).select("q_id", "similarity").collect()}
-    return np.array([max(known.get(i, -1.0), floor) for i in held.value[0].tolist()])
+    spread = tree.representatives.repartition(tree.representatives.sparkSession.sparkContext.defaultParallelism)
+    hits = best_of(_scan_stored(spread, held, k, exclude_self, -1.0, schema, False), k)
+    known = hits.where(F.col("rank") == k).select("q_id", "similarity").toArrow()
+    ids, floors = held.value[0], np.full(len(held.value[0]), max(floor, -1.0))
+    if known.num_rows:
+        found = B.id_array(known.column("q_id").to_numpy())
+        order = np.argsort(found, kind="stable")
+        at = order[np.minimum(np.searchsorted(found[order], ids), len(found) - 1)]
+        floors = np.where(found[at] == ids, np.maximum(known.column("similarity").to_numpy()[at], floors), floors)
+    return floors
 
 
 def visited_blocks(queries: DataFrame, tree: CELL.CellTree, k: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
@@ -265,7 +285,7 @@ def visited_blocks(queries: DataFrame, tree: CELL.CellTree, k: int, threshold: f
     schema = f"q_id {B.spark_type(queries, 'id')}, d_id {tree.id_type}, similarity double"
     held = queries.sparkSession.sparkContext.broadcast(held_queries(queries.select("id", "vec").toArrow()))
     floors = _floors(tree, held, k, exclude_self, floor, schema)
-    return CELL.scan_tree(tree, held, floors, lambda *q: Best(*q, k, exclude_self), floor, "leaf bigint, sub int, queries bigint", count_tiles=True)
+    return CELL.scan_tree(tree, held, floors, lambda *q: Best(*q[:2], k, exclude_self, floors=q[2]), floor, "leaf bigint, sub int, queries bigint", count_tiles=True)
 
 
 def top_k_similar(

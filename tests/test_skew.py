@@ -389,3 +389,40 @@ def test_many_small_blocks_are_sent_a_bounded_number_of_times(spark, monkeypatch
     monkeypatch.setattr(B, "PANEL_BYTES", 10 * 4 * 6 * 8)  # panels of about ten blocks
     small = B.self_tiles(B.pack_blocks(df, "id", "vec", 4)).agg(F.max(F.length("a_mat"))).first()[0]
     assert 4 * 6 * 8 < small <= 2 * 10 * 4 * 6 * 8
+
+
+@pytest.mark.parametrize("leaf_rows", [2, 8])
+def test_neighbouring_leaves_are_multiplied_together(spark, monkeypatch, leaf_rows):
+    """Vectors without clusters, which no cell can leave out: products are few and wide, and only promising rows are ranked."""
+    base = np.random.default_rng(3).normal(size=(700, 16))
+    base[300:340] = base[0]  # copies, so that hits tie
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "id bigint, vec array<double>")
+    tree = C.build_tree(df, leaf_rows)
+    rows = tree.leaves.toArrow().to_batches()
+    ids, vectors = np.arange(700), base / np.linalg.norm(base, axis=1, keepdims=True)
+    families = list(C._families(iter(rows)))
+    assert sum(len(f) for f in families) == sum(b.num_rows for b in rows) > 700 // leaf_rows
+    assert len(families) <= 700 // 128  # hundreds of products before, one for each block
+    # what is left out by the cosines is what the angles leave out
+    rng = np.random.default_rng(4)
+    cosines, needed, radii = rng.uniform(-1, 1, (50, 40)), np.append(rng.uniform(-1, 1, 48), [-1.0, 1.0]), np.append(rng.uniform(0, np.pi, 38), [0.0, np.pi])
+    closest = np.cos(np.clip(np.arccos(cosines) - radii - C._ANGLE_SLACK, 0.0, np.pi))
+    assert (C._within(cosines, needed, radii) == (closest >= needed[:, None] - C._SIM_SLACK)).all()
+    # ranked are the rows that can win only
+    seen = []
+    original = S._best
+    monkeypatch.setattr(S, "_best", lambda sims, k: seen.append(len(sims)) or original(sims, k))
+    sims = np.round(vectors @ vectors.T, 9)
+    np.fill_diagonal(sims, -np.inf)
+    floors = np.sort(sims, axis=1)[:, -3]
+    best = S.Best(ids, vectors, 3, True, floors=floors)
+    for family in families:
+        near = np.concatenate([B.id_array(row["ids"]) for row in family])
+        best.add(near, vectors[near])
+    assert sum(seen) <= 3 * 700 + 41 * len(families)
+    got = best.batch(-1.0, ["q", "d", "s"]).to_pydict()
+    kept = {(q, d) for q, d in zip(got["q"], got["d"], strict=True)}
+    assert {(q, d) for q, d, _ in brute(base, 3)} <= kept
+    monkeypatch.undo()
+    found = S.top_k_similar(df, tree, 3, None, exclude_self=True, prune=True)
+    assert rows_of(found, "query_id", "stored_id", "rank") == brute(base, 3)
